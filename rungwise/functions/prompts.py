@@ -66,13 +66,19 @@ def answer_instruction(
 def fill(template: Column, **values: Column) -> Column:
     """Put values at their ``{name}`` places; unknown places stay as they are (TXT-16).
 
-    Values are put in one after the other, so a value holding ``{other}`` must come after
-    ``other`` in the call.
+    One pass over the template: a value that itself holds ``{name}`` is not filled again.
     """
-    out = template
-    for name, value in values.items():
-        out = F.replace(out, F.lit("{" + name + "}"), value)
-    return out
+    place = r"\{([^}]+)\}"
+    known = F.create_map(*[x for name, value in values.items() for x in (F.lit(name), value)])
+    names = F.regexp_extract_all(template, F.lit(place), F.lit(1))
+    filled = F.transform(
+        names,
+        lambda n: F.coalesce(F.try_element_at(known, n), F.concat(F.lit("{"), n, F.lit("}"))),
+    )
+    pieces = F.split(template, place)
+    return F.array_join(
+        F.zip_with(pieces, filled, lambda p, f: F.concat(p, F.coalesce(f, F.lit("")))), ""
+    )
 
 
 def unfilled(text: Column) -> Column:

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rungwise.operators.ordering import HEAVY_ROWS, first_per_key, rank_in_key
 
@@ -18,7 +19,8 @@ def with_id(df: DataFrame, falsy: bool = False, name: str = "id") -> DataFrame:
     """Rows that have an id; ``falsy`` also drops the empty text and zero (FLT-3)."""
     present = F.col(name).isNotNull()
     if falsy:
-        present = present & ~F.col(name).cast("string").isin("", "0", "0.0", "false")
+        empty = "" if isinstance(df.schema[name].dataType, T.StringType) else 0
+        present = present & (F.col(name) != F.lit(empty))
     return df.filter(present)
 
 
