@@ -7,15 +7,18 @@ from pyspark.sql import functions as F
 
 from rungwise.functions.text import WS, answer_tag, clean_bullets, let, strip, words_to_text
 
-# The headers of the step format.
-STEP_HEADER = rf"(?iu)(?:\A|\n)Step{WS}+(\d+){WS}*:?{WS}*\n"
-FINAL_HEADER = rf"(?iu)(?:\A|\n)Final{WS}*:?"
+# The headers of the step format. They stand at the start of a text or of a line;
+# texts get a line break in front, which is quicker to look for than either.
+STEP_HEADER = rf"(?iu)\nStep{WS}+(\d+){WS}*:?{WS}*\n"
+FINAL_HEADER = rf"(?iu)\nFinal{WS}*:?"
 SECTION_HEADERS = {
-    "premises": rf"(?iu)(?:\A|\n){WS}*Premises?{WS}*:{WS}*",
-    "assumptions": rf"(?iu)(?:\A|\n){WS}*Assumptions?{WS}*:{WS}*",
-    "conclusion": rf"(?iu)(?:\A|\n){WS}*Conclusion{WS}*:{WS}*",
+    "premises": rf"(?iu)\n{WS}*Premises?{WS}*:{WS}*",
+    "assumptions": rf"(?iu)\n{WS}*Assumptions?{WS}*:{WS}*",
+    "conclusion": rf"(?iu)\n{WS}*Conclusion{WS}*:{WS}*",
 }
 
+FROM_FINAL = FINAL_HEADER.replace("(?iu)", "(?ius)") + r".*\z"
+
 STEP_TYPE = "struct<n:int,premises:array<string>,assumptions:array<string>,conclusion:string>"
 GENERATION_TYPE = (
     "struct<final_tag:string,step_order_ok:boolean,step_numbers:array<int>,missing_steps:array<int>,"
@@ -23,6 +26,10 @@ GENERATION_TYPE = (
 )
 
 
+def _after_break(text: Column) -> Column:
+    return F.concat(F.lit("\n"), text)
+
+
 def step_blocks(text: Column, final_after_last_step: bool = False) -> Column:
     """Numbered blocks of a text, in text order, blank ones dropped (GEN-1).
 
@@ -30,66 +37,79 @@ def step_blocks(text: Column, final_after_last_step: bool = False) -> Column:
     then leaves nothing of it. With ``final_after_last_step`` only headers inside it count.
     """
 
+    led = _after_break(text)
+
     def cut_last(pieces: Column) -> Column:
         last = F.element_at(pieces, -1)
         if final_after_last_step:
-            return F.element_at(F.split(last, FINAL_HEADER, 2), 1)
-        room = F.length(F.element_at(F.split(text, FINAL_HEADER, 2), 1)) - (F.length(text) - F.length(last))
+            return F.regexp_replace(_after_break(last), FROM_FINAL, "")
+        room = F.length(last) - F.length(F.regexp_extract(led, FROM_FINAL, 0))
         return F.when(room > 0, F.substring(last, F.lit(1), room)).otherwise(F.lit(""))
 
     def blocks(pieces: Column) -> Column:
-        numbers = F.regexp_extract_all(text, F.lit(STEP_HEADER), F.lit(1))
+        numbers = F.regexp_extract_all(led, F.lit(STEP_HEADER), F.lit(1))
         numbered = F.transform(
             numbers,
             lambda n, i: F.struct(
                 n.try_cast("int").alias("n"),
                 strip(
-                    F.when(i == F.size(numbers) - 1, cut_last(pieces)).otherwise(F.get(pieces, i + 1))
+                    F.when(i == F.size(pieces) - 2, cut_last(pieces)).otherwise(F.get(pieces, i + 1))
                 ).alias("block"),
             ),
         )
         return F.filter(numbered, lambda b: b["block"] != "")
 
-    return let(F.split(text, STEP_HEADER), blocks)
+    return let(F.split(led, STEP_HEADER), blocks)
 
 
-def sections(block: Column) -> Column:
+def sections(text: Column) -> Column:
     """Premises, assumptions and conclusion of one block (GEN-2).
 
     Each section runs from the end of its first header to the start of the next one.
     """
 
-    def place(name: str) -> Column:
-        halves = F.split(block, SECTION_HEADERS[name], 2)
+    def place(block: Column, name: str) -> Column:
+        onward = SECTION_HEADERS[name].replace("(?iu)", "(?ius)") + r".*\z"
         return let(
-            halves,
-            lambda h: F.when(
-                F.size(h) == 2,
-                F.struct(F.length(h[0]).alias("start"), F.length(h[1]).alias("left"), h[1].alias("tail")),
+            F.regexp_extract(block, onward, 0),
+            lambda rest: F.when(
+                rest != "",
+                let(
+                    F.length(block) - F.length(rest),
+                    lambda start: F.struct(
+                        start.alias("start"),
+                        (start + F.length(F.regexp_extract(rest, SECTION_HEADERS[name], 0))).alias("begin"),
+                    ),
+                ),
             ),
         )
 
-    def slice_(own: Column, other_a: Column, other_b: Column) -> Column:
+    def slice_(block: Column, own: Column, other_a: Column, other_b: Column) -> Column:
         def later(o: Column) -> Column:
             return F.when(o["start"] > own["start"], o["start"])
 
-        stop = F.least(F.length(block), later(other_a), later(other_b))
-        room = stop - (F.length(block) - own["left"])
-        return F.when(room > 0, strip(F.substring(own["tail"], F.lit(1), room))).otherwise(F.lit(""))
+        room = F.least(F.length(block), later(other_a), later(other_b)) - own["begin"]
+        return F.when(room > 0, strip(F.substring(block, own["begin"] + 1, room))).otherwise(F.lit(""))
 
     def build(places: Column) -> Column:
-        p, a, c = places["p"], places["a"], places["c"]
+        block, p, a, c = (places[k] for k in ("block", "p", "a", "c"))
         return F.struct(
-            clean_bullets(slice_(p, a, c)).alias("premises"),
-            clean_bullets(slice_(a, p, c)).alias("assumptions"),
-            strip(F.array_join(clean_bullets(slice_(c, p, a)), " ")).alias("conclusion"),
+            clean_bullets(slice_(block, p, a, c)).alias("premises"),
+            clean_bullets(slice_(block, a, p, c)).alias("assumptions"),
+            strip(F.array_join(clean_bullets(slice_(block, c, p, a)), " ")).alias("conclusion"),
         )
 
     return let(
-        F.struct(
-            place("premises").alias("p"), place("assumptions").alias("a"), place("conclusion").alias("c")
+        _after_break(text),
+        lambda block: let(
+            F.struct(
+                block.alias("block"),
+                place(block, "premises").alias("p"),
+                place(block, "assumptions").alias("a"),
+                place(block, "conclusion").alias("c"),
+            ),
+            build,
         ),
-        build,
     )
 
 

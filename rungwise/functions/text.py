@@ -13,13 +13,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The characters for which Python's str.isspace() is true.
-_WIDE_BLANKS = "".join(map(chr, (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
-WHITESPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0" + _WIDE_BLANKS
-WS = r"[\t-\r\x1c-\x20\x85\xa0" + _WIDE_BLANKS + "]"
+WHITESPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0" + "".join(
+    map(chr, (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
+)
+WS = r"[\t-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 # Patterns of the exchange format.
 SPACE_BEFORE_PUNCTUATION = WS + r"+([.,!?;:])"
-LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85" + chr(0x2028) + chr(0x2029) + "]"
+LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\x{2028}\x{2029}]"
 ATOM_BREAK = rf"(?dm)(?<=[.!?]){WS}+|[\n\r]+|^{WS}*[-•]{WS}*"
 ATOM_EDGE = " -•\t"
 FINAL_BLOCK = rf"(?iusdm)\n{WS}*Final{WS}*:{WS}*<answer>.*?</answer>{WS}*$"
@@ -136,10 +137,24 @@ def atoms_of_list(texts: Column) -> Column:
     return F.filter(F.flatten(F.transform(texts, atoms)), lambda a: a != "")
 
 
+def lines_of(c: Column) -> Column:
+    """Lines of a text, at any kind of line break.
+
+    A split by a single character needs no pattern; one by a pattern compiles it for every row.
+    """
+    return F.split(F.regexp_replace(c, LINE_BREAK, "\n"), "\n")
+
+
 def clean_bullets(block: Column) -> Column:
     """Non-blank lines, stripped, less one leading bullet (TXT-5)."""
-    lines = F.filter(F.transform(F.split(block, LINE_BREAK), strip), lambda s: s != "")
-    return F.transform(lines, lambda s: F.regexp_replace(s, rf"^[-•]{WS}*", ""))
+    lines = F.filter(F.transform(lines_of(block), strip), lambda s: s != "")
+    return F.transform(lines, drop_bullet)
+
+
+def drop_bullet(s: Column) -> Column:
+    """Text without one leading bullet and the white space after it."""
+    rest = F.ltrim(F.substring(s, F.lit(2), F.length(s)), F.lit(WHITESPACE))
+    return F.when(s.startswith("-") | s.startswith("•"), rest).otherwise(s)
 
 
 def hypothesis(conclusion: Column) -> Column:
@@ -157,29 +172,32 @@ def _unnest_or_none(v: Column) -> Column:
     return F.when(_variant_kind(v) == "VOID", F.array().cast("array<variant>")).otherwise(_unnest(v))
 
 
-def _first_group(c: Column, pattern: str) -> Column:
-    # The substring is null on a miss, which keeps "absent" apart from "empty".
-    return F.regexp_extract(F.regexp_substr(c, F.lit(pattern)), pattern, 1)
+def first_group(c: Column, pattern: str, group: int = 1) -> Column:
+    """Group of the first match, null on a miss. The pattern must not match the empty text."""
+    return let(
+        F.regexp_extract(c, pattern, 0),
+        lambda hit: F.when(hit != "", F.regexp_extract(hit, pattern, group)),
+    )
 
 
 def answer_tag(c: Column) -> Column:
     """Content of the first answer tag, blanks allowed in the tag; null on a miss (TXT-8a)."""
-    return strip(_first_group(c, ANSWER_TAG_SPACED))
+    return strip(first_group(c, ANSWER_TAG_SPACED))
 
 
 def answer_or_empty(c: Column) -> Column:
     """Content of the first answer tag; the empty text on a miss (TXT-8b)."""
-    return F.coalesce(strip(_first_group(c, ANSWER_TAG)), F.lit(""))
+    return F.coalesce(strip(first_group(c, ANSWER_TAG)), F.lit(""))
 
 
 def custom_id_base(c: Column) -> Column:
     """Question id inside a request id, null if the form is not met (TXT-10)."""
-    return _first_group(c, CUSTOM_ID)
+    return first_group(c, CUSTOM_ID)
 
 
 def custom_id_rep(c: Column) -> Column:
     """Replica number inside a request id, null if the form is not met (TXT-10)."""
-    return F.regexp_extract(F.regexp_substr(c, F.lit(CUSTOM_ID)), CUSTOM_ID, 2).try_cast("bigint")
+    return first_group(c, CUSTOM_ID, 2).try_cast("bigint")
 
 
 def question_key(id_: Column, premise: Column, question: Column) -> Column:
@@ -209,11 +227,11 @@ def clean_reply(
 
     def unnumber(t: Column) -> Column:
         bare = F.regexp_replace(t, numbers, "")
-        return strip(F.array_join(F.split(F.regexp_replace(bare, rf"(?:{LINE_BREAK})\z", ""), LINE_BREAK), "\n"))
+        return strip(F.regexp_replace(bare, LINE_BREAK, "\n"))
 
     text = F.element_at(F.split(c, "</think>"), -1)
     fence = r"(?s)```(.*?)```"
-    text = F.coalesce(_first_group(text, fence), text)
+    text = F.coalesce(first_group(text, fence), text)
 
     def finish(t: Column) -> Column:
         out = t
