@@ -36,7 +36,7 @@ def apply_hook(
     """Add the columns of ``schema`` and ``error`` to ``df`` (UDF-1, UDF-2).
 
     ``load`` runs once per task and returns the batch function, so a model is loaded per task and
-    not per batch. A failing batch is tried again row by row, so that only bad rows carry an error.
+    not per batch. A failing batch is halved until its bad rows stand alone, so only they carry an error.
     ``partitions`` spreads the rows evenly before the hook.
     """
     added = _fields(schema)
@@ -48,26 +48,23 @@ def apply_hook(
         result.index = batch.index
         return batch.assign(**{n: result[n] for n in names}, error=None)
 
-    def one_by_one(function: BatchFunction, batch: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        for at in range(len(batch)):
-            row = batch.iloc[at : at + 1]
-            try:
-                rows.append(run(function, row))
-            except Exception as failure:  # the row keeps its failure
+    def in_parts(function: BatchFunction, batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        try:
+            yield run(function, batch)
+        except Exception as failure:  # one bad row fails its batch; halves narrow it down
+            if len(batch) == 1:
                 text = f"{type(failure).__name__}: {failure}"
-                rows.append(row.assign(**{n: None for n in names}, error=text))
-        return pd.concat(rows)
+                yield batch.assign(**{n: None for n in names}, error=text)
+            else:
+                middle = len(batch) // 2
+                yield from in_parts(function, batch.iloc[:middle])
+                yield from in_parts(function, batch.iloc[middle:])
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         function = load()
         for batch in batches:
-            if batch.empty:
-                continue
-            try:
-                yield run(function, batch)
-            except Exception:
-                yield one_by_one(function, batch)
+            if not batch.empty:
+                yield from in_parts(function, batch)
 
     source = df.repartition(partitions) if partitions else df
     return source.mapInPandas(task, out)

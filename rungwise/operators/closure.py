@@ -21,18 +21,19 @@ def stated_clauses(docs: DataFrame, doc: str = "doc_id", text: str = "text") ->
         F.transform("_s.propositions", lambda p: p["key"]).alias("_keys"),
         F.posexplode("_s.relations").alias("rel_pos", "expression"),
     ).withColumn("_clauses", clauses_of(F.col("expression")))
-    atoms = F.filter(
-        F.regexp_extract_all("expression", F.lit(r"\w+"), F.lit(0)),
-        lambda w: ~w.isin("Not", "And", "Or", "Implies", "Equivalent"),
-    )
     return (
-        relations.filter(F.size(F.array_except(atoms, F.col("_keys"))) == 0)
+        relations.filter(F.size(F.array_except(_atoms_of(F.col("expression")), F.col("_keys"))) == 0)
         .withColumn("single", F.size("_clauses") == 1)
         .select("doc_id", "rel_pos", "expression", "single", F.explode_outer("_clauses").alias("_c"))
         .select("doc_id", "rel_pos", "expression", "_c.a", "_c.b", "single")
     )
 
 
+def _atoms_of(expression: Column) -> Column:
+    words = F.regexp_extract_all(expression, F.lit(r"\w+"), F.lit(0))
+    return F.filter(words, lambda w: ~w.isin("Not", "And", "Or", "Implies", "Equivalent"))
+
+
 def unsupported_documents(clauses: DataFrame) -> DataFrame:
     """Documents with a relation beyond two literals; nothing is derived for them."""
     return clauses.filter(F.col("a").isNull()).select("doc_id").distinct()
@@ -42,29 +43,116 @@ def _atom(literal: Column) -> Column:
     return F.regexp_replace(literal, "^!", "")
 
 
-def derived_implications(clauses: DataFrame, max_rounds: int = 64) -> DataFrame:
+def derived_in_record(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id, x, y`` for documents that each fit a row, without a shuffle.
+
+    The relations of one text are few, so the closure is a fold over its literals: a literal ``m``
+    joins everything that leads to it with everything it leads to. Literals are numbers there, so
+    their sets are quick.
+    """
+    rows = docs.select(F.col(doc).alias("doc_id"), relation_sections(F.col(text)).alias("_s"))
+    declared = F.transform("_s.propositions", lambda p: p["key"])
+    parsed = rows.select(
+        "doc_id",
+        F.transform(
+            F.filter("_s.relations", lambda e: F.size(F.array_except(_atoms_of(e), declared)) == 0), clauses_of
+        ).alias("_c"),
+    ).filter(~F.exists("_c", lambda c: c.isNull()))
+    atoms = F.array_distinct(
+        F.flatten(F.transform(F.flatten("_c"), lambda c: F.array(_atom(c["a"]), _atom(c["b"]))))
+    )
+    n = F.size("_lits")
+    numbers = F.sequence(F.lit(0), n - 1)
+
+    def at(literal: Column) -> Column:
+        return F.array_position("_lits", literal).cast("int") - 1
+
+    def arrows(clauses: Column) -> Column:
+        """Both implications of each clause, as literal numbers."""
+        both = F.transform(
+            clauses,
+            lambda c: F.array(
+                F.struct(at(negate(c["a"])).alias("x"), at(c["b"]).alias("y")),
+                F.struct(at(negate(c["b"])).alias("x"), at(c["a"]).alias("y")),
+            ),
+        )
+        return F.flatten(both)
+
+    def through(reach: Column, m: Column) -> Column:
+        onward = F.get(reach, m)
+        return F.transform(
+            reach, lambda ys: F.when(F.array_contains(ys, m), F.array_union(ys, onward)).otherwise(ys)
+        )
+
+    def opposite(i: Column) -> Column:
+        return F.when(i % 2 == 0, i + 1).otherwise(i - 1)
+
+    single = F.flatten(F.filter("_c", lambda c: F.size(c) == 1))
+    closed = (
+        # Atom i stands at 2i and its negation at 2i + 1.
+        parsed.withColumn("_lits", F.flatten(F.transform(atoms, lambda x: F.array(x, F.concat(F.lit("!"), x)))))
+        .filter(F.size("_lits") > 0)
+        .select("doc_id", "_lits", arrows(F.flatten("_c")).alias("_edges"), arrows(single).alias("_stated"))
+        .withColumn(
+            "_reach",
+            F.transform(
+                numbers,
+                lambda i: F.array_distinct(
+                    F.transform(F.filter("_edges", lambda e: e["x"] == i), lambda e: e["y"])
+                ),
+            ),
+        )
+        .withColumn("_reach", F.aggregate(numbers, F.col("_reach"), through))
+        .withColumn("_never", F.filter(numbers, lambda i: F.array_contains(F.get("_reach", i), opposite(i))))
+        .withColumn("_always", F.transform("_never", opposite))
+        .withColumn("_void", F.size(F.array_intersect("_never", "_always")) > 0)
+    )
+    targets = F.transform(
+        "_reach",
+        lambda ys, x: F.filter(
+            F.when(F.col("_void") | F.array_contains("_never", x), numbers).otherwise(
+                F.array_union(ys, F.col("_always"))
+            ),
+            lambda y: y != x,
+        ),
+    )
+    entailed = F.flatten(F.transform(targets, lambda ys, x: F.transform(ys, lambda y: x * n + y)))
+    stated = F.transform("_stated", lambda e: e["x"] * n + e["y"])
+    fresh = closed.select("doc_id", "_lits", F.explode(F.array_except(entailed, stated)).alias("_p"))
+    return fresh.select(
+        "doc_id",
+        F.get("_lits", F.floor(F.col("_p") / n).cast("int")).alias("x"),
+        F.get("_lits", F.col("_p") % n).alias("y"),
+    )
+
+
+def derived_implications(clauses: DataFrame, max_rounds: int = 1000) -> DataFrame:
     """All literal pairs ``x -> y`` a document entails and no single relation of it states.
 
-    ``clauses(doc_id, a, b, single)``. Reachability doubles its path length per round, so rounds
-    grow with the logarithm of the longest chain. Rows are keyed by (document, literal) throughout;
-    each round is stored and the loop ends when it adds nothing.
+    ``clauses(doc_id, a, b, single)``. Each round extends only the pairs the round before found,
+    and rows are keyed by (document, literal) throughout. Each round is stored, and the loop ends
+    when one finds nothing.
     """
-    supported = clauses.join(unsupported_documents(clauses), "doc_id", "left_anti")
-    edges = (
+    supported = materialize(clauses.join(unsupported_documents(clauses), "doc_id", "left_anti"), "clauses")
+    edges = materialize(
         supported.select("doc_id", negate(F.col("a")).alias("x"), F.col("b").alias("y"))
         .unionByName(supported.select("doc_id", negate(F.col("b")).alias("x"), F.col("a").alias("y")))
-        .distinct()
+        .distinct(),
+        "edges",
     )
-    reach = materialize(edges, "reach")
-    size = reach.count()
+    onward = edges.select("doc_id", F.col("x").alias("y"), F.col("y").alias("z"))
+    reach, found = edges, edges
     for _ in range(max_rounds):
-        onward = reach.select("doc_id", F.col("x").alias("y"), F.col("y").alias("z"))
-        longer = reach.join(onward, ["doc_id", "y"]).select("doc_id", "x", F.col("z").alias("y"))
-        reach = materialize(reach.unionByName(longer).distinct(), "reach")
-        grown = reach.count()
-        if grown == size:
+        longer = (
+            found.join(onward, ["doc_id", "y"])
+            .select("doc_id", "x", F.col("z").alias("y"))
+            .join(reach, ["doc_id", "x", "y"], "left_anti")
+            .distinct()
+        )
+        found = materialize(longer, "reach")
+        if found.isEmpty():
             break
-        size = grown
+        reach = reach.unionByName(found)
     else:
         raise RuntimeError(f"implications still grew after {max_rounds} rounds")
 

@@ -2,89 +2,67 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 RECORD = "id string, generation array<string>, extracted_answer array<string>"
-STATE_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-class _Collator(StatefulProcessor):
-    """Holds fewer than ``samples`` replies per key; a full record leaves and clears them."""
+def _records(id_: str, groups: list[list[tuple]]) -> pd.DataFrame:
+    return pd.DataFrame(
+        {
+            "id": [id_] * len(groups),
+            "generation": [[text for text, _ in g] for g in groups],
+            "extracted_answer": [[answer for _, answer in g] for g in groups],
+        }
+    )
+
 
-    def __init__(self, samples: int, flush_after_ms: int | None):
-        self.samples = samples
-        self.flush_after_ms = flush_after_ms
+def stream_collate(
+    replies: DataFrame, samples: int = 5, flush_after_ms: int | None = None, salts: int = 1
+) -> DataFrame:
+    """A record as soon as ``samples`` replies of an id are there, from a stream of ``id, text, answer``.
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.held = handle.getListState("held", "text string, answer string")
+    State per key stays below ``samples`` rows, and a full record clears it, so an id that comes
+    again starts afresh. What is left at the end of input goes out by a timer (``flush_after_ms``)
+    or is left to the batch form. Replies of one id have no order among them, so an id that
+    dominates the stream may be spread over ``salts`` keys; each then fills its own records.
+    """
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held = list(self.held.get())
+    def collate(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = json.loads(state.get[0]) if state.exists else []
+        if state.hasTimedOut:
+            state.remove()
+            yield _records(key[0], [held])
+            return
         full = []
-        for batch in rows:
-            for text, answer in zip(batch["text"], batch["answer"]):
-                held.append((text, answer))
-                if len(held) == self.samples:
+        for batch in batches:
+            for pair in zip(batch["text"], batch["answer"]):
+                held.append(pair)
+                if len(held) == samples:
                     full.append(held)
                     held = []
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
         if held:
-            self.held.put(held)
-            if self.flush_after_ms is not None:
-                self.handle.registerTimer(
-                    timerValues.getCurrentProcessingTimeInMs() + self.flush_after_ms
-                )
-        else:
-            self.held.clear()
+            state.update((json.dumps(held),))
+            if flush_after_ms is not None:
+                state.setTimeoutDuration(flush_after_ms)
+        elif state.exists:
+            state.remove()
         if full:
-            yield self._records(key, full)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        held = list(self.held.get())
-        self.held.clear()
-        if held:
-            yield self._records(key, [held])
-
-    def close(self) -> None:
-        pass
+            yield _records(key[0], full)
 
-    @staticmethod
-    def _records(key, groups) -> pd.DataFrame:
-        return pd.DataFrame(
-            {
-                "id": [key[0]] * len(groups),
-                "generation": [[text for text, _ in g] for g in groups],
-                "extracted_answer": [[answer for _, answer in g] for g in groups],
-            }
-        )
-
-
-def stream_collate(
-    replies: DataFrame, samples: int = 5, flush_after_ms: int | None = None, salts: int = 1
-) -> DataFrame:
-    """A record as soon as ``samples`` replies of an id are there, from a stream of ``id, text, answer``.
-
-    State per key stays below ``samples`` rows. What is left at the end of input goes out by a
-    timer (``flush_after_ms``) or is left to the batch form. Replies of one id need no order among
-    them, so an id that dominates the stream may be spread over ``salts`` keys; each then fills
-    its own records. Use ``STATE_PROVIDER`` as the state store.
-    """
+    timeout = (
+        GroupStateTimeout.NoTimeout if flush_after_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+    )
     salt = F.pmod(F.xxhash64("text", "answer"), F.lit(salts)).cast("int")
     return (
         replies.select(F.col("id").cast("string").alias("id"), "text", "answer")
         .withColumn("_salt", salt)
         .groupBy("id", "_salt")
-        .transformWithStateInPandas(
-            statefulProcessor=_Collator(samples, flush_after_ms),
-            outputStructType=RECORD,
-            outputMode="Append",
-            timeMode="ProcessingTime" if flush_after_ms is not None else "None",
-        )
+        .applyInPandasWithState(collate, RECORD, "held string", "append", timeout)
     )
