@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rungwise.functions.relations import clauses_of, negate, relation_sections
+from rungwise.functions.text import let
 from rungwise.session import materialize
 
 
@@ -87,38 +88,51 @@ def derived_in_record(docs: DataFrame, doc: str = "doc_id", text: str = "text")
     def opposite(i: Column) -> Column:
         return F.when(i % 2 == 0, i + 1).otherwise(i - 1)
 
+    def graph(edges: Column) -> Column:
+        return F.transform(
+            numbers,
+            lambda i: F.array_distinct(F.transform(F.filter(edges, lambda e: e["x"] == i), lambda e: e["y"])),
+        )
+
+    def conclude(reach: Column) -> Column:
+        never = F.filter(numbers, lambda i: F.array_contains(F.get(reach, i), opposite(i)))
+        return let(
+            never,
+            lambda no: let(
+                F.struct(
+                    F.transform(no, opposite).alias("always"),
+                    (F.size(F.array_intersect(no, F.transform(no, opposite))) > 0).alias("void"),
+                ),
+                lambda f: F.transform(
+                    reach,
+                    lambda ys, x: F.transform(
+                        F.filter(
+                            F.when(f["void"] | F.array_contains(no, x), numbers).otherwise(
+                                F.array_union(ys, f["always"])
+                            ),
+                            lambda y: y != x,
+                        ),
+                        lambda y: x * n + y,
+                    ),
+                ),
+            ),
+        )
+
+    # Values used inside a lambda are bound with ``let``: as columns of a projection they could be
+    # merged into the lambda and worked out once per element.
     single = F.flatten(F.filter("_c", lambda c: F.size(c) == 1))
-    closed = (
+    stated = F.transform(arrows(single), lambda e: e["x"] * n + e["y"])
+    reach = F.aggregate(numbers, let(arrows(F.flatten("_c")), graph), through)
+    fresh = (
         # Atom i stands at 2i and its negation at 2i + 1.
         parsed.withColumn("_lits", F.flatten(F.transform(atoms, lambda x: F.array(x, F.concat(F.lit("!"), x)))))
         .filter(F.size("_lits") > 0)
-        .select("doc_id", "_lits", arrows(F.flatten("_c")).alias("_edges"), arrows(single).alias("_stated"))
-        .withColumn(
-            "_reach",
-            F.transform(
-                numbers,
-                lambda i: F.array_distinct(
-                    F.transform(F.filter("_edges", lambda e: e["x"] == i), lambda e: e["y"])
-                ),
-            ),
+        .select(
+            "doc_id",
+            "_lits",
+            F.explode(F.array_except(F.flatten(let(reach, conclude)), stated)).alias("_p"),
         )
-        .withColumn("_reach", F.aggregate(numbers, F.col("_reach"), through))
-        .withColumn("_never", F.filter(numbers, lambda i: F.array_contains(F.get("_reach", i), opposite(i))))
-        .withColumn("_always", F.transform("_never", opposite))
-        .withColumn("_void", F.size(F.array_intersect("_never", "_always")) > 0)
-    )
-    targets = F.transform(
-        "_reach",
-        lambda ys, x: F.filter(
-            F.when(F.col("_void") | F.array_contains("_never", x), numbers).otherwise(
-                F.array_union(ys, F.col("_always"))
-            ),
-            lambda y: y != x,
-        ),
     )
-    entailed = F.flatten(F.transform(targets, lambda ys, x: F.transform(ys, lambda y: x * n + y)))
-    stated = F.transform("_stated", lambda e: e["x"] * n + e["y"])
-    fresh = closed.select("doc_id", "_lits", F.explode(F.array_except(entailed, stated)).alias("_p"))
     return fresh.select(
         "doc_id",
         F.get("_lits", F.floor(F.col("_p") / n).cast("int")).alias("x"),
