@@ -194,7 +194,9 @@ def step_confidence(
     Steps of ordinary size are sorted inside one row. Larger ones keep their values spread: see
     ``_large_means``. Null log-probabilities do not count.
     """
-    tagged = tag_heavy(tokens.filter(F.col(value).isNotNull()), keys, in_one_row)
+    # Steps too short to clamp always take the first way.
+    limit = max(in_one_row, WINSOR_MIN_TOKENS - 1)
+    tagged = tag_heavy(tokens.filter(F.col(value).isNotNull()), keys, limit)
     n = F.size("_values")
     clamped = F.when(
         n >= WINSOR_MIN_TOKENS,

@@ -78,6 +78,6 @@ def parsed_rollouts(lines: DataFrame) -> DataFrame:
         field("question", "variant").alias("question"),
         field("answer").alias("answer"),
         F.try_variant_get("v", "$.extracted_answer", "array<string>").alias("extracted_answer"),
-        F.transform(texts, parse_generation).alias("generations"),
+        F.transform(texts, lambda t: parse_generation(t)).alias("generations"),
         *[c for c in lines.columns if c in LINE_ORDER],
     )

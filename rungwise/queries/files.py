@@ -43,7 +43,9 @@ def _record_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(kind == "view", text('{"id": ', F.col("event_id"), ", "))
         .otherwise(F.to_json(F.struct(F.col("event_id").alias("id"), kind.alias("answer"), F.lit("error").alias("note"))))
     )
-    return table(spark, sf_dir, "events").select(line.alias("value")).withColumn("v", F.try_parse_json("value"))
+    return table(spark, sf_dir, "events").select(line.alias("value")).withColumn(
+        "v", jsonl.strict_json(F.col("value"))
+    )
 
 
 @query(_LINES_SQL + "SELECT event_id AS id, event_type AS answer FROM l WHERE NOT bad")

@@ -18,6 +18,28 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return found is not None and len(found) > 0
 
 
+# A file up to this size may be read as one value to see whether it is one JSON document.
+WHOLE_FILE_BYTES = 64 << 20
+
+
+def _bytes_at(spark: SparkSession, path: str) -> int:
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(jvm_path).getLength()
+
+
+def strict_json(c: Column) -> Column:
+    """Variant of a text that is exactly one JSON value, else null.
+
+    The built-in parser stops after the first value and does not look at what follows. Inside
+    brackets, and inside braces, whatever follows is an error; a text that closes one of the two
+    by itself does not fit the other.
+    """
+    listed = F.try_parse_json(F.concat(F.lit("["), c, F.lit("]")))
+    keyed = F.try_parse_json(F.concat(F.lit('{"v":'), c, F.lit("}")))
+    only = F.try_variant_get(listed, "$[1]", "variant").isNull()
+    return F.when(keyed.isNotNull() & only, F.try_variant_get(listed, "$[0]", "variant"))
+
+
 def read_lines(spark: SparkSession, *paths: str, glob: str | None = None) -> DataFrame:
     """Non-blank lines as ``value`` with their origin (SRT-2).
 
@@ -52,7 +74,7 @@ LINE_ORDER = ("src", "file", "block", "at")
 
 def read_jsonl(spark: SparkSession, *paths: str, glob: str | None = None) -> DataFrame:
     """Parsed lines as the variant ``v``; null where a line is no JSON (SRC-1)."""
-    return read_lines(spark, *paths, glob=glob).withColumn("v", F.try_parse_json("value"))
+    return read_lines(spark, *paths, glob=glob).withColumn("v", strict_json(F.col("value")))
 
 
 def good_records(lines: DataFrame) -> DataFrame:
@@ -68,20 +90,21 @@ def bad_lines(lines: DataFrame) -> DataFrame:
 def read_json_or_jsonl(spark: SparkSession, path: str, layout: str | None = None) -> DataFrame:
     """Records of a JSON array, of one JSON object, or of lines that may end in commas (SRC-2).
 
-    ``layout`` is ``"document"`` or ``"lines"``; by default a file that parses as a whole is a
-    document. That test reads each file as one value, so say ``"lines"`` for files too large for
-    one row. Scalars become ``{"value": x}``; fragments that do not parse are left out.
+    ``layout`` is ``"document"`` or ``"lines"``. By default a file that parses as a whole is a
+    document; that test reads files as one value each, so beyond ``WHOLE_FILE_BYTES`` the default
+    is ``"lines"``. Scalars become ``{"value": x}``; fragments that do not parse are left out.
     """
     as_lines = read_lines(spark, path)
-    loose = as_lines.withColumn("v", F.try_parse_json(F.regexp_replace("value", ",+$", "")))
-    if layout == "lines":
+    loose = as_lines.withColumn("v", strict_json(strip(F.regexp_replace("value", r"[,\s]+\z", ""))))
+    if layout is None and path_exists(spark, path) and _bytes_at(spark, path) > WHOLE_FILE_BYTES:
+        layout = "lines"
+    if layout == "lines" or not path_exists(spark, path):
         return _records(loose.filter(F.col("v").isNotNull()))
     whole = (
-        spark.read.option("wholetext", True)
-        .text(path)
+        spark.read.text(path, wholetext=True)
         .select(
             F.col("_metadata.file_path").alias("file"),
-            F.try_parse_json(strip(F.col("value"))).alias("v"),
+            strict_json(strip(F.col("value"))).alias("v"),
         )
     )
     kind = F.schema_of_variant("v")
