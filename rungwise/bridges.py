@@ -31,11 +31,12 @@ def line_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lineitem with a step position that is unique in its order."""
     return table(spark, sf_dir, "lineitem").withColumn(
         "step_pos",
-        (F.col("l_linenumber").cast("bigint") * 100_000_000 + F.col("l_partkey")) * 100_000 + F.col("l_suppkey"),
+        ((F.col("l_linenumber").cast("bigint") * 100_000_000 + F.col("l_partkey")) * 100_000 + F.col("l_suppkey")) * 100
+        + F.col("l_quantity").cast("int"),
     )
 
 
-STEP_POS_SQL = "((l_linenumber::BIGINT * 100000000 + l_partkey) * 100000 + l_suppkey)"
+STEP_POS_SQL = "(((l_linenumber::BIGINT * 100000000 + l_partkey) * 100000 + l_suppkey) * 100 + l_quantity::INT)"
 
 
 def order_texts(spark: SparkSession, sf_dir: str) -> DataFrame:

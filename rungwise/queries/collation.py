@@ -77,7 +77,7 @@ WITH q AS (
   SELECT *, row_number() OVER (PARTITION BY id, rep_idx ORDER BY o_orderkey) AS nth, {_instruction_case_sql('local', 'family')} AS instruction FROM r
 )
 SELECT o_orderkey, id || '__rep' || rep_idx || '__m' || CASE WHEN nth > 1 THEN '__dup' || (nth - 1) ELSE '' END AS custom_id,
-  20250815 + rep_idx AS seed, 0.7 AS temperature,
+  20250815 + rep_idx AS seed, 0.7::DOUBLE AS temperature,
   'Premise:' || chr(10) || 'status ' || o_orderstatus || chr(10) || chr(10) || 'Question:' || chr(10) || 'order ' || o_orderkey
   || CASE WHEN instruction <> '' THEN chr(10) || chr(10) || instruction ELSE '' END || chr(10) AS asked
 FROM d

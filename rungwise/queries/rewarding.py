@@ -180,7 +180,7 @@ WITH s AS (
     string_agg(CASE l_returnflag WHEN 'A' THEN 'true' ELSE 'false' END, ',' ORDER BY step_pos) AS flags
   FROM s GROUP BY id, gen_pos
 )
-SELECT id, gen_pos, round(r, 6) AS reasoning_score, o AS outcome_score, round(least(1.0, greatest(0.0, 0.5 * r + 0.5 * o)), 6) AS reward, flags FROM g
+SELECT id, gen_pos, round(r, 6) AS reasoning_score, o::DOUBLE AS outcome_score, round(least(1.0, greatest(0.0, 0.5 * r + 0.5 * o)), 6) AS reward, flags FROM g
 """
 )
 def generation_reward(spark: SparkSession, sf_dir: str) -> DataFrame:

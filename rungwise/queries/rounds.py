@@ -50,8 +50,8 @@ def _refined(spark: SparkSession, sf_dir: str) -> Refined:
     _ROUNDS_SQL
     + """
 SELECT event_id, least(stop, 4) AS round, CASE WHEN broken THEN 'critique failed' END AS error,
-  CASE WHEN broken THEN CASE WHEN f = 2 THEN 1.0 ELSE 0.0 END WHEN f <= 4 THEN 1.0 ELSE 0.0 END AS logic_validity,
-  CASE WHEN broken THEN 0.0 ELSE 1.0 END AS syntactic_validity,
+  CASE WHEN broken THEN CASE WHEN f = 2 THEN 1.0 ELSE 0.0 END WHEN f <= 4 THEN 1.0::DOUBLE ELSE 0.0 END AS logic_validity,
+  CASE WHEN broken THEN 0.0 ELSE 1.0::DOUBLE END AS syntactic_validity,
   'a' || array_to_string(list_transform(range(e, least(stop, 5)), lambda i: '+' || i), '') AS assumption
 FROM r
 """
