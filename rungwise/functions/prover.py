@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from rungwise.functions.text import LINE_BREAK, let, strip
+from rungwise.functions.text import let, lines_of, strip
 
 BODY_TYPE = (
     "struct<errors:array<struct<message:string,pos:struct<line:int>>>,"
@@ -129,7 +129,7 @@ def offending_code(code: Column, positions: Column) -> Column:
         )
 
     return let(
-        F.split(code, LINE_BREAK),
+        lines_of(code),
         lambda lines: F.array_join(F.flatten(F.transform(positions, lambda p: pick(lines, p["line"]))), ""),
     )
 

@@ -20,7 +20,7 @@ WS = r"[\t-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\
 
 # Patterns of the exchange format.
 SPACE_BEFORE_PUNCTUATION = WS + r"+([.,!?;:])"
-LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\x{2028}\x{2029}]"
+OTHER_BREAK = r"\r\n?|[\x0b\x0c\x1c\x1d\x1e\x85\x{2028}\x{2029}]"
 ATOM_BREAK = rf"(?dm)(?<=[.!?]){WS}+|[\n\r]+|^{WS}*[-•]{WS}*"
 ATOM_EDGE = " -•\t"
 FINAL_BLOCK = rf"(?iusdm)\n{WS}*Final{WS}*:{WS}*<answer>.*?</answer>{WS}*$"
@@ -142,7 +142,7 @@ def lines_of(c: Column) -> Column:
 
     A split by a single character needs no pattern; one by a pattern compiles it for every row.
     """
-    return F.split(F.regexp_replace(c, LINE_BREAK, "\n"), "\n")
+    return F.split(F.regexp_replace(c, OTHER_BREAK, "\n"), "\n")
 
 
 def clean_bullets(block: Column) -> Column:
@@ -227,7 +227,7 @@ def clean_reply(
 
     def unnumber(t: Column) -> Column:
         bare = F.regexp_replace(t, numbers, "")
-        return strip(F.regexp_replace(bare, LINE_BREAK, "\n"))
+        return strip(F.regexp_replace(bare, OTHER_BREAK, "\n"))
 
     text = F.element_at(F.split(c, "</think>"), -1)
     fence = r"(?s)```(.*?)```"

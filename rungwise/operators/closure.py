@@ -51,93 +51,106 @@ def derived_in_record(docs: DataFrame, doc: str = "doc_id", text: str = "text")
     joins everything that leads to it with everything it leads to. Literals are numbers there, so
     their sets are quick.
     """
-    rows = docs.select(F.col(doc).alias("doc_id"), relation_sections(F.col(text)).alias("_s"))
-    declared = F.transform("_s.propositions", lambda p: p["key"])
-    parsed = rows.select(
-        "doc_id",
-        F.transform(
-            F.filter("_s.relations", lambda e: F.size(F.array_except(_atoms_of(e), declared)) == 0), clauses_of
-        ).alias("_c"),
-    ).filter(~F.exists("_c", lambda c: c.isNull()))
-    atoms = F.array_distinct(
-        F.flatten(F.transform(F.flatten("_c"), lambda c: F.array(_atom(c["a"]), _atom(c["b"]))))
-    )
-    n = F.size("_lits")
-    numbers = F.sequence(F.lit(0), n - 1)
-
-    def at(literal: Column) -> Column:
-        return F.array_position("_lits", literal).cast("int") - 1
-
-    def arrows(clauses: Column) -> Column:
-        """Both implications of each clause, as literal numbers."""
-        both = F.transform(
-            clauses,
-            lambda c: F.array(
-                F.struct(at(negate(c["a"])).alias("x"), at(c["b"]).alias("y")),
-                F.struct(at(negate(c["b"])).alias("x"), at(c["a"]).alias("y")),
+    # One expression from the text to the pairs: a filter on a value worked out on the way would
+    # be moved below it, and the value worked out once more for the filter.
+    pairs = let(
+        relation_sections(F.col(text)),
+        lambda s: let(
+            F.transform(s["propositions"], lambda p: p["key"]),
+            lambda declared: let(
+                F.transform(
+                    F.filter(s["relations"], lambda e: F.size(F.array_except(_atoms_of(e), declared)) == 0),
+                    lambda e: clauses_of(e),
+                ),
+                _derive,
             ),
-        )
-        return F.flatten(both)
+        ),
+    )
+    return docs.select(F.col(doc).alias("doc_id"), F.explode(pairs).alias("_p")).select("doc_id", "_p.x", "_p.y")
 
-    def through(reach: Column, m: Column) -> Column:
-        onward = F.get(reach, m)
-        return F.transform(
-            reach, lambda ys: F.when(F.array_contains(ys, m), F.array_union(ys, onward)).otherwise(ys)
-        )
+
+def _derive(relations: Column) -> Column:
+    """Literal pairs that follow from an array of clause arrays; null if one of them is null."""
+    clauses = F.flatten(relations)
+    atoms = F.array_distinct(F.flatten(F.transform(clauses, lambda c: F.array(_atom(c["a"]), _atom(c["b"])))))
+    # Atom i stands at 2i and its negation at 2i + 1.
+    literals = F.flatten(F.transform(atoms, lambda x: F.array(x, F.concat(F.lit("!"), x))))
+    readable = ~F.exists(relations, lambda c: c.isNull()) & (F.size(clauses) > 0)
 
     def opposite(i: Column) -> Column:
         return F.when(i % 2 == 0, i + 1).otherwise(i - 1)
 
-    def graph(edges: Column) -> Column:
-        return F.transform(
-            numbers,
-            lambda i: F.array_distinct(F.transform(F.filter(edges, lambda e: e["x"] == i), lambda e: e["y"])),
-        )
+    def close(lits: Column) -> Column:
+        n = F.size(lits)
+        numbers = F.sequence(F.lit(0), n - 1)
+
+        def arrows(some: Column) -> Column:
+            """Both implications of each clause, as literal numbers."""
+
+            def both(c: Column) -> Column:
+                places = F.struct(
+                    (F.array_position(lits, c["a"]).cast("int") - 1).alias("a"),
+                    (F.array_position(lits, c["b"]).cast("int") - 1).alias("b"),
+                )
+                return let(
+                    places,
+                    lambda p: F.array(
+                        F.struct(opposite(p["a"]).alias("x"), p["b"].alias("y")),
+                        F.struct(opposite(p["b"]).alias("x"), p["a"].alias("y")),
+                    ),
+                )
+
+            return F.flatten(F.transform(some, both))
+
+        def graph(edges: Column) -> Column:
+            return F.transform(
+                numbers,
+                lambda i: F.array_distinct(F.transform(F.filter(edges, lambda e: e["x"] == i), lambda e: e["y"])),
+            )
 
-    def conclude(reach: Column) -> Column:
-        never = F.filter(numbers, lambda i: F.array_contains(F.get(reach, i), opposite(i)))
-        return let(
-            never,
-            lambda no: let(
-                F.struct(
-                    F.transform(no, opposite).alias("always"),
-                    (F.size(F.array_intersect(no, F.transform(no, opposite))) > 0).alias("void"),
+        def through(reach: Column, m: Column) -> Column:
+            return let(
+                F.get(reach, m),
+                lambda onward: F.transform(
+                    reach, lambda ys: F.when(F.array_contains(ys, m), F.array_union(ys, onward)).otherwise(ys)
                 ),
-                lambda f: F.transform(
-                    reach,
-                    lambda ys, x: F.transform(
-                        F.filter(
-                            F.when(f["void"] | F.array_contains(no, x), numbers).otherwise(
-                                F.array_union(ys, f["always"])
-                            ),
-                            lambda y: y != x,
+            )
+
+        def conclude(reach: Column) -> Column:
+            never = F.filter(numbers, lambda i: F.array_contains(F.get(reach, i), opposite(i)))
+            return let(
+                never,
+                lambda no: let(
+                    F.transform(no, opposite),
+                    lambda always: let(
+                        F.size(F.array_intersect(no, always)) > 0,
+                        lambda void: F.flatten(
+                            F.transform(
+                                reach,
+                                lambda ys, x: F.transform(
+                                    F.when(void | F.array_contains(no, x), numbers).otherwise(
+                                        F.array_union(ys, always)
+                                    ),
+                                    lambda y: F.when(y != x, x * n + y),
+                                ),
+                            )
                         ),
-                        lambda y: x * n + y,
                     ),
                 ),
+            )
+
+        single = F.flatten(F.filter(relations, lambda c: F.size(c) == 1))
+        stated = F.transform(arrows(single), lambda e: e["x"] * n + e["y"])
+        reach = F.aggregate(numbers, let(arrows(clauses), graph), through)
+        known = F.array_append(stated, F.lit(None).cast("int"))
+        return F.transform(
+            F.array_except(let(reach, conclude), known),
+            lambda p: F.struct(
+                F.get(lits, F.floor(p / n).cast("int")).alias("x"), F.get(lits, p % n).alias("y")
             ),
         )
 
-    # Values used inside a lambda are bound with ``let``: as columns of a projection they could be
-    # merged into the lambda and worked out once per element.
-    single = F.flatten(F.filter("_c", lambda c: F.size(c) == 1))
-    stated = F.transform(arrows(single), lambda e: e["x"] * n + e["y"])
-    reach = F.aggregate(numbers, let(arrows(F.flatten("_c")), graph), through)
-    fresh = (
-        # Atom i stands at 2i and its negation at 2i + 1.
-        parsed.withColumn("_lits", F.flatten(F.transform(atoms, lambda x: F.array(x, F.concat(F.lit("!"), x)))))
-        .filter(F.size("_lits") > 0)
-        .select(
-            "doc_id",
-            "_lits",
-            F.explode(F.array_except(F.flatten(let(reach, conclude)), stated)).alias("_p"),
-        )
-    )
-    return fresh.select(
-        "doc_id",
-        F.get("_lits", F.floor(F.col("_p") / n).cast("int")).alias("x"),
-        F.get("_lits", F.col("_p") % n).alias("y"),
-    )
+    return F.when(readable, let(literals, close))
 
 
 def derived_implications(clauses: DataFrame, max_rounds: int = 1000) -> DataFrame:
