@@ -195,7 +195,7 @@ def format_answer(steps_text: Column, final: Column) -> Column:
 def format_generation(steps: Column, final: Column) -> Column:
     """Printed form of a structured generation, steps numbered afresh from 1 (GEN-5)."""
     printed = F.transform(
-        F.coalesce(steps, F.array().cast(f"array<{STEP_TYPE}>")),
+        steps,
         lambda s, i: format_step(
             i + 1,
             words_to_text(s["premises"]),
@@ -203,4 +203,5 @@ def format_generation(steps: Column, final: Column) -> Column:
             words_to_text(F.array(F.coalesce(s["conclusion"], F.lit("")))),
         ),
     )
-    return format_answer(strip(F.array_join(printed, "\n\n")), final)
+    joined = F.coalesce(F.array_join(printed, "\n\n"), F.lit(""))
+    return format_answer(strip(joined), final)

@@ -22,18 +22,24 @@ def preference_pairs(
     """``id, question, good_answer, bad_answer, reward`` from nested records.
 
     ``records(id, premise, question, generations, reward_score)`` with ``order``, a number that is
-    unique per record. A record chooses its own best and worst first and prints only those two, so
+    unique per record. Without a reward list of the right length a generation's own ``reward``
+    counts. A record chooses its own best and worst first and prints only those two, so
     one narrow shuffle carries two texts per record and a grouped maximum combines them on the way.
     """
     count = F.size("generations")
-    listed = F.when(F.size("reward_score") == count, F.col("reward_score"))
-    ranked = F.filter(
-        F.transform(
-            "generations",
-            lambda g, i: F.struct(usable_reward(F.get(listed, i), skip_zero).alias("reward"), i.alias("i")),
-        ),
-        lambda p: p["reward"].isNotNull(),
-    )
+    names = records.schema["generations"].dataType.elementType.names
+
+    def own(g):
+        return g["reward"].cast("string") if "reward" in names else F.lit(None).cast("string")
+
+    given = F.transform("reward_score", lambda r: r.cast("string"))
+    listed = F.when(F.size("reward_score") == count, given).otherwise(F.transform("generations", own))
+
+    def usable_of(rewards):
+        placed = F.transform(
+            rewards, lambda r, i: F.struct(usable_reward(r, skip_zero).alias("reward"), i.alias("i"))
+        )
+        return F.filter(placed, lambda p: p["reward"].isNotNull())
 
     def side(usable, first: bool):
         place = F.transform(
@@ -59,7 +65,7 @@ def preference_pairs(
         )
 
     local = records.filter("id is not null").select(
-        "id", "premise", "question", F.col(order).alias("_at"), let(ranked, choose).alias("_c")
+        "id", "premise", "question", F.col(order).alias("_at"), let(usable_of(listed), choose).alias("_c")
     )
     best_at = F.when(F.col("_c.best").isNotNull(), F.struct(F.col("_c.best.reward"), -F.col("_at")))
     worst_at = F.when(F.col("_c.worst").isNotNull(), F.struct(F.col("_c.worst.reward"), F.col("_at")))

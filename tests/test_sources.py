@@ -11,7 +11,10 @@ from rungwise.operators.collate import collate_chunks
 from rungwise.plans.labelling import label
 from rungwise.plans.preference import preference_pairs
 from rungwise.plans.rollout import parsed_rollouts, questions, remote_replies, sampling_requests
+from rungwise.operators.counters import counted
+from rungwise.operators.requests import request_lines
 from rungwise.sources import jsonl
+from rungwise.sources.records import reasoning_records
 from rungwise.streaming.collate import stream_collate
 from rungwise.streaming.incremental import append_new
 
@@ -160,6 +163,47 @@ def test_preference_plan(spark):
     assert "Premise:\nlonger\n\nQuestion:\nq\n\nIs the question A)" in pair.question
 
 
+def test_records_to_pairs(spark, tmp_path):
+    def line(**fields):
+        return json.dumps(fields)
+
+    step = {"n": 1, "premises": ["p"], "assumption": "as one text", "conclusion": "c"}
+    refined = {"premise": "p", "assumptions": ["x", "y"], "conclusion": "d", "logic_validity": 1.0}
+    rewarded = write(
+        tmp_path / "rewarded.jsonl",
+        line(id="folio_1", premise=["a", "b"], question="q", generations=[{"steps": [step], "final_tag": "A"}, {"final_tag": "B"}], reward_score=["0.9", 0.1]),
+        line(id="own", context="k", generations=[{"answer": "A", "reward": 0.8}, {"reward": "0.2"}, {"reward": "x"}], reward_score=[0.1]),
+        line(id="broken", error="x"),
+    )
+    refined = write(tmp_path / "refined.jsonl", line(id="folio_1", premises="a b c", generations=[{"steps": [refined]}], reward_score=[0.95]))
+    lines = jsonl.merged_records(jsonl.read_jsonl(spark, rewarded, refined))
+    records = reasoning_records(lines)
+    steps = {r.id + str(r.src): r.generations[0].steps for r in records.collect()}
+    assert steps["folio_10"][0].assumptions == ["as one text"] and steps["folio_11"][0].premises == ["p"]
+    assert steps["folio_11"][0].logic_validity == 1.0 and steps["own0"] == []
+    indexed = jsonl.index_lines(records)
+    got = {r.id: r for r in preference_pairs(indexed, "idx").collect()}
+    assert set(got) == {"folio_1", "own"}
+    assert got["folio_1"].reward == [0.95, 0.1] and got["own"].reward == [0.8, 0.2]
+    assert "Assumption: x y\nConclusion: d" in got["folio_1"].good_answer
+    assert "Premise:\na b c\n" in got["folio_1"].question and got["own"].good_answer == "Final answer: [A]"
+
+
+def test_requests_and_counters(spark):
+    frame = spark.createDataFrame(
+        [("q__rep0__m", [("user", "é")], 7, 0.0)],
+        "custom_id string, messages array<struct<role:string,content:string>>, max_tokens int, temperature double",
+    )
+    (row,) = request_lines(frame, "m").collect()
+    assert json.loads(row.value) == {
+        "custom_id": "q__rep0__m", "method": "POST", "url": "/v1/chat/completions",
+        "body": {"model": "m", "messages": [{"role": "user", "content": "é"}], "max_completion_tokens": 7, "temperature": 0.0},
+    }
+    watched, seen = counted(spark.range(10), "run", even=F.col("id") % 2 == 0)
+    watched.write.format("noop").mode("overwrite").save()
+    assert seen.get == {"n_rows": 10, "even": 5}
+
+
 def test_labelling_plan(spark):
     steps = [(1, ["x"], ["s"], "- y"), (2, ["y"], [], "z"), (3, [], [], "w")]
     frame = spark.createDataFrame(
