@@ -198,13 +198,13 @@ def join_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """
-SELECT e.event_id, e.user_id AS id FROM events e WHERE e.user_id NOT IN (SELECT o_custkey FROM orders)
+SELECT e.event_id, e.user_id AS id FROM events e WHERE e.user_id NOT IN (SELECT doc_id FROM labels)
 """
 )
 def unmatched_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JON-1: the rows the join drops."""
     events = table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("id"))
-    truth = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"))
+    truth = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"))
     return collate.without_truth(events, truth)
 
 

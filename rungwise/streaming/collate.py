@@ -40,21 +40,21 @@ def stream_collate(
             state.remove()
             yield _records(key[0], [held])
             return
-        full = []
         for batch in batches:
+            full = []
             for pair in zip(batch["text"], batch["answer"]):
                 held.append(pair)
                 if len(held) == samples:
                     full.append(held)
                     held = []
+            if full:
+                yield _records(key[0], full)
         if held:
             state.update((json.dumps(held),))
             if flush_after_ms is not None:
                 state.setTimeoutDuration(flush_after_ms)
         elif state.exists:
             state.remove()
-        if full:
-            yield _records(key[0], full)
 
     timeout = (
         GroupStateTimeout.NoTimeout if flush_after_ms is None else GroupStateTimeout.ProcessingTimeTimeout

@@ -10,6 +10,7 @@ from rungwise import hooks
 from rungwise.operators.collate import collate_chunks
 from rungwise.plans.labelling import label
 from rungwise.plans.preference import preference_pairs
+from rungwise.plans.refinement import refine_records
 from rungwise.plans.rollout import parsed_rollouts, questions, remote_replies, sampling_requests
 from rungwise.operators.counters import counted
 from rungwise.operators.requests import request_lines
@@ -227,6 +228,32 @@ def test_labelling_plan(spark):
     assert got[2].reward == 0.0
 
 
+def test_refinement_plan(spark):
+    rows = [
+        ("1", "A", [("A", [(1, ["p", "q"], ["s", "t"], "- y"), (2, [], [], "z")]), (None, [])], [0.5, 0.5]),
+        ("2", "A", [("A", [(1, ["p"], ["bad"], "y")])], [0.5]),
+    ]
+    records = spark.createDataFrame(rows, f"id string, answer string, generations {GENERATION}, reward_score array<double>")
+
+    def critique(rows, number):
+        known = F.col("assumption") != "bad"
+        return rows.withColumn("syntactic_ok", F.when(known, F.lit(True))).withColumn(
+            "semantic_ok", (F.length("assumption") > 4) & (F.col("explanation") != "")
+        )
+
+    def rewrite(rows, number):
+        return rows.withColumn("assumption", F.concat("assumption", F.lit("+")))
+
+    good, bad, refined = refine_records(records, critique, rewrite, rounds=3)
+    (record,) = good.collect()
+    first, second = record.generations[0].steps
+    assert (first.assumptions, first.logic_validity, first.syntactic_validity) == (["s t++"], 1.0, 1.0)
+    assert (second.assumptions, second.logic_validity, second.syntactic_validity) == (["+++"], 0.0, 1.0)
+    assert record.generations[1].steps == [] and "reward_score" not in good.columns
+    assert [tuple(r) for r in bad.collect()] == [("2", "critique failed")]
+    assert refined.history.count() == 3 + 2 + 2
+
+
 def test_streams(spark, tmp_path):
     rows = [(f"u{i % 3}", f"t{i}", f"a{i}") for i in range(37)]
     for part in range(3):
