@@ -160,7 +160,8 @@ def derived_implications(clauses: DataFrame, max_rounds: int = 1000) -> DataFram
     and rows are keyed by (document, literal) throughout. Each round is stored, and the loop ends
     when one finds nothing.
     """
-    supported = materialize(clauses.join(unsupported_documents(clauses), "doc_id", "left_anti"), "clauses")
+    stored = materialize(clauses, "clauses")
+    supported = stored.join(unsupported_documents(stored), "doc_id", "left_anti")
     edges = materialize(
         supported.select("doc_id", negate(F.col("a")).alias("x"), F.col("b").alias("y"))
         .unionByName(supported.select("doc_id", negate(F.col("b")).alias("x"), F.col("a").alias("y")))
