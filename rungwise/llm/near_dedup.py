@@ -199,7 +199,7 @@ def _texts(wanted: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     found = materialize(wanted.join(classes.select("cid", "loc"), "cid"), "near-wanted")
     keyed = docs.withColumn("text_key", F.xxhash64("text"))
     located = keyed["doc_id"].eqNullSafe(found["loc"]["doc_id"]) & (keyed["text_key"] == found["loc"]["text_key"])
-    return materialize(keyed.join(found, located).select("cid", "text"), "near-texts")
+    return materialize(keyed.join(found.hint("merge"), located).select("cid", "text"), "near-texts")
 
 
 def _links(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -430,7 +430,7 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         F.xxhash64(F.col(text_col)).alias("_key"),
         F.struct(*[docs[c] for c in docs.columns]).alias("_row"),
     )
-    left = rows.join(once, rows["_id"].eqNullSafe(once["doc_id"]) & (rows["_key"] == once["text_key"]), "left_semi")
+    left = rows.join(once.hint("merge"), rows["_id"].eqNullSafe(once["doc_id"]) & (rows["_key"] == once["text_key"]), "left_semi")
     repeated = kept.groupBy("doc_id").count().filter("count > 1")
     if not repeated.isEmpty():
         # Rows that repeat the least id of their component: any one of them stays.
