@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rungwise.bridges import table
-from rungwise.llm import exact_dedup, language_id, mixing, near_dedup, packing, secrets
+from rungwise.llm import exact_dedup, html_extract, language_id, mixing, near_dedup, packing, secrets, token_counts, topk_search, warc
 from rungwise.queries.registry import QueryFunction
 
 LLM_QUERIES: dict[str, QueryFunction] = {}
@@ -31,6 +31,18 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+@corpus_query()
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_extract.extract_text(table(spark, sf_dir, "pages"))
+
+
+@corpus_query(topk_search.search_sql())
+def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best vectors for every vector whose id is divisible by 50."""
+    return topk_search.search(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+
+
 @corpus_query()
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents that share at least 80 % of their four-word shingles."""
@@ -58,6 +70,18 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(table(spark, sf_dir, "documents"))
 
 
+@corpus_query()
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document under the public 32k vocabulary, read as a unigram model."""
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"))
+
+
+@corpus_query()
+def op9_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to archives and read back."""
+    return warc.archived_pages(table(spark, sf_dir, "pages"))
+
+
 @corpus_query()
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from the documents outside the held-out fold."""
