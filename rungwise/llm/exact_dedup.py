@@ -71,8 +71,9 @@ def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         keys.groupBy("chars", "head").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 and chars > 0").select("chars", "head"),
         "dedup-shared",
     )
+    # The joins below are merge joins at every size: neither side has a bound that allows a broadcast.
     blocks = materialize(
-        located.join(shared, ["chars", "head"])
+        located.join(shared.hint("merge"), ["chars", "head"])
         .select(
             "doc_id",
             F.sha2("text", 256).alias("text_sha256"),
@@ -83,7 +84,7 @@ def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     names = integer_names(blocks, ["block"], "dedup-names")
     rows = materialize(
-        blocks.join(names, "block").select("doc_id", "text_sha256", "blocks", "pos", "name"), "dedup-level"
+        blocks.join(names.hint("merge"), "block").select("doc_id", "text_sha256", "blocks", "pos", "name"), "dedup-level"
     )
     level, done = 0, []
     while True:
@@ -112,7 +113,7 @@ def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     empty = F.col("chars") == 0
     return (
         keys.alias("k")
-        .join(found.alias("f"), _same(keys, found, ["doc_id", "text_sha256"]), "left")
+        .join(found.alias("f").hint("merge"), _same(keys, found, ["doc_id", "text_sha256"]), "left")
         .select(
             "k.doc_id",
             "k.text_sha256",
@@ -137,7 +138,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
     grouped = F.col("group_size").isNotNull()
     keep = F.when(grouped, F.col("keep_id")).otherwise(F.col("doc_id"))
-    return named.join(groups, ["level", "name"], "left").select(
+    return named.join(groups.hint("merge"), ["level", "name"], "left").select(
         "doc_id",
         keep.alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("bigint").alias("group_size"),
@@ -156,7 +157,7 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         F.struct(*[docs[c] for c in docs.columns]).alias("_row"),
     )
     left = rows.join(
-        once, rows["_id"].eqNullSafe(once["doc_id"]) & (rows["_sha"] == once["text_sha256"]), "left_semi"
+        once.hint("merge"), rows["_id"].eqNullSafe(once["doc_id"]) & (rows["_sha"] == once["text_sha256"]), "left_semi"
     )
     repeated = kept.groupBy("doc_id", "text_sha256").count().filter("count > 1")
     if not repeated.isEmpty():
