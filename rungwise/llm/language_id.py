@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 SIZE = 300
 MAX_LANGUAGES = 1024
@@ -99,7 +100,7 @@ def learn_profiles(docs: DataFrame, text_col: str = "text", label_col: str = "la
     first = totals.withColumn("place", F.row_number().over(place)).filter(F.col("place") <= size)
     lists: dict[str, list[int]] = {}
     bound = size * MAX_LANGUAGES
-    rows = first.select("label", "place", "gram").limit(bound + 1).collect()
+    rows = first.select("label", "place", "gram").take(bound + 1)
     if len(rows) > bound:
         raise ValueError(f"more than {MAX_LANGUAGES} languages to learn")
     for label, _, gram in sorted(rows):
@@ -146,7 +147,8 @@ def predict(docs: DataFrame, lists: dict[str, list[int]], text_col: str = "text"
                 names=["row", "lang_pred", "score"],
             )
 
-    return packed.mapInArrow(label, f"row {packed.schema['row'].dataType.simpleString()}, lang_pred string, score double")
+    # A schema object, since the columns' names need not be plain words.
+    return packed.mapInArrow(label, StructType([packed.schema["row"]]).add("lang_pred", "string").add("score", "double"))
 
 
 def held_out(id_col: Column) -> Column:
