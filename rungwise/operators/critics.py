@@ -11,21 +11,39 @@ from pyspark.sql import functions as F
 def coherence(scores: DataFrame, keys: Sequence[str] = ("doc_id",)) -> DataFrame:
     """Mean entailment less mean contradiction over all steps but the last (AGG-9).
 
-    The last step is taken back out of the sums, so one combined aggregate is enough. Steps
+    The last step is taken back out of the sums, so one combined aggregate is enough. Values that
+    are not finite are counted beside the sum, so one in the last step leaves no trace. Steps
     without a score do not count; a document with no step left has a null score.
     """
     scored = F.col("entailment").isNotNull() & F.col("contradiction").isNotNull()
     gap = F.when(scored, F.col("entailment") - F.col("contradiction"))
+    kinds = {
+        "_nan": lambda g: F.isnan(g),
+        "_up": lambda g: g == float("inf"),
+        "_down": lambda g: g == float("-inf"),
+    }
+    finite = lambda g: ~F.isnan(g) & (F.abs(g) < float("inf"))
+    last = F.col("_last.gap")
+    left = lambda c, held: F.col(c) - F.coalesce(held.cast("int"), F.lit(0))
     return (
         scores.groupBy(*keys)
         .agg(
-            F.sum(gap).alias("_sum"),
+            F.coalesce(F.sum(F.when(finite(gap), gap)), F.lit(0.0)).alias("_sum"),
             F.count(gap).alias("_n"),
+            *[F.coalesce(F.count_if(test(gap)), F.lit(0)).alias(name) for name, test in kinds.items()],
             F.max_by(F.struct(gap.alias("gap")), F.col("step_pos")).alias("_last"),
         )
-        .withColumn("_n", F.col("_n") - F.col("_last.gap").isNotNull().cast("int"))
-        .withColumn("_sum", F.col("_sum") - F.coalesce(F.col("_last.gap"), F.lit(0.0)))
-        .select(*keys, F.when(F.col("_n") > 0, F.col("_sum") / F.col("_n")).alias("coherence"))
+        .withColumns({"_n": left("_n", last.isNotNull()), **{name: left(name, test(last)) for name, test in kinds.items()}})
+        .withColumn("_sum", F.col("_sum") - F.when(finite(last), last).otherwise(F.lit(0.0)))
+        .select(
+            *keys,
+            F.when(F.col("_n") <= 0, None)
+            .when((F.col("_nan") > 0) | ((F.col("_up") > 0) & (F.col("_down") > 0)), float("nan"))
+            .when(F.col("_up") > 0, float("inf"))
+            .when(F.col("_down") > 0, float("-inf"))
+            .otherwise(F.col("_sum") / F.col("_n"))
+            .alias("coherence"),
+        )
     )
 
 

@@ -35,8 +35,8 @@ def refine_rounds(
     holds leaves the loop, one that could not be read tries again unchanged, others go on with
     their new assumption, which also the last round still makes.
 
-    Only pending rows take part in a round, and each critique is stored once, so a model behind a
-    hook is called once per row and round even if executors are lost.
+    Only pending rows take part in a round, and each critique and rewrite is stored once, so a model
+    behind a hook is called once per row and round, however often the result is read.
     """
     pending = steps
     rounds_seen: list[DataFrame] = []
@@ -51,11 +51,11 @@ def refine_rounds(
         finished.append(judged.filter(F.coalesce(holds | failed, failed)))
         unread = judged.filter(~failed & ~F.col("syntactic_ok"))
         weak = judged.filter(~failed & F.col("syntactic_ok") & ~F.col("semantic_ok"))
-        rewritten = rewrite(weak, number).select(*judged.columns)
+        if judged.filter(~failed & ~holds).isEmpty():
+            break
+        rewritten = materialize(rewrite(weak, number).select(*judged.columns), f"rewrite{number}")
         if number == rounds - 1:
             finished.extend([unread, rewritten])
-        elif judged.filter(~failed & ~holds).isEmpty():
-            break
         else:
             pending = unread.unionByName(rewritten).select(*steps.columns)
     out = _union(finished)
@@ -78,7 +78,7 @@ def refine_soft_rounds(
             critique(current, number).withColumn("round", F.lit(number)), f"soft{number}"
         )
         seen.append(judged)
-        rewritten = rewrite(judged, number).select(*judged.columns)
+        rewritten = materialize(rewrite(judged, number).select(*judged.columns), f"soft-rewrite{number}")
         current = rewritten.select(*steps.columns)
     return Refined(steps=rewritten, history=_union(seen))
 

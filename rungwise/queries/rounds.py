@@ -152,3 +152,16 @@ def stream_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = _event_stream(spark, sf_dir).select(F.col("user_id").alias("id"))
     append_new(stream, done, f"{run}/out", f"{run}/checkpoint").awaitTermination()
     return spark.read.schema("id bigint").json(f"{run}/out")
+
+
+@query(
+    "SELECT CASE WHEN event_id % 7 > 0 THEN user_id END AS id, event_id FROM events "
+    "WHERE event_id % 7 = 0 OR user_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)"
+)
+def stream_every_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STR-2: every row of a user that is not finished, rows without a user included."""
+    run = f"{checkpoint_root(spark)}/rungwise/incremental-{uuid.uuid4().hex}"
+    done = table(spark, sf_dir, "labels").filter("quality = 1").select(F.col("doc_id").alias("id"))
+    stream = _event_stream(spark, sf_dir).select(F.when(F.col("event_id") % 7 > 0, F.col("user_id")).alias("id"), "event_id")
+    append_new(stream, done, f"{run}/out", f"{run}/checkpoint", one_per_id=False).awaitTermination()
+    return spark.read.schema("id bigint, event_id bigint").json(f"{run}/out")

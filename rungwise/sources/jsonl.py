@@ -18,15 +18,6 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return found is not None and len(found) > 0
 
 
-# A file up to this size may be read as one value to see whether it is one JSON document.
-WHOLE_FILE_BYTES = 64 << 20
-
-
-def _bytes_at(spark: SparkSession, path: str) -> int:
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(jvm_path).getLength()
-
-
 def strict_json(c: Column) -> Column:
     """Variant of a text that is exactly one JSON value, else null.
 
@@ -91,21 +82,25 @@ def read_json_or_jsonl(spark: SparkSession, path: str, layout: str | None = None
     """Records of a JSON array, of one JSON object, or of lines that may end in commas (SRC-2).
 
     ``layout`` is ``"document"`` or ``"lines"``. By default a file that parses as a whole is a
-    document; that test reads files as one value each, so beyond ``WHOLE_FILE_BYTES`` the default
-    is ``"lines"``. Scalars become ``{"value": x}``; fragments that do not parse are left out.
+    document, whatever its size. A file of several lines whose first line is a value of its own
+    cannot be one, so only other files are tried as a whole. Scalars become ``{"value": x}``;
+    fragments that do not parse are left out.
     """
     as_lines = read_lines(spark, path)
     loose = as_lines.withColumn("v", strict_json(strip(F.regexp_replace("value", r"[,\s]+\z", ""))))
-    if layout is None and path_exists(spark, path) and _bytes_at(spark, path) > WHOLE_FILE_BYTES:
-        layout = "lines"
+    only_lines = _records(loose.filter(F.col("v").isNotNull()))
     if layout == "lines" or not path_exists(spark, path):
-        return _records(loose.filter(F.col("v").isNotNull()))
+        return only_lines
+    lines = as_lines
+    if layout is None:
+        first = F.min_by(F.struct(F.col("v").isNull().alias("open"), F.col("value").rlike(r"^\s*[\[{]").alias("starts")), F.struct("block", "at"))
+        maybe = loose.groupBy("file").agg(first.alias("first"), F.count(F.lit(1)).alias("n"))
+        lines = lines.join(maybe.filter("first.starts and (first.open or n = 1)"), "file", "left_semi")
+    in_order = F.array_sort(F.collect_list(F.struct("block", "at", "value")))
     whole = (
-        spark.read.text(path, wholetext=True)
-        .select(
-            F.col("_metadata.file_path").alias("file"),
-            strict_json(strip(F.col("value"))).alias("v"),
-        )
+        lines.groupBy("file")
+        .agg(F.array_join(F.transform(in_order, lambda r: r["value"]), "\n").alias("value"))
+        .select("file", strict_json(strip(F.col("value"))).alias("v"))
     )
     kind = F.schema_of_variant("v")
     members = F.when(kind.startswith("ARRAY"), F.try_variant_get("v", "$", "array<variant>")).when(

@@ -14,16 +14,18 @@ def unprocessed(stream: DataFrame, done: DataFrame) -> DataFrame:
 
 
 def append_new(
-    stream: DataFrame, done: DataFrame, path: str, checkpoint: str, fmt: str = "json"
+    stream: DataFrame, done: DataFrame, path: str, checkpoint: str, fmt: str = "json", one_per_id: bool = True
 ) -> StreamingQuery:
-    """Append every new id once to ``path`` and stop when the input is read.
+    """Append the rows whose id is not finished to ``path`` and stop when the input is read.
 
-    The checkpoint remembers which files were read and which ids were written, so a restart
-    continues and writes nothing twice.
+    The checkpoint remembers which files were read, so a restart continues and writes no row twice.
+    With ``one_per_id`` it also remembers every id written, a state that grows with the ids, and
+    one row of each id (and one of those without) is written. Without it every row is written,
+    rows with a null or repeated id too, and no state is kept.
     """
+    new = unprocessed(stream, done)
     return (
-        unprocessed(stream, done)
-        .dropDuplicates(["id"])
+        (new.dropDuplicates(["id"]) if one_per_id else new)
         .writeStream.format(fmt)
         .option("path", path)
         .option("checkpointLocation", checkpoint)

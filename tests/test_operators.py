@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from rungwise.functions import prover as PF
 from rungwise.functions.relations import clauses_of
-from rungwise.operators import closure, collate, pairs, requests, rewards, rounds
+from rungwise.operators import closure, collate, critics, pairs, requests, rewards, rounds
 from rungwise.operators.ordering import heavy_keys, rank_in_key, with_index
 
 SOURCE = Path(__file__).resolve().parent.parent / "rungwise"
@@ -328,3 +328,34 @@ def test_prover_text(spark):
     old = PF.verdict(F.lit(True), PF.parse_body(F.lit(quiet)), vacuous=True).alias("old")
     row = spark.range(1).select(*v, old).first()
     assert [tuple(x) for x in row] == [(False, False, False), (False, True, False), (False, True, False), (True, True, True)]
+
+
+def test_coherence_ignores_what_is_not_finite_in_the_last_step(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [("a", 0, 0.9, 0.2), ("a", 1, 0.6, 0.1), ("a", 2, nan, 0.0), ("b", 0, inf, 0.0), ("b", 1, 0.5, 0.1), ("b", 2, inf, 0.0)]
+    rows += [("c", 0, nan, 0.0), ("c", 1, 0.3, 0.1), ("d", 0, 0.3, 0.1), ("e", 0, inf, 0.0), ("e", 1, 0.0, inf), ("e", 2, 0.1, 0.1)]
+    scores = spark.createDataFrame(rows, "doc_id string, step_pos int, entailment double, contradiction double")
+    got = {r.doc_id: r.coherence for r in critics.coherence(scores).collect()}
+    assert got["a"] == pytest.approx(0.6) and got["b"] == inf and math.isnan(got["c"]) and got["d"] is None and math.isnan(got["e"])
+
+
+def test_each_rewrite_is_made_once(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    def counted(text):
+        calls.add(1)
+        return text + "!"
+
+    rewritten = F.udf(counted)
+    steps = spark.createDataFrame([(i, "x") for i in range(4)], "id long, assumption string")
+    critique = lambda rows, n: rows.withColumns({"syntactic_ok": F.lit(True), "semantic_ok": F.col("id") < 2})
+    refined = rounds.refine_rounds(steps, critique, lambda rows, n: rows.withColumn("assumption", rewritten("assumption")), 3)
+    for _ in range(2):
+        assert sorted(r.assumption for r in refined.steps.collect()) == ["x", "x", "x!!!", "x!!!"]
+    assert calls.value == 6
+
+
+def test_long_chain_of_implications(spark):
+    clauses = spark.createDataFrame([("d", f"!p{i}", f"p{i + 1}", False) for i in range(70)], "doc_id string, a string, b string, single boolean")
+    got = closure.derived_implications(clauses)
+    assert got.filter("x = 'p0' and y = 'p70'").count() == 1

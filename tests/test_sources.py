@@ -276,3 +276,18 @@ def test_streams(spark, tmp_path):
     for _ in range(2):
         append_new(stream, done, str(tmp_path / "new"), str(tmp_path / "d")).awaitTermination(120)
     assert sorted(r.id for r in spark.read.json(str(tmp_path / "new")).collect()) == ["u0", "u2"]
+
+
+def test_layout_does_not_depend_on_size(spark, tmp_path):
+    texts = {
+        "array.json": json.dumps([{"id": str(i), "n": i} for i in range(50)], indent=2),
+        "object.json": json.dumps({"id": "one", "n": 1}, indent=1),
+        "line.json": json.dumps([{"id": "a"}, {"id": "b"}]),
+        "lines.json": "\n".join(json.dumps({"id": f"l{i}"}) for i in range(40)),
+        "commas.json": "\n".join(json.dumps({"id": f"c{i}"}) + "," for i in range(40)) + "\n{broken\n",
+    }
+    for name, text in texts.items():
+        (tmp_path / name).write_text(text)
+    found = jsonl.read_json_or_jsonl(spark, str(tmp_path)).select(jsonl.field("id").alias("id")).collect()
+    want = [str(i) for i in range(50)] + ["one", "a", "b"] + [f"l{i}" for i in range(40)] + [f"c{i}" for i in range(40)]
+    assert sorted(r.id for r in found) == sorted(want)
