@@ -47,17 +47,25 @@ def negate(literal: Column) -> Column:
     )
 
 
+_NOT_BITS = 14
 _LITERAL = r"!?\w+"
 _PART = rf"(?:Implies|Or|Equivalent)\({_LITERAL},{_LITERAL}\)|{_LITERAL}"
 
 
-def compact(expression: Column, not_depth: int = 4) -> Column:
-    """Expression without blanks, ``Not`` written as a ``!`` before its atom."""
+def compact(expression: Column) -> Column:
+    """Expression without blanks, ``Not`` written as a ``!`` before its atom.
+
+    Even runs of ``Not`` vanish by halves, the longest first, so any run below 2 ** _NOT_BITS comes
+    down to one or none.
+    """
     out = F.regexp_replace(expression, WS + "+", "")
-    for _ in range(not_depth):
-        out = F.regexp_replace(out, r"Not\((\w+)\)", "!$1")
-        out = F.regexp_replace(out, r"Not\(!(\w+)\)", "$1")
-    return out
+    even = out
+    for bit in range(_NOT_BITS - 1, 0, -1):
+        run = 1 << bit
+        even = F.regexp_replace(even, rf"(?:Not\(){{{run}}}(!?\w+)\){{{run}}}", "$1")
+    out = F.when(F.contains(out, F.lit("Not(Not(")), even).otherwise(out)
+    out = F.regexp_replace(out, r"Not\(!(\w+)\)", "$1")
+    return F.regexp_replace(out, r"Not\((\w+)\)", "!$1")
 
 
 def clauses_of(expression: Column) -> Column:

@@ -19,10 +19,11 @@ SECTION_HEADERS = {
 
 FROM_FINAL = FINAL_HEADER.replace("(?iu)", "(?ius)") + r".*\z"
 
-STEP_TYPE = "struct<n:int,premises:array<string>,assumptions:array<string>,conclusion:string>"
+STEP_TYPE = "struct<n:bigint,premises:array<string>,assumptions:array<string>,conclusion:string>"
 GENERATION_TYPE = (
-    "struct<final_tag:string,step_order_ok:boolean,step_numbers:array<int>,missing_steps:array<int>,"
-    f"duplicate_steps:array<int>,steps:array<{STEP_TYPE}>>"
+    "struct<final_tag:string,step_order_ok:boolean,step_numbers:array<bigint>,missing_steps:array<bigint>,"
+    "missing_ranges:array<struct<first:bigint,last:bigint>>,"
+    f"duplicate_steps:array<bigint>,steps:array<{STEP_TYPE}>>"
 )
 
 
@@ -51,7 +52,7 @@ def step_blocks(text: Column, final_after_last_step: bool = False) -> Column:
         numbered = F.transform(
             numbers,
             lambda n, i: F.struct(
-                n.try_cast("int").alias("n"),
+                n.try_cast("bigint").alias("n"),
                 strip(
                     F.when(i == F.size(pieces) - 2, cut_last(pieces)).otherwise(F.get(pieces, i + 1))
                 ).alias("block"),
@@ -122,15 +123,28 @@ def missing_numbers(numbers: Column, max_listed: int = 1_000_000) -> Column:
     """Numbers from 1 to the largest that do not occur (GEN-3).
 
     One absurd number would ask for an array of that length, so beyond ``max_listed`` the answer
-    is null, which no other case gives.
+    is null, which no other case gives; ``missing_ranges`` has the full answer whatever the numbers.
     """
-    top = F.coalesce(F.array_max(numbers), F.lit(0))
-    return F.when(top < 1, F.array().cast("array<int>")).when(
+    one = F.lit(1).cast("bigint")
+    top = F.coalesce(F.array_max(numbers), F.lit(0).cast("bigint"))
+    return F.when(top < 1, F.array().cast("array<bigint>")).when(
         top <= max_listed,
-        F.array_except(F.sequence(F.lit(1), F.greatest(F.least(top, F.lit(max_listed)), F.lit(1))), numbers),
+        F.array_except(F.sequence(one, F.greatest(F.least(top, F.lit(max_listed).cast("bigint")), one)), numbers),
     )
 
 
+def missing_ranges(numbers: Column) -> Column:
+    """The missing numbers as runs (first, last), at most one run per number that occurs (GEN-3)."""
+    counted = F.array_sort(F.array_distinct(F.filter(numbers, lambda n: n > 0)))
+    gaps = lambda s: F.transform(
+        s,
+        lambda n, i: F.struct(
+            (F.when(i > 0, F.get(s, i - 1)).otherwise(F.lit(0).cast("bigint")) + 1).alias("first"), (n - 1).alias("last")
+        ),
+    )
+    return let(counted, lambda s: F.filter(gaps(s), lambda g: g["first"] <= g["last"]))
+
+
 def duplicate_numbers(numbers: Column) -> Column:
     """Numbers that occur more than once, sorted (GEN-3)."""
     return let(
@@ -167,6 +181,7 @@ def parse_generation(text: Column, final_after_last_step: bool = False) -> Colum
                 order_ok(ns).alias("step_order_ok"),
                 ns.alias("step_numbers"),
                 missing_numbers(ns).alias("missing_steps"),
+                missing_ranges(ns).alias("missing_ranges"),
                 duplicate_numbers(ns).alias("duplicate_steps"),
                 steps.alias("steps"),
             ),

@@ -77,10 +77,39 @@ def _leaf_to_string(v: Column) -> Column:
     return F.when(kind == "BOOLEAN", F.initcap(text)).otherwise(text)
 
 
+_TOKEN = r'"(?:[^"\\]++|\\.)*+"|[\[\]{},:]|[^\[\]{},:"\s]+'
+
+
+def _flat_members(v: Column) -> Column:
+    """Members of a list and of all lists in it, however deep; objects stay whole.
+
+    The tokens of the JSON text are folded once: outside of objects, brackets and commas only
+    separate members, and what lies between the braces of an object is kept together.
+    """
+    tokens = F.regexp_extract_all(F.to_json(v), F.lit(_TOKEN), F.lit(0))
+    none = F.struct(F.lit(0).alias("open"), F.lit("").alias("held"), F.array().cast("array<string>").alias("out"))
+
+    def take(state: Column, token: Column) -> Column:
+        open_ = state["open"] + F.when(token == "{", 1).when(token == "}", -1).otherwise(0)
+        held = F.concat(state["held"], token)
+        return (
+            F.when(open_ > 0, F.struct(open_.alias("open"), held.alias("held"), state["out"].alias("out")))
+            .when(token.isin("[", "]", ","), state)
+            .otherwise(F.struct(open_.alias("open"), F.lit("").alias("held"), F.array_append(state["out"], held).alias("out")))
+        )
+
+    return F.transform(F.aggregate(tokens, none, take, lambda state: state["out"]), F.try_parse_json)
+
+
+def _members(v: Column) -> Column:
+    """Members of a list; if one of them is a list, the members of all lists in it."""
+    plain = F.try_variant_get(v, "$", "array<variant>")
+    nested = F.exists(plain, lambda m: _variant_kind(m).startswith("ARRAY"))
+    return F.when(nested, _flat_members(v)).otherwise(plain)
+
+
 def _unnest(v: Column) -> Column:
-    return F.when(
-        _variant_kind(v).startswith("ARRAY"), F.try_variant_get(v, "$", "array<variant>")
-    ).otherwise(F.array(v))
+    return F.when(_variant_kind(v).startswith("ARRAY"), _members(v)).otherwise(F.array(v))
 
 
 def _unnest_open(v: Column) -> Column:
@@ -94,7 +123,7 @@ def _unnest_open(v: Column) -> Column:
         )
         inner = F.when(usable, child).otherwise(inner)
     return (
-        F.when(kind.startswith("ARRAY"), F.try_variant_get(v, "$", "array<variant>"))
+        F.when(kind.startswith("ARRAY"), _members(v))
         .when(kind == "VOID", F.array().cast("array<variant>"))
         .when(kind.startswith("OBJECT") & inner.isNotNull(), F.array(inner))
         .otherwise(F.array(v))
@@ -108,17 +137,20 @@ def _leaves(v: Column, step: Callable[[Column], Column], depth: int) -> Column:
     return level
 
 
-def to_text(v: Column, depth: int = 4) -> Column:
-    """Strict text form of a variant holding a string or nested lists of strings (TXT-1a).
+def to_text(v: Column) -> Column:
+    """Strict text form of a variant holding a string or lists of strings, nested in any depth (TXT-1a).
 
-    Lists nested deeper than ``depth`` keep their JSON form. Null gives the empty text.
+    Null gives the empty text.
     """
-    words = F.transform(_leaves(v, _unnest, depth), _leaf_to_string)
+    words = F.transform(_unnest(v), _leaf_to_string)
     return F.coalesce(tidy(F.array_join(words, " ")), F.lit(""))
 
 
 def to_text_open(v: Column, depth: int = 4) -> Column:
-    """Lenient text form: objects yield ``text``, ``content`` or ``value``; nulls vanish (TXT-1b)."""
+    """Lenient text form: objects yield ``text``, ``content`` or ``value``; nulls vanish (TXT-1b).
+
+    Lists are opened in any depth; ``depth`` bounds how often objects and lists take turns.
+    """
     words = F.transform(_leaves(v, _unnest_open, depth), _leaf_to_string)
     return F.coalesce(tidy_keep_lines(F.array_join(words, " ")), F.lit(""))
 
@@ -165,11 +197,16 @@ def hypothesis(conclusion: Column) -> Column:
 
 def as_list(v: Column) -> Column:
     """Variant to strings: null to none, list to its members, scalar to one (TXT-7)."""
-    return F.transform(F.when(v.isNull(), F.array().cast("array<variant>")).otherwise(_unnest_or_none(v)), _leaf_to_string)
+    return F.transform(F.when(v.isNull(), F.array().cast("array<variant>")).otherwise(_own_members(v)), _leaf_to_string)
 
 
-def _unnest_or_none(v: Column) -> Column:
-    return F.when(_variant_kind(v) == "VOID", F.array().cast("array<variant>")).otherwise(_unnest(v))
+def _own_members(v: Column) -> Column:
+    kind = _variant_kind(v)
+    return (
+        F.when(kind == "VOID", F.array().cast("array<variant>"))
+        .when(kind.startswith("ARRAY"), F.try_variant_get(v, "$", "array<variant>"))
+        .otherwise(F.array(v))
+    )
 
 
 def first_group(c: Column, pattern: str, group: int = 1) -> Column:

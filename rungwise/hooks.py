@@ -17,6 +17,7 @@ BatchFunction = Callable[[pd.DataFrame], pd.DataFrame]
 SeriesFunction = Callable[[pd.Series], pd.Series]
 
 COMPLETION = "completion string"
+GIVE_UP_AFTER = 1000
 CRITIQUE = (
     "semantic_ok boolean, syntactic_ok boolean, error_code string, solving_time double, "
     "proof_tactics array<string>, code string, logical_information string"
@@ -32,12 +33,14 @@ def apply_hook(
     load: Callable[[], BatchFunction],
     schema: str,
     partitions: int | None = None,
+    give_up_after: int = GIVE_UP_AFTER,
 ) -> DataFrame:
     """Add the columns of ``schema`` and ``error`` to ``df`` (UDF-1, UDF-2).
 
     ``load`` runs once per task and returns the batch function, so a model is loaded per task and
     not per batch. A failing batch is halved until its bad rows stand alone, so only they carry an error.
-    ``partitions`` spreads the rows evenly before the hook.
+    ``partitions`` spreads the rows evenly before the hook. A task that sees ``give_up_after`` rows
+    fail and none succeed fails itself: then the model is down, not the rows bad.
     """
     added = _fields(schema)
     names = [f.name for f in added]
@@ -48,23 +51,31 @@ def apply_hook(
         result.index = batch.index
         return batch.assign(**{n: result[n] for n in names}, error=None)
 
-    def in_parts(function: BatchFunction, batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        try:
-            yield run(function, batch)
-        except Exception as failure:  # one bad row fails its batch; halves narrow it down
-            if len(batch) == 1:
-                text = f"{type(failure).__name__}: {failure}"
-                yield batch.assign(**{n: None for n in names}, error=text)
-            else:
-                middle = len(batch) // 2
-                yield from in_parts(function, batch.iloc[:middle])
-                yield from in_parts(function, batch.iloc[middle:])
-
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         function = load()
+        good = bad = 0
+
+        def in_parts(batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
+            nonlocal good, bad
+            try:
+                result = run(function, batch)
+            except Exception as failure:  # one bad row fails its batch; halves narrow it down
+                if len(batch) > 1:
+                    middle = len(batch) // 2
+                    yield from in_parts(batch.iloc[:middle])
+                    yield from in_parts(batch.iloc[middle:])
+                    return
+                bad += 1
+                if not good and bad >= give_up_after:
+                    raise RuntimeError(f"the hook failed for all of {bad} rows") from failure
+                yield batch.assign(**{n: None for n in names}, error=f"{type(failure).__name__}: {failure}")
+            else:
+                good += len(batch)
+                yield result
+
         for batch in batches:
             if not batch.empty:
-                yield from in_parts(function, batch)
+                yield from in_parts(batch)
 
     source = df.repartition(partitions) if partitions else df
     return source.mapInPandas(task, out)

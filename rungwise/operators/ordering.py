@@ -30,18 +30,23 @@ def heavy_keys(df: DataFrame, keys: Sequence[str], heavy_rows: int = HEAVY_ROWS)
         df.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("_rows"))
         .filter(F.col("_rows") > heavy_rows)
-        .orderBy(F.col("_rows").desc())
+        .orderBy(F.col("_rows").desc(), *keys)
         .limit(MAX_HEAVY_KEYS)
         .select(*[F.col(k).alias(f"_heavy_{k}") for k in keys])
     )
 
 
 def tag_heavy(df: DataFrame, keys: Sequence[str], heavy_rows: int = HEAVY_ROWS) -> DataFrame:
-    """Add the boolean ``_heavy``: whether the row's key is a heavy one. Keys are never null here."""
-    heavy = heavy_keys(df, keys, heavy_rows).withColumn("_heavy", F.lit(True))
+    """Add the boolean ``_heavy``: whether the row's key is a heavy one. A null key is a key."""
+    return mark_heavy(df, keys, heavy_keys(df, keys, heavy_rows))
+
+
+def mark_heavy(df: DataFrame, keys: Sequence[str], heavy: DataFrame) -> DataFrame:
+    """Add ``_heavy`` from a list that ``heavy_keys`` made."""
+    heavy = heavy.withColumn("_heavy", F.lit(True))
     condition = F.lit(True)
     for k in keys:
-        condition = condition & (F.col(k) == F.col(f"_heavy_{k}"))
+        condition = condition & F.col(k).eqNullSafe(F.col(f"_heavy_{k}"))
     return (
         df.join(F.broadcast(heavy), condition, "left")
         .withColumn("_heavy", F.coalesce("_heavy", F.lit(False)))

@@ -18,9 +18,10 @@ from rungwise.operators.ordering import (
     block_keys,
     carry_last,
     heavy_keys,
+    mark_heavy,
     tag_blocks,
-    tag_heavy,
 )
+from rungwise.session import materialize
 
 STEP_KEYS = ("id", "gen_pos", "step_pos")
 BANK_TILE = 256
@@ -107,11 +108,12 @@ def premise_grounding(
     The given vectors travel as tiles of at most ``BANK_TILE``, and one number leaves a tile, so
     the pairs of a record are never rows. Records with very many premises are salted.
     """
-    heavy = heavy_keys(used, ["id"], heavy_rows)
+    # Stored, so that both sides of the join salt the same records.
+    heavy = materialize(heavy_keys(used, ["id"], heavy_rows), "grounding-heavy")
     salt = F.when(
         F.col("_heavy"), F.pmod(F.xxhash64("gen_pos", "step_pos", "pos"), F.lit(SALTS))
     ).otherwise(F.lit(0))
-    salted = tag_heavy(used, ["id"], heavy_rows).withColumn("_salt", salt.cast("int")).drop("_heavy")
+    salted = mark_heavy(used, ["id"], heavy).withColumn("_salt", salt.cast("int")).drop("_heavy")
     salts = F.when(F.col("_heavy_id").isNotNull(), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(
         F.array(F.lit(0))
     )

@@ -18,13 +18,26 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return found is not None and len(found) > 0
 
 
+# Number words that writers of the format use although JSON has none for them.
+_NUMBER_WORD = r'(?s)\G((?:[^"NI-]++|-(?!Infinity)|"(?:[^"\\]++|\\.)*+")*+)(?:NaN|-?Infinity)'
+
+
+def plain_numbers(c: Column) -> Column:
+    """JSON text with null for the bare words NaN and Infinity; words inside strings stay."""
+    return F.when(c.rlike("NaN|Infinity"), F.regexp_replace(c, _NUMBER_WORD, "$1null")).otherwise(c)
+
+
 def strict_json(c: Column) -> Column:
     """Variant of a text that is exactly one JSON value, else null.
 
+    The number words NaN and Infinity read as null. Of repeated keys the last wins where the
+    session has ``spark.sql.variant.allowDuplicateKeys``, which the readers here set.
+
     The built-in parser stops after the first value and does not look at what follows. Inside
     brackets, and inside braces, whatever follows is an error; a text that closes one of the two
     by itself does not fit the other.
     """
+    c = plain_numbers(c)
     listed = F.try_parse_json(F.concat(F.lit("["), c, F.lit("]")))
     keyed = F.try_parse_json(F.concat(F.lit('{"v":'), c, F.lit("}")))
     only = F.try_variant_get(listed, "$[1]", "variant").isNull()
@@ -38,6 +51,7 @@ def read_lines(spark: SparkSession, *paths: str, glob: str | None = None) -> Dat
     ``at`` grows along it. Together they give the order of the input; ``at`` alone does not,
     because splits are not read in file order. A missing path gives no rows.
     """
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     frames = []
     for rank, path in enumerate(paths):
         if not path_exists(spark, path):
@@ -192,8 +206,12 @@ def with_shards(df: DataFrame, shards: int, order: Sequence[str]) -> DataFrame:
 
 
 def write_shards(df: DataFrame, path: str, value: str = "value") -> None:
-    """Lines of ``with_shards`` below ``path``, one folder per shard, in order."""
-    df.repartition("shard").sortWithinPartitions("shard", "idx").select("shard", value).write.partitionBy(
+    """Lines of ``with_shards`` below ``path``, one folder per shard, in order.
+
+    Rows are cut by ranges of position, so a large shard is written by several tasks; the names of
+    its files follow their order.
+    """
+    df.repartitionByRange("shard", "idx").sortWithinPartitions("shard", "idx").select("shard", value).write.partitionBy(
         "shard"
     ).text(path)
 

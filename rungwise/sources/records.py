@@ -34,7 +34,7 @@ def _members(v: Column) -> Column:
 
 def _step(v: Column, position: Column) -> Column:
     return F.struct(
-        F.coalesce(_member(v, "n", "int"), position + 1).alias("n"),
+        F.coalesce(_member(v, "n", "bigint"), position + 1).alias("n"),
         as_list(_first_member(v, STEP_PREMISE_NAMES)).alias("premises"),
         as_list(_first_member(v, STEP_ASSUMPTION_NAMES)).alias("assumptions"),
         _member(v, "conclusion", "string").alias("conclusion"),

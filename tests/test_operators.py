@@ -359,3 +359,11 @@ def test_long_chain_of_implications(spark):
     clauses = spark.createDataFrame([("d", f"!p{i}", f"p{i + 1}", False) for i in range(70)], "doc_id string, a string, b string, single boolean")
     got = closure.derived_implications(clauses)
     assert got.filter("x = 'p0' and y = 'p70'").count() == 1
+
+
+def test_long_runs_of_not(spark):
+    cases = [f"Implies({'Not(' * n}A{')' * n}, B)" for n in (1, 2, 3, 8, 77, 1000)]
+    frame = spark.createDataFrame(list(enumerate(cases)), "i int, e string")
+    got = [r.c for r in frame.select("i", clauses_of(F.col("e")).alias("c")).orderBy("i").collect()]
+    negative, positive = [("A", "B")], [("!A", "B")]
+    assert [[tuple(c) for c in row] for row in got] == [negative, positive, negative, positive, negative, positive]

@@ -291,3 +291,35 @@ def test_layout_does_not_depend_on_size(spark, tmp_path):
     found = jsonl.read_json_or_jsonl(spark, str(tmp_path)).select(jsonl.field("id").alias("id")).collect()
     want = [str(i) for i in range(50)] + ["one", "a", "b"] + [f"l{i}" for i in range(40)] + [f"c{i}" for i in range(40)]
     assert sorted(r.id for r in found) == sorted(want)
+
+
+def test_number_words_and_repeated_keys(spark, tmp_path):
+    long = 'word \\" ' * 20000 + "end"
+    lines = [
+        '{"id":"a","r":[NaN,0.9,-Infinity,Infinity]}',
+        '{"id":"x","id":"b","t":"NaN, \\"Infinity"}',
+        '{"id":"c","r":[NaN}',
+        '{"id":"d","r":[-1,2e-3]}',
+        '{"id":"e","r":nan}',
+        f'{{"id":"f","t":{json.dumps(long)},"r":NaN}}',
+    ]
+    (tmp_path / "in.jsonl").write_text("\n".join(lines))
+    read = jsonl.read_jsonl(spark, str(tmp_path / "in.jsonl"))
+    rows = jsonl.good_records(read).select(jsonl.field("id").alias("id"), F.to_json(jsonl.field("r", "variant")).alias("r"), jsonl.field("t").alias("t"))
+    got = {r.id: (r.r, r.t) for r in rows.collect()}
+    assert sorted(got) == ["a", "b", "d", "f"]
+    assert got["a"][0] == "[null,0.9,null,null]" and got["b"][1] == 'NaN, "Infinity'
+    assert got["f"] == ("null", long)
+    assert jsonl.bad_lines(read).count() == 2
+
+
+def test_a_hook_that_always_fails_stops_the_job(spark):
+    def load():
+        def fail(batch):
+            raise OSError("down")
+
+        return fail
+
+    with pytest.raises(Exception, match="failed for all of 3 rows"):
+        hooks.apply_hook(spark.range(10).coalesce(1), load, "x string", give_up_after=3).collect()
+    assert hooks.apply_hook(spark.range(2).coalesce(1), load, "x string", give_up_after=3).filter("error is not null").count() == 2

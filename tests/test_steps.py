@@ -86,3 +86,12 @@ def test_format(spark):
         "Step 2:\nPremise: \nAssumption: \nConclusion: f\nFinal answer: [x]"
     )
     assert row.b == "Final answer: []"
+
+
+def test_numbers_beyond_an_int(spark):
+    text = "Step 3:\nConclusion: a\nStep 99999999999:\nConclusion: b\nStep 2:\nConclusion: c"
+    g = spark.range(1).select(parse_generation(F.lit(text)).alias("g")).first().g
+    assert g.step_numbers == [3, 99999999999, 2] and not g.step_order_ok
+    assert [tuple(r) for r in g.missing_ranges] == [(1, 1), (4, 99999999998)]
+    none = spark.range(1).select(parse_generation(F.lit("Step 1:\nx")).alias("g")).first().g
+    assert none.missing_ranges == [] and none.missing_steps == []

@@ -147,3 +147,11 @@ def test_prompts(spark):
     messages = P.build_messages(F.lit("p"), F.lit("q"), F.col("c"), "remote", system="S", user="{premise}|{question}|")
     ((flat,),) = column(spark, ["multilogieval_1"], P.collapse_messages(messages))
     assert flat == "system\nS\nuser\np|q\n\nAnswer with exactly one label: yes or no.|\nassistant\n"
+
+
+def test_lists_nested_without_bound(spark):
+    deep = "[" * 40 + '"a [x], {y}"' + "]" * 39 + ',"b",{"k":["c",1]}]'
+    v = F.try_parse_json("c")
+    [(strict, lenient)] = column(spark, [deep], T.to_text(v), T.to_text_open(v))
+    assert strict == 'a [x], {y} b {"k":["c",1]}'
+    assert lenient.startswith("a [x], {y} b")
