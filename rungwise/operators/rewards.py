@@ -20,6 +20,7 @@ from rungwise.operators.ordering import (
     heavy_keys,
     mark_heavy,
     tag_blocks,
+    tag_heavy,
 )
 from rungwise.session import materialize
 
