@@ -8,7 +8,8 @@ which bitmaps of the bin tell. Without such a bin a new one is opened.
 
 Best fit is sequential, so rows are dealt by a hash into shards of about ``per_shard`` rows, and
 each shard is packed on its own with bounded memory. A hot source or cluster is dealt evenly over
-all shards. The only loss is one part-filled set of bins per shard. Only ids and lengths move, not
+all shards, and so are rows that repeat each other: equal items are counted before the shuffle and
+dealt by their number. The only loss is one part-filled set of bins per shard. Only ids and lengths move, not
 texts; a bin's text is put together from ``doc_id``, ``start`` and ``length``.
 
 Defined results: every document gives at least one row; a null or empty text is an item of length 0
@@ -126,8 +127,12 @@ def pack(
         ids = table.column("doc_id").take(pa.array(out.pop("row"), pa.int64()))
         return pa.table({"doc_id": ids, **{name: pa.array(v, pa.int64()) for name, v in out.items()}})
 
+    # Equal items differ by their number alone, which any order of the rows gives alike.
+    numbered = items.groupBy(*items.columns).agg(F.count(F.lit(1)).alias("n")).select(
+        *items.columns, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n"))).alias("copy")
+    )
     return (
-        items.withColumn("shard", F.pmod(F.xxhash64("doc_id", "length", "source", "cluster"), F.lit(shards)))
+        numbered.select(*items.columns, F.pmod(F.xxhash64(*items.columns, "copy"), F.lit(shards)).alias("shard"))
         .groupBy("shard")
         .applyInArrow(
             pack_shard,

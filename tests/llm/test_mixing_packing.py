@@ -101,3 +101,14 @@ def test_packing_is_whole_and_compatible(spark):
         texts = [by_id[r.doc_id].text for r in members if by_id[r.doc_id].text]
         assert len(sources) == len(set(sources)) and len(texts) == len(set(texts))
     assert pack(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_repeated_rows_are_spread_over_shards(spark):
+    rows = [(7, "same text", "hot", "c", 1, "z")] * 900 + [(100 + i, f"other {i}", "s", "c", 1, "z") for i in range(300)]
+    source = spark.createDataFrame(rows, SCHEMA)
+    got = pack(source, capacity=64, per_shard=100).collect()
+    shards = Counter(r.bin_id >> 32 for r in got if r.doc_id == 7)
+    assert len(got) == 1200 and shards.total() == 900
+    assert len(shards) == 12 and max(shards.values()) < 200
+    same = pack(source.repartition(7), capacity=64, per_shard=100).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, same))
