@@ -26,7 +26,7 @@ from rungwise.session import materialize
 
 STEP_KEYS = ("id", "gen_pos", "step_pos")
 BANK_TILE = 256
-SALTS = 64
+GRID = 8
 GENERATIONS_PER_BLOCK = 64
 TOKENS_IN_ONE_ROW = 100_000
 
@@ -73,18 +73,23 @@ def carry_conclusion(
 
 
 def _tile_maxima(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Largest dot product of each row's vector with the vectors of its tile."""
+    """Largest dot product of each used vector of a tile with the given vectors of another."""
+
+    def matrix(vectors: pa.Array) -> np.ndarray:
+        return np.asarray(vectors.flatten(), dtype=np.float64).reshape(len(vectors), -1)
+
     for batch in batches:
-        used, tiles = batch.column("embedding"), batch.column("tile")
-        best = np.full(batch.num_rows, np.nan)
-        for row in range(batch.num_rows):
-            vector = np.asarray(used[row].values, dtype=np.float64)
-            flat = np.asarray(tiles[row].values.flatten(), dtype=np.float64)
-            best[row] = (flat.reshape(-1, vector.size) @ vector).max()
-        keep = [batch.column(c) for c in ("id", "gen_pos", "step_pos", "pos")]
-        yield pa.RecordBatch.from_arrays(
-            [*keep, pa.array(best)], names=["id", "gen_pos", "step_pos", "pos", "sim"]
-        )
+        tiles, best = [], []
+        for used, given in zip(batch.column("used"), batch.column("given")):
+            tiles.append(used.values)
+            best.append((matrix(used.values.field("embedding")) @ matrix(given.values).T).max(axis=1))
+        if tiles:
+            rows = np.repeat(np.arange(len(tiles)), [len(t) for t in tiles])
+            keys = [pa.concat_arrays([t.field(c) for t in tiles]) for c in ("gen_pos", "step_pos", "pos")]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id").take(pa.array(rows)), *keys, pa.array(np.concatenate(best))],
+                names=["id", "gen_pos", "step_pos", "pos", "sim"],
+            )
 
 
 def _dot(a: Column, b: Column) -> Column:
@@ -106,30 +111,41 @@ def premise_grounding(
     at hand. Each used premise counts with its best cosine, held to [0, 1]; a step counts with the
     mean. No premises give 1.0, nothing to compare with gives 0.0.
 
-    The given vectors travel as tiles of at most ``BANK_TILE``, and one number leaves a tile, so
-    the pairs of a record are never rows. Records with very many premises are salted.
+    Given vectors travel as tiles of at most ``BANK_TILE``, used ones as one tile per generation,
+    whose premises came in one text. A pair of tiles is one product and gives one number per used
+    premise, so the pairs of a record are never rows. A record with very many vectors of either
+    kind is cut into a grid: each tile goes along one axis of it. Null vectors match nothing.
     """
-    # Stored, so that both sides of the join salt the same records.
-    heavy = materialize(heavy_keys(used, ["id"], heavy_rows), "grounding-heavy")
-    salt = F.when(
-        F.col("_heavy"), F.pmod(F.xxhash64("gen_pos", "step_pos", "pos"), F.lit(SALTS))
-    ).otherwise(F.lit(0))
-    salted = mark_heavy(used, ["id"], heavy).withColumn("_salt", salt.cast("int")).drop("_heavy")
-    salts = F.when(F.col("_heavy_id").isNotNull(), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(
-        F.array(F.lit(0))
+    # Stored, so that both sides of the join cut the same records; twice a limited list.
+    heavy = heavy_keys(used, ["id"], heavy_rows).union(heavy_keys(base, ["id"], heavy_rows)).distinct()
+    heavy = materialize(heavy, "grounding-heavy")
+    axis = F.when(F.col("_heavy"), F.sequence(F.lit(0), F.lit(GRID - 1))).otherwise(F.array(F.lit(0)))
+
+    def on_grid(tiles: DataFrame, place: Column, own: str, other: str) -> DataFrame:
+        return (
+            mark_heavy(tiles, ["id"], heavy)
+            .withColumn(own, F.when(F.col("_heavy"), F.pmod(place, F.lit(GRID))).otherwise(F.lit(0)).cast("int"))
+            .withColumn(other, F.explode(axis))
+            .drop("_heavy")
+        )
+
+    used_tiles = (
+        used.filter("embedding is not null")
+        .groupBy("id", "gen_pos")
+        .agg(F.collect_list(F.struct("gen_pos", "step_pos", "pos", "embedding")).alias("used"))
     )
-    tiles = (
-        base.groupBy("id", F.floor(F.col("pos") / BANK_TILE).alias("_tile"))
-        .agg(F.collect_list("embedding").alias("tile"))
-        .join(F.broadcast(heavy), F.col("id") == F.col("_heavy_id"), "left")
-        .select("id", "tile", F.explode(salts).alias("_salt"))
+    given_tiles = (
+        base.filter("embedding is not null")
+        .groupBy("id", F.floor(F.col("pos") / BANK_TILE).alias("_tile"))
+        .agg(F.collect_list("embedding").alias("given"))
     )
     key_types = {f.name: f.dataType.simpleString() for f in used.schema}
     out = ", ".join(f"{c} {key_types[c]}" for c in (*STEP_KEYS, "pos")) + ", sim double"
     premise_keys = [*STEP_KEYS, "pos"]
     from_base = (
-        salted.join(tiles, ["id", "_salt"])
-        .select(*premise_keys, "embedding", "tile")
+        on_grid(used_tiles, F.xxhash64("gen_pos"), "_row", "_column")
+        .join(on_grid(given_tiles, F.col("_tile"), "_column", "_row"), ["id", "_row", "_column"])
+        .select("id", "used", "given")
         .mapInArrow(_tile_maxima, out)
     )
     from_carry = used.join(

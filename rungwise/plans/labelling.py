@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from rungwise.functions import text as T
 from rungwise.operators import rewards
+from rungwise.session import materialize
 
 STEP_KEYS = list(rewards.STEP_KEYS)
 
@@ -54,21 +55,29 @@ def label(
 
     ``id`` is unique per record and ``premises`` is an array of texts. ``embed`` gives unit vectors,
     ``attempts`` holds the verdicts of a critic per step and attempt, ``confidence`` the fallback for
-    steps no attempt could read.
+    steps no attempt could read. Each distinct text is embedded once, and its vector stored.
     """
     generations = explode_generations(records)
-    steps = rewards.carry_conclusion(explode_steps(generations))
+    steps = materialize(
+        rewards.carry_conclusion(explode_steps(generations)).select(
+            *STEP_KEYS, "premises", "previous_conclusion", "stored_validity"
+        ),
+        "label-steps",
+    )
     base = records.select(
         "id", F.posexplode(T.atoms_of_list(F.col("premises"))).alias("pos", "_t")
-    ).select("id", "pos", embed(T.squeeze(F.col("_t"))).alias("embedding"))
+    ).select("id", "pos", T.squeeze(F.col("_t")).alias("text"))
     used = (
         steps.select(*STEP_KEYS, F.posexplode("premises").alias("pos", "_t"))
         .filter(T.strip(F.col("_t")) != "")
-        .select(*STEP_KEYS, "pos", embed(T.squeeze(F.col("_t"))).alias("embedding"))
+        .select(*STEP_KEYS, "pos", T.squeeze(F.col("_t")).alias("text"))
     )
     carried = steps.filter("previous_conclusion is not null").select(
-        *STEP_KEYS, embed(T.squeeze(F.col("previous_conclusion"))).alias("embedding")
+        *STEP_KEYS, T.squeeze(F.col("previous_conclusion")).alias("text")
     )
+    texts = base.select("text").union(used.select("text")).union(carried.select("text")).distinct()
+    vectors = materialize(texts.select("text", embed(F.col("text")).alias("embedding")), "label-vectors")
+    used, base, carried = (rows.join(vectors, "text").drop("text") for rows in (used, base, carried))
     grounded = rewards.premise_grounding(
         steps.select(*STEP_KEYS, "stored_validity"), used, base, carried
     )
@@ -84,3 +93,32 @@ def label(
         ),
     ).select(*STEP_KEYS, "premise_validity", "_m.logic_validity", "_m.syntactic_ok", "_m.semantic_ok")
     return rewards.generation_rewards(generations.drop("steps"), metrics)
+
+
+def label_records(
+    records: DataFrame,
+    embed: Callable[[Column], Column],
+    attempts: DataFrame,
+    confidence: DataFrame | None = None,
+    failures: DataFrame | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """Records with ``reward_score`` and ``per_step_validity``, and error records ``(id, error)``.
+
+    The lists follow the order of ``generations``; a record without generations has empty ones.
+    ``failures(id, error)`` names records whose hooks failed, in any number of rows; they become
+    error records with the least message. Earlier rewards are replaced.
+    """
+    kept = records.drop("reward_score", "per_step_validity")
+    if failures is None:
+        bad = kept.select("id", F.lit(None).cast("string").alias("error")).filter(F.lit(False))
+    else:
+        failed = failures.groupBy("id").agg(F.min("error").alias("error"))
+        bad = materialize(kept.select("id").join(failed, "id"), "label-errors")
+        kept = kept.join(bad.select("id"), "id", "left_anti")
+    labelled = label(kept, embed, attempts, confidence)
+    rewarded = rewards.record_rewards(labelled)
+    types = dict(rewarded.dtypes)
+    good = kept.join(rewarded, "id", "left")
+    for column in ("reward_score", "per_step_validity"):
+        good = good.withColumn(column, F.coalesce(column, F.array().cast(types[column])))
+    return good, bad

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from rungwise import hooks
 from rungwise.operators.collate import collate_chunks
-from rungwise.plans.labelling import label
+from rungwise.plans.labelling import label, label_records
 from rungwise.plans.preference import preference_pairs
 from rungwise.plans.refinement import refine_records
 from rungwise.plans.rollout import parsed_rollouts, questions, remote_replies, sampling_requests
@@ -228,6 +228,34 @@ def test_labelling_plan(spark):
     assert got[2].reward == 0.0
 
 
+def test_labelled_records(spark):
+    steps = [(1, ["x"], [], "- y"), (2, ["x", "y"], [], "z")]
+    rows = [(str(i), "A", ["x."], [("A", steps), ("A", steps)]) for i in range(4)] + [("none", "A", [], []), ("bad", "A", ["x."], [("A", steps)])]
+    frame = spark.createDataFrame(rows, f"id string, answer string, premises array<string>, generations {GENERATION}")
+    calls = spark.sparkContext.accumulator(0)
+
+    def load():
+        def vectors(texts):
+            calls.add(len(texts))
+            return texts.map(lambda t: [float("x" in t), float("y" in t), float("z" in t)])
+
+        return vectors
+
+    attempts = spark.createDataFrame([("0", 0, 0, 0, True, True)], "id string, gen_pos int, step_pos int, attempt int, syntactic_ok boolean, semantic_ok boolean")
+    failures = spark.createDataFrame([("bad", "late"), ("bad", "broken"), ("other", "x")], "id string, error string")
+    good, bad = label_records(frame, hooks.embed(load), attempts, failures=failures)
+    for _ in range(2):
+        got = {r.id: r for r in good.collect()}
+        assert [tuple(r) for r in bad.collect()] == [("bad", "broken")]
+    # The texts "x.", "x" and "y"; reading the result twice asks for none of them again.
+    assert calls.value == 3
+    assert set(got) == {"0", "1", "2", "3", "none"}
+    assert got["none"].reward_score == [] and got["none"].per_step_validity == []
+    assert got["1"].reward_score == pytest.approx([0.75, 0.75])
+    assert got["0"].reward_score == pytest.approx([0.875, 0.75])
+    assert [m.premise_validity for m in got["2"].per_step_validity[1]] == [1.0, 1.0]
+
+
 def test_refinement_plan(spark):
     rows = [
         ("1", "A", [("A", [(1, ["p", "q"], ["s", "t"], "- y"), (2, [], [], "z")]), (None, [])], [0.5, 0.5]),
