@@ -1,10 +1,13 @@
 """Main text of web pages by minimum-cut labelling.
 
 A page is cut into text blocks at block-level tags. A scorer gives each block a cost for being
-content and one for being boilerplate: the nearest deciding ancestor (article or main against menus,
-headers, footers, asides, forms, adverts, notices, comments, told by tag, class, id or role), and
-where no ancestor decides, link density, length and sentence marks. The costs become capacities
-between the block and the two terminals. Blocks that follow each other are joined by smoothness
+content and one for being boilerplate: the nearest deciding ancestor (article, main or a content
+class against menus, headers, footers, asides, forms and comments), and where no ancestor decides,
+link density, length and sentence marks. Words of a class or id are finite evidence for boilerplate
+that is weighed with these; an article or main mark on the element itself or below it outweighs
+them, as it does an element that is never closed, and they count for nothing around mostly prose.
+A form around the page decides nothing. The costs become capacities between the block and the two
+terminals. Blocks that follow each other are joined by smoothness
 edges that are stronger the nearer they are in the document tree, and so are the text neighbours of
 one container. The maximum flow separates the page: blocks still reachable from the content
 terminal are content.
@@ -24,7 +27,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -55,13 +58,23 @@ BOILER_WORDS = frozenset(
     "notices pager pagination popup promo promoted promotion recommended related replies respond search share sharing "
     "sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget widgets".split()
 )
+COMMENT_WORDS = frozenset("comment comments disqus replies respond".split())
 HEADER_WORDS = frozenset({"header", "topbar"})
+# A word after one of these, or before one of the second, names a state or a topic, not a part of the page.
+STATE_BEFORE = frozenset("has have with without no not is hide show category cat tag tagged topic".split())
+STATE_AFTER = frozenset("open closed enabled disabled on off".split())
 CONTENT_WORDS = frozenset("article entry post story".split())
 CONTENT_NAMES = frozenset("article content main post entry story".split())
 BOILER_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search".split())
 CONTENT_ROLES = frozenset("article main".split())
 
+# Tags that only the frame of a page holds; a form around one of them is the page.
+FRAME_TAGS = frozenset("article main nav header footer aside h1".split())
+
 SURE = 600
+SHORT = 60
+CLASS_WORDS = 200
+INSIDE = 100
 ADJACENT = 40
 CONTAINER = 20
 
@@ -77,14 +90,22 @@ _SENTENCE = re.compile(r"[.!?…。](?:\s|$)")
 
 @dataclass(slots=True)
 class Element:
-    """An open element: ``state`` is 1 inside content, -1 inside boilerplate, else 0."""
+    """An element. ``state`` is 1 inside content, -1 inside boilerplate, else 0."""
 
     tag: str
     number: int
-    depth: int
-    state: int
     link: bool
     container: int
+    mark: str
+    up: Element | None
+    closed: bool = False
+    frame: bool = False
+    state: int = 0
+    comments: bool = False
+    lost: bool = False
+    article: bool = False
+    marked: int = 0
+    regained: int = 0
 
 
 @dataclass(slots=True)
@@ -97,32 +118,111 @@ class Block:
     linked: int
     path: tuple[int, ...]
     container: int
+    marked: bool = False
 
 
-def _judge(tag: str, rest: str, state: int) -> int:
-    """State inside an element, from its own marks and the state around it."""
-    words: set[str] = set()
+def _mark(tag: str, rest: str) -> str:
+    """What the tag, role, class and id of an element say about it by themselves."""
     roles: set[str] = set()
+    words: set[str] = set()
+    boiler = comments = one_comment = header = mixed = False
     if rest and tag not in ("html", "body"):
         for name, *values in _NAMED.findall(rest):
-            value = next(filter(None, values), "")
-            if name.lower() == "role":
-                roles.update(value.lower().split())
-            else:
-                words.update(w.lower() for w in _WORD.findall(value))
-    if tag in BOILER_TAGS or roles & BOILER_ROLES or words & BOILER_WORDS:
-        return -1
-    if (tag == "header" or words & HEADER_WORDS) and state <= 0 and not words & CONTENT_WORDS:
-        return -1
-    if state == 0 and (tag in CONTENT_TAGS or roles & CONTENT_ROLES or words & CONTENT_NAMES):
-        return 1
-    return state
+            for token in next(filter(None, values), "").split():
+                if name.lower() == "role":
+                    roles.add(token.lower())
+                    continue
+                parts = [w.lower() for w in _WORD.findall(token)]
+                words.update(parts)
+                one_comment |= parts[:1] == ["comment"]
+                if parts and parts[-1] in STATE_AFTER:
+                    continue
+                part = {w for i, w in enumerate(parts) if not STATE_BEFORE & set(parts[:i])}
+                boiler |= bool(part & BOILER_WORDS)
+                comments |= bool(part & COMMENT_WORDS)
+                header |= bool(part & HEADER_WORDS)
+                mixed |= bool(part & CONTENT_NAMES) and not part & BOILER_WORDS
+    if tag in CONTENT_TAGS or roles & CONTENT_ROLES:
+        if tag == "main" or "main" in roles:
+            return "main"
+        return "comment article" if one_comment and not words & CONTENT_WORDS else "article"
+    if tag == "form":
+        return "form"
+    if tag in BOILER_TAGS or roles & BOILER_ROLES:
+        return "boiler"
+    if comments:
+        return "comments"
+    if boiler:
+        return "content words" if mixed else "words"
+    if tag == "header" and not words & CONTENT_WORDS:
+        return "header"
+    if header and not words & CONTENT_WORDS:
+        return "header words"
+    return "content" if mixed or words & CONTENT_NAMES else ""
+
+
+def _judge(e: Element, wraps: bool) -> None:
+    """Sets the state inside an element from its own mark and the state around it."""
+    up, mark = e.up, e.mark
+    e.state, e.comments, e.lost, e.article, e.marked, e.regained = up.state, up.comments, up.lost, up.article, up.marked, up.regained
+    if mark == "comment article" and up.state > 0:
+        e.state, e.comments, e.lost = -1, True, False
+    elif mark in ("main", "article", "comment article"):
+        again = up.lost if not up.comments else mark == "main"
+        if (up.state >= 0 and not (up.marked and up.article)) or (up.state < 0 and again):
+            # Below other marks, an article that is mostly links is a teaser.
+            e.regained = e.number if up.marked else up.regained
+            e.state, e.comments, e.lost, e.marked = 1, False, False, 0
+        e.article = up.article or mark != "main"
+    elif mark == "comments":
+        e.state, e.comments, e.lost = -1, True, False
+    elif mark == "boiler" or (mark == "form" and not wraps) or (mark == "header" and up.state <= 0):
+        e.lost = not e.closed and (up.lost or up.state >= 0)
+        e.state = -1
+    elif mark in ("words", "content words") or (mark == "header words" and up.state <= 0):
+        e.marked = e.number
+        e.state = 1 if mark == "content words" and up.state == 0 else up.state
+    elif mark == "content" and up.state == 0:
+        e.state = 1
+
+
+def _settle(out: list[Block], elements: list[Element], inside: list[Element]) -> None:
+    """Sets the states of the blocks, whose innermost elements are given, once all is known."""
+    held, prose = Counter(), Counter()
+    for b, e in zip(out, inside):
+        held[e.number] += len(b.text)
+        prose[e.number] += _value(b) > SHORT
+    half = held.total() / 2
+    for e in reversed(elements):
+        held[e.up.number] += held[e.number]
+        prose[e.up.number] += prose[e.number]
+    for e in elements:
+        _judge(e, (e.frame and not e.up.article) or (prose[e.number] > 0 and held[e.number] >= half))
+    # Link-heavy articles below class words, and class words around prose, are told by their whole text.
+    chars, linked, prose = Counter(), Counter(), Counter()
+    for b, e in zip(out, inside):
+        if e.state >= 0:
+            chars[e.marked] += len(b.text)
+            prose[e.marked] += len(b.text) * (_value(b) > SHORT + CLASS_WORDS)
+            linked[e.regained] += min(b.linked, len(b.text)) - len(b.text) / 2
+    marking = [e for e in elements if e.marked == e.number]
+    for e in reversed(marking):
+        chars[e.up.marked] += chars[e.number]
+        prose[e.up.marked] += prose[e.number]
+    hidden = {0: False}
+    for e in marking:
+        hidden[e.number] = hidden[e.up.marked] or 2 * prose[e.number] < chars[e.number]
+    for b, e in zip(out, inside):
+        b.state = e.state
+        b.marked = hidden[e.marked] or (e.regained > 0 and linked[e.regained] > 0)
 
 
 def blocks(page: str) -> list[Block]:
     """The text blocks of a page in order."""
     out: list[Block] = []
-    stack = [Element("", 0, 0, 0, False, 0)]
+    inside: list[Element] = []
+    elements: list[Element] = []
+    stack = [Element("", 0, False, 0, "", None)]
     parts: list[str] = []
     linked = made = 0
 
@@ -132,8 +232,9 @@ def blocks(page: str) -> list[Block]:
         if text:
             holder = next(e for e in reversed(stack) if e.tag not in INLINE)
             out.append(
-                Block(text, stack[-1].state, len(holder.tag) == 2 and holder.tag[0] == "h" and holder.tag[1].isdigit(), linked, tuple(e.number for e in stack), holder.container)
+                Block(text, 0, len(holder.tag) == 2 and holder.tag[0] == "h" and holder.tag[1].isdigit(), linked, tuple(e.number for e in stack), holder.container)
             )
+            inside.append(stack[-1])
         parts.clear()
         linked = 0
 
@@ -170,7 +271,8 @@ def blocks(page: str) -> list[Block]:
             depth = next((d for d in range(len(stack) - 1, 0, -1) if stack[d].tag == tag), 0)
             if not depth:
                 continue
-            if tag in INLINE and all(e.tag in INLINE for e in stack[depth:]) and stack[depth].state == stack[depth - 1].state:
+            stack[depth].closed = True
+            if tag in INLINE and all(e.tag in INLINE for e in stack[depth:]) and not stack[depth].mark:
                 del stack[depth:]
             elif tag not in INLINE or all(e.tag in INLINE for e in stack[depth:]):
                 close_to(depth)
@@ -193,26 +295,37 @@ def blocks(page: str) -> list[Block]:
         if tag in CONTENT_TAGS:
             # An article inside a menu or page header means that the menu was never closed.
             end({"nav", "header"}, frozenset({"aside", "footer"}))
+        if tag in FRAME_TAGS:
+            for e in stack:
+                e.frame |= e.mark == "form"
         above = stack[-1]
-        state = _judge(tag, match["rest"], above.state)
-        if tag not in INLINE or state != above.state:
+        mark = _mark(tag, match["rest"])
+        if tag not in INLINE or mark:
             flush()
         made += 1
         container = above.container if tag in INLINE else above.number
-        stack.append(Element(tag, made, above.depth + 1, state, above.link or tag == "a", container))
+        stack.append(Element(tag, made, above.link or tag == "a", container, mark, above))
+        elements.append(stack[-1])
     say(page[at:])
     flush()
+    _settle(out, elements, inside)
     return out
 
 
+def _value(block: Block) -> float:
+    """Length and sentences of a block against its links."""
+    links = min(1.0, block.linked / len(block.text))
+    sentences = len(_SENTENCE.findall(block.text))
+    return min(len(block.text), 400) * 0.5 + 40 * min(sentences, 4) - 300 * links
+
+
 def score(block: Block) -> int:
     """Cost of calling the block boilerplate minus the cost of calling it content."""
-    if block.state:
+    if block.state < 0 or (block.state and not block.marked):
         return SURE * block.state
-    links = min(1.0, block.linked / len(block.text))
-    sentences = len(_SENTENCE.findall(block.text))
-    value = min(len(block.text), 400) * 0.5 + 40 * min(sentences, 4) - 300 * links - 60
-    return int(value * 0.3) if block.heading else int(value)
+    value = _value(block) - SHORT
+    value = value * 0.3 if block.heading else value
+    return int(value - (CLASS_WORDS - INSIDE * block.state) * block.marked)
 
 
 def smoothness(page: list[Block]) -> list[tuple[int, int, int]]:

@@ -38,6 +38,32 @@ def test_main_text(page, text):
     assert main_text(page) == text
 
 
+PROSE = "This is a long paragraph of plain prose that any reader would call the text. It goes on for a while, without a link. It has sentences. And then it ends, after some more words that make it longer than a notice would ever be, or so one hopes. " * 2
+SAME_PAGE = [
+    ('<article class="post category-social"><p>Yes.</p></article>', "Yes."),
+    ('<main class="has-comments"><p>Yes.</p></main>', "Yes."),
+    ('<div role="main" class="widget"><p>Yes.</p></div>', "Yes."),
+    ('<div class="layout with-sidebar"><article><p>Yes.</p></article></div>', "Yes."),
+    ('<div class="sidebar-left"><article><p>Yes.</p></article></div>', "Yes."),
+    ('<div class="ad">Buy<article><p>Yes.</p></article>', "Yes."),
+    ("<aside>Buy<article><p>Yes.</p></article>", "Yes."),
+    ("<aside>Buy<article><p>No.</p></article></aside><main><p>Yes.</p></main>", "Yes."),
+    ('<form id="aspnetForm"><div class="menu">Home</div><article><p>Yes.</p></article></form>', "Yes."),
+    ("<form><div><p>" + PROSE + "</p></div></form>", PROSE.strip()),
+    ("<form><label>Name</label><input></form><article><p>Yes.</p></article>", "Yes."),
+    ('<div class="left-sidebar"><h1>Title</h1><p>' + PROSE + '</p></div><div class="sidebar">Some other text.</div>', "Title " + PROSE.strip()),
+    ('<article><p>Yes.</p><div class="promo">Buy it. Now.</div><div class="related"><article><p>No.</p></article></div></article>', "Yes."),
+    ('<main><article><p>Yes.</p></article><article class="comment"><p>No.</p></article></main>', "Yes."),
+    ('<div class="sidebar"><article><a href="x">A teaser that is a link</a></article></div><article><p>Yes.</p></article>', "Yes."),
+    ('<div class="post-comments"><article><p>No.</p></article></div><article><p>Yes.</p></article>', "Yes."),
+]
+
+
+@pytest.mark.parametrize("page, text", SAME_PAGE)
+def test_class_words_and_unclosed_elements_do_not_hide_an_article(page, text):
+    assert main_text(page) == text
+
+
 def test_long_and_broken_pages():
     assert main_text("<article>" + "<div>" * 3000 + "deep" + "</p>" * 3000).endswith("deep")
     assert main_text("<article>" + "<p>w" * 20000).count("w") == 20000
