@@ -3,7 +3,9 @@
 A page is cut into text blocks at block-level tags. A scorer gives each block a cost for being
 content and one for being boilerplate: the nearest deciding ancestor (article, main or a content
 class against menus, headers, footers, asides, forms and comments), and where no ancestor decides,
-link density, length and sentence marks. Words of a class or id are finite evidence for boilerplate
+link density, length and sentence marks. Where no content mark decides anywhere, shortness is charged
+once per run of blocks that follow each other without links or marks, so short lines, lists, tables
+and listings stay with the text around them. Words of a class or id are finite evidence for boilerplate
 that is weighed with these; an article or main mark on the element itself or below it outweighs
 them, as it does an element that is never closed, and they count for nothing around mostly prose.
 A form around the page decides nothing. The costs become capacities between the block and the two
@@ -30,6 +32,7 @@ import re
 from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,10 +40,12 @@ from pyspark.sql import functions as F
 
 # Element kinds of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title template svg math iframe noembed noframes".split())
+RAW = frozenset("script style textarea title template svg annotation annotation-xml iframe noembed noframes".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small "
-    "span strike strong sub sup time tt u var wbr".split()
+    "span strike strong sub sup time tt u var wbr "
+    "math maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms "
+    "mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover none semantics".split()
 )
 ENDS_PARAGRAPH = frozenset(
     "address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr "
@@ -295,6 +300,8 @@ def blocks(page: str) -> list[Block]:
         if tag in CONTENT_TAGS:
             # An article inside a menu or page header means that the menu was never closed.
             end({"nav", "header"}, frozenset({"aside", "footer"}))
+        if tag in ("mtd", "mspace"):
+            parts.append(" ")
         if tag in FRAME_TAGS:
             for e in stack:
                 e.frame |= e.mark == "form"
@@ -328,6 +335,29 @@ def score(block: Block) -> int:
     return int(value - (CLASS_WORDS - INSIDE * block.state) * block.marked)
 
 
+def scores(page: list[Block]) -> list[int]:
+    """The score of each block; unmarked pages charge shortness per run of unlinked blocks.
+
+    The charge is dealt by worth, so that all blocks of a run fall on one side.
+    """
+    out = [score(b) for b in page]
+    if any(b.state > 0 for b in page):
+        return out
+
+    def open_(i: int) -> bool:
+        return not page[i].state and not page[i].marked and 2 * page[i].linked < len(page[i].text)
+
+    for run_open, run in groupby(range(len(page)), open_):
+        if run_open:
+            held = list(run)
+            worth = [(_value(page[i]) + 300 * page[i].linked / len(page[i].text)) * (0.3 if page[i].heading else 1) for i in held]
+            share = 1 - SHORT / sum(worth)
+            for i, w in zip(held, worth):
+                charged = w * share - 300 * page[i].linked / len(page[i].text)
+                out[i] = max(1, int(charged)) if charged > 0 else int(charged)
+    return out
+
+
 def smoothness(page: list[Block]) -> list[tuple[int, int, int]]:
     """Edges (block, block, weight) between blocks that should rather go together."""
     edges = []
@@ -395,7 +425,7 @@ def content_side(scores: list[int], edges: list[tuple[int, int, int]]) -> list[b
 def main_text(page: str | None) -> str:
     """The content of a page as one line."""
     found = blocks(page or "")
-    kept = content_side([score(b) for b in found], smoothness(found))
+    kept = content_side(scores(found), smoothness(found))
     return " ".join(b.text for b, keep in zip(found, kept) if keep)
 
 

@@ -64,6 +64,30 @@ def test_class_words_and_unclosed_elements_do_not_hide_an_article(page, text):
     assert main_text(page) == text
 
 
+LONG = f"<p>{PROSE}</p>"
+SHORT_BLOCKS = [
+    "<p>Yes.</p><p>No.</p><p>Why?</p>",
+    "<ul>" + "".join(f"<li>Eggs {i}</li>" for i in range(60)) + "</ul>",
+    "<table>" + "".join(f"<tr><td>a{i}</td><td>{i}</td></tr>" for i in range(60)) + "</table>",
+    "<div><div>x = 1</div><div>y</div></div>",
+]
+
+
+@pytest.mark.parametrize("short", SHORT_BLOCKS)
+def test_short_blocks_stay_in_unmarked_text(short):
+    menu = "<div>" + "".join(f"<div><a href={i}>Link {i}</a></div>" for i in range(9)) + "</div>"
+    plain_text = lambda x: " ".join(re.sub("<[^>]*>", " ", x).split())
+    page = LONG + short + LONG
+    assert main_text(menu + page + menu) == plain_text(page)
+    assert main_text(menu + "<div>Menu</div>" + menu) == ""
+
+
+def test_formulas_are_text():
+    page = "<article><p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> hold.</p><math><semantics><mi>y</mi><annotation>\\y</annotation></semantics></math></article>"
+    assert main_text(page) == "Let x=1 hold. y"
+    assert main_text("<article><math><mtable><mtr><mtd>1</mtd><mtd>2</mtd></mtr></mtable></math></article>") == "1 2"
+
+
 def test_long_and_broken_pages():
     assert main_text("<article>" + "<div>" * 3000 + "deep" + "</p>" * 3000).endswith("deep")
     assert main_text("<article>" + "<p>w" * 20000).count("w") == 20000
