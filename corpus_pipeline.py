@@ -9,7 +9,7 @@ from rungwise.session import materialize
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose language cannot be told: no text, or no letter in it."""
+    """Drops documents whose language cannot be told: no text, no letter, or no n-gram that any language has."""
     return language_id.drop_unidentified(docs)
 
 

@@ -156,7 +156,24 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string")) % 3 == 1, F.lit(False))
 
 
+def _lettered(docs: DataFrame, text_col: str) -> DataFrame:
+    """The documents with a letter in them."""
+    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[text_col].alias("text"))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.select(["row"]).filter(pa.array([len(letter_codes(t.as_py())) > 0 for t in batch.column("text")], pa.bool_()))
+
+    return packed.mapInArrow(keep, StructType([packed.schema["row"]])).select("row.*")
+
+
 def drop_unidentified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> DataFrame:
-    """The documents whose language can be told, all columns as they came."""
+    """The documents whose language can be told, all columns as they came.
+
+    A text with no n-gram in common with any profile scores 0 and goes. Where nothing could be
+    learned there is nothing to tell by, and all texts with a letter stay.
+    """
     lists = learn_profiles(docs.filter(~held_out(docs[id_col])), text_col, label_col)
-    return predict(docs, lists, text_col).filter(F.col("lang_pred") != UNKNOWN).select("row.*")
+    if not lists:
+        return _lettered(docs, text_col)
+    return predict(docs, lists, text_col).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") > 0)).select("row.*")

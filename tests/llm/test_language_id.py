@@ -58,6 +58,19 @@ def test_rows_and_rejection(spark):
     assert learn_profiles(none) == {} and predict(none, {}).count() == 0
 
 
+def test_nothing_in_common_goes_and_nothing_learned_keeps_all(spark):
+    rows = [(i, "the cat sat on the mat", "en") for i in range(9)] + [(20, "αβγ δεζ", None), (21, "the αβγ", None), (22, "12", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert sorted(r.doc_id for r in drop_unidentified(docs).collect()) == [*range(9), 21]
+    lettered = sorted(r[0] for r in rows if r[0] != 22)
+    unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
+    only_held_out = docs.withColumn("lang", F.when(held_out(F.col("doc_id")), F.col("lang")))
+    for given in (unlabelled, only_held_out):
+        left = drop_unidentified(given)
+        assert left.columns == docs.columns
+        assert sorted(r.doc_id for r in left.collect()) == lettered
+
+
 @pytest.mark.skipif(not Path(SF).exists(), reason="no test data")
 def test_held_out_accuracy(spark):
     got = op10_language_id(spark, SF)
