@@ -361,10 +361,11 @@ def near_components(
     rows: int = ROWS,
     block: int = BLOCK_MEMBERS,
 ) -> DataFrame:
-    """One row per document row: doc_id, text_key, n_shingles, component_id, kept.
+    """One row per document row: doc_id, text_key, n_shingles, component_id, kept, component_key.
 
     Documents are linked when 100 * common >= ``percent`` * all shingles of both sets.
     ``component_id`` is the smallest id of the component, and ``kept`` marks the document with it.
+    ``component_key`` names the component whatever the ids (null without shingles).
     """
     threshold, hashes = percent / 100, bands * rows
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -408,8 +409,8 @@ def near_components(
     if not more.isEmpty():
         labels = materialize(_labels(classes, links.union(more)), "near-labels")
     named = classes.join(labels, "cid").select("set_key", "comp", "least_id")
-    least = materialize(named.groupBy("comp").agg(F.min("least_id").alias("component_id")), "near-least-id")
-    by_set = materialize(named.join(least, "comp").select("set_key", "component_id"), "near-by-set")
+    least = materialize(named.groupBy("comp").agg(F.min("least_id").alias("component_id"), F.min("set_key").alias("component_key")), "near-least-id")
+    by_set = materialize(named.join(least, "comp").select("set_key", "component_id", "component_key"), "near-by-set")
     alone = F.col("n_shingles") == 0
     component = F.when(alone, F.col("doc_id")).otherwise(F.col("component_id"))
     return found.drop("sig").join(by_set, "set_key", "left").select(
@@ -418,6 +419,7 @@ def near_components(
         "n_shingles",
         component.alias("component_id"),
         F.col("doc_id").eqNullSafe(component).alias("kept"),
+        "component_key",
     )
 
 

@@ -28,6 +28,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rungwise.llm.near_dedup import near_components
+from rungwise.session import materialize
+
 CAPACITY = 8192
 PER_SHARD = 2048
 _BIN_BITS = 32
@@ -139,3 +142,28 @@ def pack(
             f"doc_id {id_type}, bin_id bigint, position bigint, chunk bigint, start bigint, length bigint, bin_left bigint",
         )
     )
+
+
+def with_near_clusters(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, source, length and cluster of each document; near copies have one cluster.
+
+    Texts without words have no shingles to compare; they are told apart by their digest.
+    """
+    named = near_components(docs, width=width, percent=percent)
+    named = named.filter("component_key is not null").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.hex("component_key").alias("_near")).distinct()
+    text = F.coalesce(F.col("text"), F.lit(""))
+    items = docs.select(
+        "doc_id",
+        "source",
+        F.char_length(text).alias("length"),
+        F.when(F.char_length(text) > 0, F.md5(text)).alias("digest"),
+        F.xxhash64("text").alias("text_key"),
+    )
+    same = items["doc_id"].eqNullSafe(named["_id"]) & (items["text_key"] == named["_key"])
+    joined = items.join(named.hint("merge"), same, "left")
+    return materialize(joined.select("doc_id", "source", "length", F.coalesce("_near", "digest").alias("cluster")), "packing-items")
+
+
+def pack_apart(docs: DataFrame, capacity: int = CAPACITY, per_shard: int = PER_SHARD) -> DataFrame:
+    """``pack`` with near copies (five words, 80 %) as duplicate clusters, which never meet in a bin."""
+    return pack(with_near_clusters(docs), capacity, per_shard, length=F.col("length"), cluster=F.col("cluster"))

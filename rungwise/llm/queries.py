@@ -27,8 +27,8 @@ def corpus_query(sql: str | None = None):
 
 @corpus_query()
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document in sequences of 8,192 code points; exact copies and one source never meet."""
-    return packing.pack(table(spark, sf_dir, "documents"))
+    """Every document in sequences of 8,192 code points; near copies and one source never meet."""
+    return packing.pack_apart(table(spark, sf_dir, "documents"))
 
 
 @corpus_query()

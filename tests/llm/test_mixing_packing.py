@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from rungwise.llm.exact_dedup import EXACT_GROUPS_SQL
 from rungwise.llm.mixing import MIX_SQL, mix_sources, poisson_table
 from rungwise.llm.packing import best_fit, pack
-from rungwise.llm.queries import op5_exact_dedup, op6_poisson_mixing
+from rungwise.llm.queries import op1_best_fit_packing, op5_exact_dedup, op6_poisson_mixing
 
 SF = "/root/testdata/sf0.01"
 SCHEMA = "doc_id long, text string, source string, copy string, row int, length string"
@@ -112,3 +112,17 @@ def test_repeated_rows_are_spread_over_shards(spark):
     assert len(shards) == 12 and max(shards.values()) < 200
     same = pack(source.repartition(7), capacity=64, per_shard=100).collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, same))
+
+
+def test_near_copies_never_share_a_bin(spark, tmp_path):
+    words = " ".join(f"w{i}" for i in range(60))
+    rows = [(i, f"{words} tail{i}", f"s{i}", "c", 1, "z") for i in range(6)]
+    # Ids that are null or repeat do not hide a near copy, nor make one of other texts.
+    rows += [(None, f"{words} null{i}", f"n{i}", "c", 1, "z") for i in range(2)]
+    rows += [(0, "something else", "t", "c", 1, "z"), (50, " ", "u", "c", 1, "z"), (51, None, "v", "c", 1, "z"), (52, "", "w", "c", 1, "z")]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    got = op1_best_fit_packing(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows) and sum(r.length for r in got) == sum(len(r[1] or "") for r in rows)
+    near = [r.bin_id for r in got if r.length > 100]
+    assert len(near) == len(set(near)) == 8
+    assert len({r.bin_id for r in got}) == 8
