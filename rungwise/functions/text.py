@@ -130,11 +130,23 @@ def _unnest_open(v: Column) -> Column:
     )
 
 
-def _leaves(v: Column, step: Callable[[Column], Column], depth: int) -> Column:
-    level = F.array(v)
-    for _ in range(depth):
-        level = F.flatten(F.transform(level, step))
-    return level
+def _leaves_open(v: Column) -> Column:
+    """Members of all lists and objects, until none is left that opens.
+
+    No value nests deeper than its JSON text has opening brackets; rounds after the last level
+    change nothing.
+    """
+    rounds = F.sequence(F.lit(0), F.size(F.regexp_extract_all(F.to_json(v), F.lit(r"[\[{]"), F.lit(0))))
+
+    def opens(m: Column) -> Column:
+        kind = _variant_kind(m)
+        return kind.startswith("ARRAY") | kind.startswith("OBJECT") | (kind == "VOID")
+
+    return F.aggregate(
+        rounds,
+        F.array(v),
+        lambda level, _: F.when(F.exists(level, opens), F.flatten(F.transform(level, _unnest_open))).otherwise(level),
+    )
 
 
 def to_text(v: Column) -> Column:
@@ -146,12 +158,12 @@ def to_text(v: Column) -> Column:
     return F.coalesce(tidy(F.array_join(words, " ")), F.lit(""))
 
 
-def to_text_open(v: Column, depth: int = 4) -> Column:
+def to_text_open(v: Column) -> Column:
     """Lenient text form: objects yield ``text``, ``content`` or ``value``; nulls vanish (TXT-1b).
 
-    Lists are opened in any depth; ``depth`` bounds how often objects and lists take turns.
+    Objects and lists are opened in any depth.
     """
-    words = F.transform(_leaves(v, _unnest_open, depth), _leaf_to_string)
+    words = F.transform(_leaves_open(v), _leaf_to_string)
     return F.coalesce(tidy_keep_lines(F.array_join(words, " ")), F.lit(""))
 
 

@@ -143,10 +143,10 @@ FROM orders
 """
 )
 def nested_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """TXT-1a, TXT-1b: seven lists deep, and objects between lists."""
+    """TXT-1a, TXT-1b: seven lists deep, and a long chain of objects and lists."""
     a, b = text("a ", F.col("o_custkey")), text(F.col("o_orderstatus"))
     deep = F.try_parse_json(text('[[[[[[["', a, '"]],"b"]]],["', b, '"]]]'))
-    mixed = F.try_parse_json(text('[[[[[[[{"text":["', a, '\\nb",null,{"value":"', b, '"}]}]]]]]]]'))
+    mixed = F.try_parse_json(text('[[[[[[[{"text":["', a, '\\nb",null,{"content":[{"text":{"value":[{"content":[[{"value":"', b, '"}]]}]}}]}]}]]]]]]]'))
     return table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("id"), T.to_text(deep).alias("strict"), T.to_text_open(mixed).alias("lenient")
     )

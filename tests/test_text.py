@@ -155,3 +155,11 @@ def test_lists_nested_without_bound(spark):
     [(strict, lenient)] = column(spark, [deep], T.to_text(v), T.to_text_open(v))
     assert strict == 'a [x], {y} b {"k":["c",1]}'
     assert lenient.startswith("a [x], {y} b")
+
+
+def test_objects_and_lists_take_turns_in_any_depth(spark):
+    chat = '[{"content":[{"text":{"value":"x"}}]}]'
+    deep = '[{"content":' * 30 + '[null, "y", {"other": 1}]' + "}]" * 30
+    wide = "[" + ",".join(['{"text":"a"}'] * 2000) + "]"
+    got = column(spark, [chat, deep, wide, "null", "[]", None], T.to_text_open(F.try_parse_json("c")))
+    assert got == [("x",), ('y {"other":1}',), (" ".join(["a"] * 2000),), ("",), ("",), ("",)]
