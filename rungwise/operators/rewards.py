@@ -26,6 +26,7 @@ from rungwise.session import materialize
 
 STEP_KEYS = ("id", "gen_pos", "step_pos")
 BANK_TILE = 256
+USED_STEPS = 64
 GRID = 8
 GENERATIONS_PER_BLOCK = 64
 TOKENS_IN_ONE_ROW = 100_000
@@ -97,6 +98,15 @@ def _dot(a: Column, b: Column) -> Column:
     return F.aggregate(products, F.lit(0.0), lambda acc, x: acc + x)
 
 
+def _used_tiles(used: DataFrame) -> DataFrame:
+    """Used premises of neighbouring steps in one list; neither many steps nor many premises make it long."""
+    return (
+        used.filter("embedding is not null")
+        .groupBy("id", "gen_pos", F.floor(F.col("step_pos") / USED_STEPS).alias("_steps"), F.floor(F.col("pos") / BANK_TILE).alias("_premises"))
+        .agg(F.collect_list(F.struct("gen_pos", "step_pos", "pos", "embedding")).alias("used"))
+    )
+
+
 def premise_grounding(
     steps: DataFrame,
     used: DataFrame,
@@ -111,8 +121,8 @@ def premise_grounding(
     at hand. Each used premise counts with its best cosine, held to [0, 1]; a step counts with the
     mean. No premises give 1.0, nothing to compare with gives 0.0.
 
-    Given vectors travel as tiles of at most ``BANK_TILE``, used ones as one tile per generation,
-    whose premises came in one text. A pair of tiles is one product and gives one number per used
+    Given vectors travel as tiles of at most ``BANK_TILE``, used ones as tiles of neighbouring steps
+    of a generation. A pair of tiles is one product and gives one number per used
     premise, so the pairs of a record are never rows. A record with very many vectors of either
     kind is cut into a grid: each tile goes along one axis of it. Null vectors match nothing.
     """
@@ -129,11 +139,6 @@ def premise_grounding(
             .drop("_heavy")
         )
 
-    used_tiles = (
-        used.filter("embedding is not null")
-        .groupBy("id", "gen_pos")
-        .agg(F.collect_list(F.struct("gen_pos", "step_pos", "pos", "embedding")).alias("used"))
-    )
     given_tiles = (
         base.filter("embedding is not null")
         .groupBy("id", F.floor(F.col("pos") / BANK_TILE).alias("_tile"))
@@ -143,7 +148,7 @@ def premise_grounding(
     out = ", ".join(f"{c} {key_types[c]}" for c in (*STEP_KEYS, "pos")) + ", sim double"
     premise_keys = [*STEP_KEYS, "pos"]
     from_base = (
-        on_grid(used_tiles, F.xxhash64("gen_pos"), "_row", "_column")
+        on_grid(_used_tiles(used), F.xxhash64("gen_pos", "_steps", "_premises"), "_row", "_column")
         .join(on_grid(given_tiles, F.col("_tile"), "_column", "_row"), ["id", "_row", "_column"])
         .select("id", "used", "given")
         .mapInArrow(_tile_maxima, out)

@@ -96,8 +96,9 @@ def read_json_or_jsonl(spark: SparkSession, path: str, layout: str | None = None
     """Records of a JSON array, of one JSON object, or of lines that may end in commas (SRC-2).
 
     ``layout`` is ``"document"`` or ``"lines"``. By default a file that parses as a whole is a
-    document, whatever its size. A file of several lines whose first line is a value of its own
-    cannot be one, so only other files are tried as a whole. Scalars become ``{"value": x}``;
+    document, whatever its size. A file of several lines whose first or last line is a value of its
+    own, or whose last line closes nothing, cannot be one, and an array with one element on each
+    line is the same read by lines; only other files are tried as a whole. Scalars become ``{"value": x}``;
     fragments that do not parse are left out.
     """
     as_lines = read_lines(spark, path)
@@ -107,9 +108,18 @@ def read_json_or_jsonl(spark: SparkSession, path: str, layout: str | None = None
         return only_lines
     lines = as_lines
     if layout is None:
-        first = F.min_by(F.struct(F.col("v").isNull().alias("open"), F.col("value").rlike(r"^\s*[\[{]").alias("starts")), F.struct("block", "at"))
-        maybe = loose.groupBy("file").agg(first.alias("first"), F.count(F.lit(1)).alias("n"))
-        lines = lines.join(maybe.filter("first.starts and (first.open or n = 1)"), "file", "left_semi")
+        ends = [F.col("v").isNull().alias("open"), F.col("value")]
+        at = F.struct("block", "at")
+        maybe = loose.groupBy("file").agg(
+            F.min_by(F.struct(*ends), at).alias("first"),
+            F.max_by(F.struct(*ends), at).alias("last"),
+            F.count(F.lit(1)).alias("n"),
+            F.count_if(F.col("v").isNull()).alias("n_open"),
+        )
+        starts, closes = F.col("first.value").rlike(r"^[\[{]"), F.col("last.value").rlike(r"[\]}]$")
+        by_line = (F.col("first.value") == "[") & (F.col("last.value") == "]") & (F.col("n_open") == 2)
+        several = F.col("first.open") & F.col("last.open") & closes & ~by_line
+        lines = lines.join(maybe.filter(starts & (several | (F.col("n") == 1))).select("file"), "file", "left_semi")
     in_order = F.array_sort(F.collect_list(F.struct("block", "at", "value")))
     whole = (
         lines.groupBy("file")

@@ -367,3 +367,13 @@ def test_long_runs_of_not(spark):
     got = [r.c for r in frame.select("i", clauses_of(F.col("e")).alias("c")).orderBy("i").collect()]
     negative, positive = [("A", "B")], [("!A", "B")]
     assert [[tuple(c) for c in row] for row in got] == [negative, positive, negative, positive, negative, positive]
+
+
+def test_used_premises_of_one_generation_make_bounded_tiles(spark):
+    from rungwise.operators.rewards import BANK_TILE, USED_STEPS, _used_tiles
+
+    rows = [(1, 0, i // 3, i % 3, [1.0]) for i in range(3000)] + [(2, 0, 0, i, [1.0]) for i in range(3 * BANK_TILE)]
+    used = spark.createDataFrame(rows, "id long, gen_pos long, step_pos long, pos long, embedding array<double>")
+    sizes = {(r.id, r.n) for r in _used_tiles(used).selectExpr("id", "size(used) n").collect()}
+    assert {n for i, n in sizes if i == 1} <= set(range(1, 3 * USED_STEPS + 1))
+    assert {n for i, n in sizes if i == 2} == {BANK_TILE}

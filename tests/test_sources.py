@@ -351,3 +351,20 @@ def test_a_hook_that_always_fails_stops_the_job(spark):
     with pytest.raises(Exception, match="failed for all of 3 rows"):
         hooks.apply_hook(spark.range(10).coalesce(1), load, "x string", give_up_after=3).collect()
     assert hooks.apply_hook(spark.range(2).coalesce(1), load, "x string", give_up_after=3).filter("error is not null").count() == 2
+
+
+def test_only_files_that_can_close_are_gathered(spark, tmp_path):
+    texts = {
+        "broken_first": '{"id":1, \n{"id":2},\n{"id":3},\n',
+        "broken_ends": '{"id":1, \n{"id":4},\n{"id":5, \n',
+        "array_by_line": '[\n{"id":6},\n{"id":7}\n]\n',
+        "document": '[{"id":8,\n"x":[1]},\n{"id":9\n}]\n',
+        "pretty": '{\n"id": 10\n}\n',
+    }
+    for name, text in texts.items():
+        (tmp_path / f"{name}.json").write_text(text)
+    read = jsonl.read_json_or_jsonl(spark, str(tmp_path))
+    assert sorted(r.i for r in read.select(jsonl.field("id", "bigint").alias("i")).collect()) == [2, 3, 4, 6, 7, 8, 9, 10]
+    # A line that reads as a value by its own place was not gathered.
+    places = {n: sorted(r.at for r in jsonl.read_json_or_jsonl(spark, str(tmp_path / f"{n}.json")).collect()) for n in texts}
+    assert places == {"broken_first": [1, 2], "broken_ends": [1], "array_by_line": [1, 2], "document": [0, 1], "pretty": [0]}
