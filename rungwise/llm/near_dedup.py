@@ -425,16 +425,22 @@ def near_components(
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents with one of each component left, all columns as they came."""
-    kept = materialize(near_components(docs, id_col, text_col, **options).filter("kept").select("doc_id", "text_key"), "near-kept")
-    once = kept.distinct()
+    named = near_components(docs, id_col, text_col, **options)
+    # Ids may repeat, so one (id, text) is chosen in each component; texts without shingles are alone.
+    alone = named.filter("component_key is null").select("doc_id", "text_key")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("least")
+    chosen = named.filter("component_key is not null").groupBy("component_key").agg(least, F.count_if("kept").alias("n_kept"))
+    one = chosen.select("least.doc_id", "least.text_key", "n_kept")
+    once = materialize(alone.withColumn("n_kept", F.lit(1).cast("bigint")).union(one), "near-kept")
+    repeated = not once.filter("n_kept > 1").isEmpty() or not once.groupBy("doc_id", "text_key").count().filter("count > 1").isEmpty()
+    once = once.select("doc_id", "text_key").distinct()
     rows = docs.select(
         F.col(id_col).alias("_id"),
         F.xxhash64(F.col(text_col)).alias("_key"),
         F.struct(*[docs[c] for c in docs.columns]).alias("_row"),
     )
     left = rows.join(once.hint("merge"), rows["_id"].eqNullSafe(once["doc_id"]) & (rows["_key"] == once["text_key"]), "left_semi")
-    repeated = kept.groupBy("doc_id").count().filter("count > 1")
-    if not repeated.isEmpty():
+    if repeated:
         # Rows that repeat the least id of their component: any one of them stays.
         left = left.groupBy("_id", "_key").agg(F.any_value("_row").alias("_row"))
     return left.select("_row.*")

@@ -99,3 +99,11 @@ def test_empty_table(spark):
 def test_least_matches_keep_similar_pairs():
     needed = least_matches(0.8, 128)
     assert needed == sorted(needed) and needed[-1] < 0.8 * 128
+
+
+def test_one_stays_where_near_texts_share_the_least_id(spark):
+    words = " ".join(f"w{i}" for i in range(80))
+    rows = [(1, f"{words} a", "c", 0), (1, f"{words} b", "c", 0), (2, f"{words} d", "c", 0), (1, "another text", "c", 0), (None, "only here", "c", 0)]
+    left = drop_near_copies(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sum(r.text.startswith(words) for r in left) == 1
+    assert sorted(r.text for r in left if not r.text.startswith(words)) == ["another text", "only here"]
