@@ -6,7 +6,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rungwise.bridges import table
-from rungwise.llm import exact_dedup, html_extract, language_id, mixing, near_dedup, packing, secrets, token_counts, topk_search, warc
+from rungwise.llm import (
+    centroids,
+    exact_dedup,
+    html_extract,
+    language_id,
+    line_dedup,
+    mixing,
+    near_dedup,
+    packing,
+    periodic_runs,
+    secrets,
+    token_counts,
+    topk_search,
+    warc,
+)
 from rungwise.queries.registry import QueryFunction
 
 LLM_QUERIES: dict[str, QueryFunction] = {}
@@ -90,3 +104,23 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     lists = language_id.learn_profiles(docs.filter(~held))
     predicted = language_id.predict(docs.select("doc_id", "text"), lists)
     return predicted.select("row.doc_id", language_id.held_out(F.col("row.doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+@corpus_query()
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of words in every document, of at least four periods and six words."""
+    docs = table(spark, sf_dir, "documents")
+    planted = docs.select("doc_id", periodic_runs.plant_runs(F.col("text"), F.col("doc_id")).alias("text"))
+    return periodic_runs.run_digests(periodic_runs.find_runs(planted))
+
+
+@corpus_query(centroids.cluster_sql())
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors in 40 clusters after five rounds."""
+    return centroids.cluster_vectors(table(spark, sf_dir, "embeddings")).drop("scans")
+
+
+@corpus_query(line_dedup.LINE_SQL)
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that ten documents hold."""
+    return line_dedup.line_digests(line_dedup.drop_repeated_lines(table(spark, sf_dir, "documents")))
