@@ -148,9 +148,18 @@ def _pass(stored: DataFrame, history: list[np.ndarray], dims: int, last: bool) -
     return stored.mapInArrow(make, f"vec_id {id_type}, {_STATE}")
 
 
-def _moved(stored: DataFrame, centroids: np.ndarray, dims: int) -> np.ndarray:
+def _sum_type(stored: DataFrame) -> str:
+    """The type in which no sum of components can overflow."""
+    found = stored.agg(
+        F.count(F.lit(1)).alias("n"), F.max(F.array_max("v")).alias("most"), F.min(F.array_min("v")).alias("least")
+    ).first()
+    most = max(abs(found["most"] or 0), abs(found["least"] or 0))
+    return "bigint" if most * found["n"] < 2**62 else "decimal(19,0)"
+
+
+def _moved(stored: DataFrame, centroids: np.ndarray, dims: int, kind: str) -> np.ndarray:
     """Centroids at the floor of their vectors' means; a centroid without vectors stays."""
-    sums = [F.sum(F.get("v", F.lit(i)).cast("decimal(19,0)")).alias(f"s{i}") for i in range(dims)]
+    sums = [F.sum(F.get("v", F.lit(i)).cast(kind)).alias(f"s{i}") for i in range(dims)]
     moved = centroids.copy()
     # One row per centroid.
     for row in stored.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), *sums).collect():
@@ -179,10 +188,11 @@ def cluster_vectors(
     # At most k rows.
     first = stored.select(named.alias("h"), "v").orderBy("h", "v").limit(k).collect()
     history = [np.array([r["v"] for r in first], np.int64).reshape(len(first), dims)]
+    kind = _sum_type(stored)
     for at in range(rounds + 1 if first else 0):
         stored = materialize(_pass(stored, history, dims, at == rounds), "centroids-round")
         if at < rounds:
-            history.append(_moved(stored, history[-1], dims))
+            history.append(_moved(stored, history[-1], dims, kind))
     if not first:
         stored = stored.selectExpr("vec_id", "v", "0 as cluster", "0L as near", "0 as scans")
     final = [(i, hashlib.sha256(",".join(map(str, c)).encode()).hexdigest()) for i, c in enumerate(history[-1].tolist())]
