@@ -10,8 +10,10 @@
    bounded size. A block pair applies steps 3 and 4 to pairs of different components and gives out
    only links that join two of them, so a large group never turns into all its pairs.
 
-Nothing is capped: step 5 is the exact way for large buckets. With 32 bands of 4 rows a pair of
-similarity 0.8 shares no band with probability 5e-8, and step 3 drops it with about 1e-6.
+Nothing is capped: step 5 is the exact way for large buckets. The places of a signature agree with the
+chance of the similarity, and their number spreads less than with independent hashes; taking them as
+independent, with 32 bands of 4 rows a pair of similarity 0.8 shares no band with probability 5e-8
+(0.5904 ** 32), and step 3 drops it with about 1e-6.
 
 Defined results: a text that is null, empty or has no word has no shingles and is linked with
 nothing; its component is its own id. Rows with equal texts and ids are links of one component. A
@@ -39,7 +41,7 @@ BATCH = 16
 MISS = 1e-7
 BLOCK_MEMBERS = 512
 BLOCK_SHINGLES = 2_000
-_SEED = 20240229
+_ROUND_BITS = 12
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
@@ -58,29 +60,51 @@ def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.empty(0, np.uint64)
-    digest = xxhash.xxh3_64_intdigest
-    numbers = np.fromiter(map(digest, words), np.uint64, len(words))
+    numbers = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
     taken = min(width, len(words))
     made = np.full(len(words) - taken + 1, taken, np.uint64)
     for i in range(taken):
-        made = _scramble(made * _MIX[0] + numbers[i : len(numbers) - taken + 1 + i])
-    return np.unique(made)
+        # A polynomial of the words' hashes.
+        made = made * _MIX[0] + numbers[i : len(numbers) - taken + 1 + i]
+    made = np.sort(_scramble(made))
+    return made[np.append(True, made[1:] != made[:-1])]
 
 
-def _hash_family(count: int) -> tuple[np.ndarray, np.ndarray]:
-    random = np.random.default_rng(_SEED)
-    a = random.integers(0, 1 << 63, count, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    return a, random.integers(0, 1 << 63, count, dtype=np.uint64)
+def signature(shingles: np.ndarray, hashes: int = BANDS * ROWS) -> np.ndarray:
+    """One value per bin, from rounds of one hash each (fast similarity sketching).
 
-
-def signature(shingles: np.ndarray, a: np.ndarray, b: np.ndarray, step: int = 1024) -> np.ndarray:
-    """Upper halves of the least value of each hash over the set."""
-    least = np.full(len(a), np.iinfo(np.uint64).max, np.uint64)
-    for i in range(0, len(shingles), step):
-        values = np.multiply.outer(a, shingles[i : i + step])
-        values += b[:, None]
-        np.minimum(least, values.min(axis=1), out=least)
-    return (least >> np.uint64(32)).astype(np.uint32)
+    Each round deals all shingles over the bins by their leading bits. A bin holds the least value of
+    the first round that put any shingle into it, so a set of many shingles needs one round, and one of
+    few as many as fill all bins. Two sets agree in a bin with the chance of their similarity, and the
+    number of agreeing bins spreads no further than that of as many independent hashes.
+    """
+    bits = hashes.bit_length() - 1
+    if 1 << bits != hashes:
+        raise ValueError("the number of hashes must be a power of two")
+    down, short = np.uint64(64 - bits), np.uint64(_ROUND_BITS)
+    least = np.zeros(hashes, np.uint32)
+    empty = np.arange(hashes, dtype=np.uint64)
+    first, rounds = 0, -(-8 * hashes // max(1, len(shingles)))
+    while len(empty):
+        if first == 0 and rounds == 1:
+            # The numbers are hashes, and sorted.
+            keys, value = shingles, short
+        else:
+            turns = np.arange(rounds, dtype=np.uint64)
+            drawn = _scramble(np.add.outer((turns + np.uint64(first)) * _MIX[0], shingles))
+            if first == 0:
+                drawn[0] = shingles
+            # Bin, round, then the hash as far as it fits.
+            keys = (drawn >> down << down) | (drawn << np.uint64(bits) >> np.uint64(bits + _ROUND_BITS))
+            keys |= (turns << np.uint64(64 - bits - _ROUND_BITS))[:, None]
+            keys, value = np.sort(keys, axis=None), np.uint64(0)
+        at = np.searchsorted(keys, empty << down)
+        filled = at < len(keys)
+        filled[filled] = keys[at[filled]] >> down == empty[filled]
+        least[empty[filled].astype(np.int64)] = (keys[at[filled]] >> value).astype(np.uint32)
+        empty = empty[~filled]
+        first, rounds = first + rounds, min(1 << _ROUND_BITS, -(-2 * hashes // max(1, len(shingles))))
+    return least
 
 
 def least_matches(threshold: float, hashes: int, batch: int = BATCH, miss: float = MISS) -> list[int]:
@@ -120,7 +144,6 @@ def features(docs: DataFrame, width: int, hashes: int) -> DataFrame:
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = _hash_family(hashes)
         for batch in batches:
             n, keys, sigs = [], [], []
             for text in batch.column("text"):
@@ -128,7 +151,7 @@ def features(docs: DataFrame, width: int, hashes: int) -> DataFrame:
                 n.append(len(shingles))
                 if len(shingles):
                     keys.append(xxhash.xxh3_128_digest(shingles.tobytes()))
-                    sigs.append(signature(shingles, a, b).tobytes())
+                    sigs.append(signature(shingles, hashes).tobytes())
                 else:
                     keys.append(None)
                     sigs.append(None)
@@ -284,13 +307,35 @@ def _joining(ids: np.ndarray, comps: np.ndarray, pairs: Iterator[tuple[int, int]
     return made
 
 
+def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
+    """The rows of each group as one batch, from rows sorted by group."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [np.asarray(batch.column(k)) for k in keys]
+        new = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+        cuts = [0, *(np.flatnonzero(new) + 1).tolist(), batch.num_rows]
+        for start, end in zip(cuts, cuts[1:]):
+            key = tuple(int(c[start]) for c in columns)
+            if held and key != last:
+                yield pa.concat_batches(held)
+                held = []
+            held.append(batch.slice(start, end - start))
+            last = key
+    if held:
+        yield pa.concat_batches(held)
+
+
 def _rest(
     members: DataFrame, labels: DataFrame, classes: DataFrame, texts: DataFrame, width: int, percent: int, bands: int, rows: int, block: int
 ) -> DataFrame:
     """Links (a, b) that join the components which meet in a bucket.
 
     A bucket is cut into blocks of bounded members and shingles, and each pair of blocks is one
-    group. A pair of classes is compared only in the bucket of the first band they share.
+    group. A pair of classes is compared only in the bucket of the first band they share. Groups are
+    first compared by signatures alone; only members with a surviving partner get their texts.
     """
     hashes = bands * rows
     needed = least_matches(percent / 100, hashes)
@@ -312,6 +357,29 @@ def _rest(
         .select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cid", "comp")
     )
 
+    def candidates(comps, own, sigs, bucket: int, i: int, j: int) -> Iterator[tuple[int, int]]:
+        """Positions of pairs of different components that survive and share no earlier band."""
+        keys = band_keys(sigs, bands)
+        for x in np.flatnonzero(own == i):
+            others = np.flatnonzero((comps != comps[x]) & (own == j))
+            if i == j:
+                others = others[others > x]
+            if len(others):
+                shared = keys[others] == keys[x]
+                others = others[keys[x][shared.argmax(axis=1)] == bucket]
+                for y in others[survivors(np.broadcast_to(sigs[x], (len(others), hashes)), sigs[others], needed)]:
+                    yield int(x), int(y)
+
+    def promising(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The members of each group that have a candidate. Rows come sorted by group."""
+        for group in _groups(batches, ["bucket", "i", "j"]):
+            bucket, i, j = (group.column(c)[0].as_py() for c in ("bucket", "i", "j"))
+            comps, own = np.asarray(group.column("comp")), np.asarray(group.column("own"))
+            if (comps != comps[0]).any():
+                found = {p for pair in candidates(comps, own, _signatures(group.column("sig"), hashes), bucket, i, j) for p in pair}
+                if found:
+                    yield group.drop_columns("sig").take(pa.array(sorted(found), pa.int64()))
+
     def compare(key, group):
         import pandas as pd
 
@@ -320,7 +388,6 @@ def _rest(
         group = group.drop_duplicates("cid").sort_values("cid", ignore_index=True)
         ids, comps, own = (group[c].to_numpy() for c in ("cid", "comp", "own"))
         sigs = np.frombuffer(b"".join(group["sig"]), np.uint32).reshape(-1, hashes)
-        keys = band_keys(sigs, bands)
         sets: dict[int, np.ndarray] = {}
 
         def known(x: int) -> np.ndarray:
@@ -328,21 +395,16 @@ def _rest(
                 sets[x] = shingle_set(group["text"].iloc[x], width)
             return sets[x]
 
-        def pairs() -> Iterator[tuple[int, int]]:
-            for x in np.flatnonzero(own == i):
-                others = np.flatnonzero((comps != comps[x]) & (own == j))
-                if i == j:
-                    others = others[others > x]
-                shared = keys[others] == keys[x]
-                others = others[keys[x][shared.argmax(axis=1)] == bucket]
-                for y in others[survivors(np.broadcast_to(sigs[x], (len(others), hashes)), sigs[others], needed)]:
-                    yield x, y
-
-        made = _joining(ids, comps, pairs(), lambda x, y: similar(known(x), known(y), percent))
+        pairs = candidates(comps, own, sigs, bucket, i, j)
+        made = _joining(ids, comps, pairs, lambda x, y: similar(known(x), known(y), percent))
         return pd.DataFrame(made, columns=["a", "b"], dtype="int64")
 
+    sigs = classes.select("cid", "sig")
+    held = "bucket bigint, i bigint, j bigint, own bigint, cid bigint, comp bigint"
+    sorted_tiles = tiles.join(sigs, "cid").select("bucket", "i", "j", "own", "cid", "comp", "sig").repartition("bucket", "i", "j")
+    found = materialize(sorted_tiles.sortWithinPartitions("bucket", "i", "j", "cid").mapInArrow(promising, held), "near-promising")
     return materialize(
-        tiles.join(classes.select("cid", "sig"), "cid")
+        found.join(sigs, "cid")
         .join(texts, "cid")
         .groupBy("bucket", "i", "j")
         .applyInPandas(compare, "a bigint, b bigint")

@@ -2,10 +2,11 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import Row
 
-from rungwise.llm.near_dedup import drop_near_copies, least_matches, near_components
+from rungwise.llm.near_dedup import drop_near_copies, least_matches, near_components, signature
 
 SCHEMA = "doc_id long, text string, component_id string, n_shingles int"
 
@@ -107,3 +108,28 @@ def test_one_stays_where_near_texts_share_the_least_id(spark):
     left = drop_near_copies(spark.createDataFrame(rows, SCHEMA)).collect()
     assert sum(r.text.startswith(words) for r in left) == 1
     assert sorted(r.text for r in left if not r.text.startswith(words)) == ["another text", "only here"]
+
+
+@pytest.mark.parametrize("size", [4, 9, 45, 450, 1800])
+def test_signatures_agree_with_the_chance_of_the_similarity(size):
+    rng = np.random.default_rng(size)
+    common, trials = (size * 8) // 9, 1500
+    shares, missed = [], 0
+    for _ in range(trials):
+        u = rng.integers(0, 1 << 63, 2 * size - common, dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, 2 * size - common, dtype=np.uint64)
+        one, two = signature(np.sort(u[:size])), signature(np.sort(np.concatenate([u[:common], u[size:]])))
+        shares.append((one == two).mean())
+        missed += not (one.reshape(32, 4) == two.reshape(32, 4)).all(axis=1).any()
+    similarity = common / (2 * size - common)
+    assert abs(np.mean(shares) - similarity) < 0.01
+    assert np.std(shares) < 1.1 * (similarity * (1 - similarity) / 128) ** 0.5
+    # The chance that no band agrees, for independent places, and far above what may be seen.
+    assert missed <= 20 * trials * (1 - similarity**4) ** 32 + 1
+
+
+def test_signature_does_not_depend_on_how_many_rounds_are_drawn_at_once():
+    # Sets on both sides of the size from which one round is enough.
+    rng = np.random.default_rng(3)
+    big = np.sort(rng.integers(0, 1 << 63, 1100, dtype=np.uint64) * np.uint64(2))
+    small = np.sort(rng.permutation(big)[:1000])
+    assert (signature(big) == signature(small)).mean() > 0.8
