@@ -25,6 +25,7 @@ from rungwise.session import materialize
 
 BLOCK_CHARS = 4096
 HEAD_CHARS = 64
+RANGE_CHARS = 8
 _NO_PARTNER = -1
 
 
@@ -32,13 +33,17 @@ def integer_names(rows: DataFrame, columns: Sequence[str], label: str) -> DataFr
     """The distinct values of ``columns`` with an integer ``name`` that follows their sort order.
 
     Copies are combined before the shuffle. Range partitions keep every task at its share, and the
-    names are stored before anything uses them, so a repeated task cannot rename.
+    names are stored before anything uses them, so a repeated task cannot rename. Texts are sorted by
+    their first characters, their hash and then as a whole: the driver samples what ranges are cut by,
+    so that is kept short.
     """
+    kinds = dict(rows.dtypes)
+    short = [k for c in columns for k in ([F.substring(c, 1, RANGE_CHARS), F.xxhash64(c)] if kinds[c] == "string" else [F.col(c)])]
     return materialize(
         rows.select(*columns)
         .distinct()
-        .repartitionByRange(*columns)
-        .sortWithinPartitions(*columns)
+        .repartitionByRange(*short)
+        .sortWithinPartitions(*short, *columns)
         .withColumn("name", F.monotonically_increasing_id()),
         label,
     )

@@ -6,7 +6,7 @@ from collections import defaultdict
 
 import pytest
 
-from rungwise.llm.exact_dedup import drop_copies, exact_groups
+from rungwise.llm.exact_dedup import drop_copies, exact_groups, integer_names
 
 SCHEMA = "doc_id long, text string, keep_id string, level int, name string"
 
@@ -60,3 +60,9 @@ def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert exact_groups(docs).count() == 0
     assert drop_copies(docs).count() == 0
+
+
+def test_names_follow_a_sort_of_short_keys(spark):
+    blocks = spark.createDataFrame([("same head " * 9 + str(i % 50),) for i in range(200)], "block string")
+    named = integer_names(blocks, ["block"], "test-names").collect()
+    assert len(named) == len({r["name"] for r in named}) == len({r["block"] for r in named}) == 50
