@@ -188,3 +188,36 @@ def shard_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = jsonl.merged_records(jsonl.read_jsonl(spark, path))
     shard = F.regexp_extract("file", "/shard=([0-9]+)/", 1).cast("int")
     return read.select(shard.alias("shard"), jsonl.field("id", "bigint").alias("id"), jsonl.field("answer").alias("answer"))
+
+
+@query(
+    """
+SELECT l_orderkey AS id, l_linenumber AS n, l_partkey AS part, 'a "[{' || l_returnflag || '}, ' || chr(92) || l_linestatus || '" ]' AS note
+FROM lineitem
+"""
+)
+def read_split_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-2: pretty-printed arrays of many elements, cut where their splits lie; strings hold brackets and quotes."""
+    note = text('a \\"[{', F.col("l_returnflag"), "}, ", "\\\\", F.col("l_linestatus"), '\\" ]')
+    element = text(
+        '  {\n    "id": ', F.col("l_orderkey"), ',\n    "n": [', F.col("l_linenumber"), ",\n      ", F.col("l_partkey"), '\n    ],\n    "note": "', note, '"\n  }'
+    )
+    # A document holds the lines of 15,000 orders, whatever the table's size.
+    items = table(spark, sf_dir, "lineitem").select(
+        F.floor(F.col("l_orderkey") / 15_000).alias("document"), F.col("l_orderkey").alias("k"), element.alias("value")
+    )
+    named = items.select("document").distinct()
+    frame = (
+        items.select("document", F.lit(1).alias("part"), F.concat(F.lit(",\n"), "value").alias("value"))
+        .unionByName(named.select("document", F.lit(0).alias("part"), F.lit('[\n  {"head": [[], {}, ",]"]}').alias("value")))
+        .unionByName(named.select("document", F.lit(2).alias("part"), F.lit("\n]\n").alias("value")))
+    )
+    path = _folder(spark, "split-document")
+    frame.repartition("document").sortWithinPartitions("document", "part").select("document", "value").write.partitionBy("document").option("lineSep", "\n").text(path)
+    read = jsonl.read_json_or_jsonl(spark, f"{path}/*", "document").filter(jsonl.field("id", "bigint").isNotNull())
+    return read.select(
+        jsonl.field("id", "bigint").alias("id"),
+        F.try_variant_get("v", "$.n[0]", "int").alias("n"),
+        F.try_variant_get("v", "$.n[1]", "bigint").alias("part"),
+        jsonl.field("note").alias("note"),
+    )

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from rungwise.functions.text import strip
 from rungwise.operators.ordering import first_per_key, with_index
+from rungwise.session import materialize
+from rungwise.sources.documents import document_elements, of_files
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -95,52 +97,47 @@ def bad_lines(lines: DataFrame) -> DataFrame:
 def read_json_or_jsonl(spark: SparkSession, path: str, layout: str | None = None) -> DataFrame:
     """Records of a JSON array, of one JSON object, or of lines that may end in commas (SRC-2).
 
-    ``layout`` is ``"document"`` or ``"lines"``. By default a file that parses as a whole is a
-    document, whatever its size. A file of several lines whose first or last line is a value of its
-    own, or whose last line closes nothing, cannot be one, and an array with one element on each
-    line is the same read by lines; only other files are tried as a whole. Scalars become ``{"value": x}``;
-    fragments that do not parse are left out.
+    ``layout`` is ``"document"`` or ``"lines"``. By default a file that is one array or one object
+    as a whole is a document, whatever its size: arrays are cut into elements split by split, and only
+    an element has to fit a row. An array with one element on each line is the same read by lines.
+    Scalars become ``{"value": x}``; fragments that do not parse are left out. Files of which nothing
+    is known are read by lines too, so a document whose line does not fit a row needs its ``layout``.
     """
     as_lines = read_lines(spark, path)
     loose = as_lines.withColumn("v", strict_json(strip(F.regexp_replace("value", r"[,\s]+\z", ""))))
     only_lines = _records(loose.filter(F.col("v").isNotNull()))
     if layout == "lines" or not path_exists(spark, path):
         return only_lines
-    lines = as_lines
-    if layout is None:
-        ends = [F.col("v").isNull().alias("open"), F.col("value")]
-        at = F.struct("block", "at")
-        maybe = loose.groupBy("file").agg(
-            F.min_by(F.struct(*ends), at).alias("first"),
-            F.max_by(F.struct(*ends), at).alias("last"),
-            F.count(F.lit(1)).alias("n"),
-            F.count_if(F.col("v").isNull()).alias("n_open"),
-        )
-        starts, closes = F.col("first.value").rlike(r"^[\[{]"), F.col("last.value").rlike(r"[\]}]$")
-        by_line = (F.col("first.value") == "[") & (F.col("last.value") == "]") & (F.col("n_open") == 2)
-        several = F.col("first.open") & F.col("last.open") & closes & ~by_line
-        lines = lines.join(maybe.filter(starts & (several | (F.col("n") == 1))).select("file"), "file", "left_semi")
-    in_order = F.array_sort(F.collect_list(F.struct("block", "at", "value")))
-    whole = (
-        lines.groupBy("file")
-        .agg(F.array_join(F.transform(in_order, lambda r: r["value"]), "\n").alias("value"))
-        .select("file", strict_json(strip(F.col("value"))).alias("v"))
+    text = strip(F.col("text"))
+    elements = document_elements(spark, path).select("file", "number", (text == "").alias("blank"), strict_json(text).alias("v"))
+    elements = materialize(elements, "document-elements")
+    counted = elements.groupBy("file").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("blank").alias("n_blank"), F.count_if(F.col("v").isNull() & ~F.col("blank")).alias("n_bad")
     )
-    kind = F.schema_of_variant("v")
-    members = F.when(kind.startswith("ARRAY"), F.try_variant_get("v", "$", "array<variant>")).when(
-        kind.startswith("OBJECT"), F.array("v")
+    # One row per document. A blank element is an empty array, or an error.
+    sound = counted.filter((F.col("n_bad") == 0) & ((F.col("n_blank") == 0) | (F.col("n") == 1))).select("file")
+    sound = materialize(sound, "documents")
+    from_documents = of_files(
+        elements.filter(F.col("v").isNotNull()).select(
+            F.lit(0).alias("src"), "file", F.lit(0).cast("bigint").alias("block"), F.col("number").alias("at"), "v"
+        ),
+        sound,
+        "left_semi",
     )
-    documents = whole.withColumn("_m", members).filter(F.col("_m").isNotNull())
-    from_documents = documents.select(
-        F.lit(0).alias("src"),
-        "file",
-        F.lit(0).cast("bigint").alias("block"),
-        F.posexplode("_m").alias("at", "v"),
-    ).withColumn("at", F.col("at").cast("bigint"))
     if layout == "document":
         return _records(from_documents)
-    rest = loose.filter(F.col("v").isNotNull()).join(documents.select("file"), "file", "left_anti")
-    return _records(from_documents.unionByName(rest.drop("value")))
+    at = F.struct("block", "at")
+    by_line = (
+        of_files(loose, sound, "left_semi")
+        .groupBy("file")
+        .agg(F.min_by("value", at).alias("first"), F.max_by("value", at).alias("last"), F.count_if(F.col("v").isNull()).alias("n_open"))
+        .filter("first = '[' and last = ']' and n_open = 2")
+        .select("file")
+    )
+    documents = materialize(sound.join(by_line, "file", "left_anti"), "documents")
+    from_documents = of_files(from_documents, documents, "left_semi")
+    rest = of_files(loose.filter(F.col("v").isNotNull()), documents, "left_anti")
+    return _records(from_documents.unionByName(rest.select(*LINE_ORDER, "v")))
 
 
 def _records(df: DataFrame) -> DataFrame:
