@@ -8,11 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rungwise.operators.ordering import HEAVY_ROWS, first_per_key, rank_in_key
+from rungwise.operators.ordering import HEAVY_ROWS, first_per_key, order_key_at, rank_in_key
+from rungwise.session import materialize
 
 # Samples per record of the two sources.
 LOCAL_SAMPLES = 5
 ALLOWED_REPS = (0, 1, 2)
+#: Rows that one task may take for a cap.
+FEW_ROWS = 10_000
 
 
 def with_id(df: DataFrame, falsy: bool = False, name: str = "id") -> DataFrame:
@@ -103,9 +106,21 @@ def skip_processed(df: DataFrame, done: DataFrame) -> DataFrame:
     return df.join(ids, F.col("id").cast("string") == F.col("_done"), "left_anti")
 
 
-def item_cap(df: DataFrame, k: int, order: Sequence[str]) -> DataFrame:
-    """The first ``k`` rows in order (FLT-6, LIM-1)."""
-    return df.orderBy(*order).limit(k)
+def item_cap(df: DataFrame, k: int, order: Sequence[str], few: int = FEW_ROWS) -> DataFrame:
+    """The first ``k`` rows in order, nulls first; ``order`` must be unique (FLT-6, LIM-1).
+
+    A few rows are taken by a sort with a limit. That brings all ``k`` rows into one task, so a large
+    cap instead finds the order columns of the last row that stays, from counts of ranges, and filters
+    by them: rows stay where they are, and come in no order.
+    """
+    if k <= few:
+        return df.orderBy(*order).limit(k)
+    key = F.struct(*[F.col(c) for c in order])
+    last = materialize(order_key_at(df, order, k - 1).select(F.struct(*order).alias("_last")), "cap")
+    if last.isEmpty():
+        return df
+    # One row.
+    return df.join(F.broadcast(last), key <= F.col("_last")).drop("_last")
 
 
 def union_sources(*sources: DataFrame) -> DataFrame:

@@ -169,3 +169,48 @@ def with_index(df: DataFrame, order: Sequence[str], name: str = "idx") -> DataFr
         .drop("_part", "_at", "_start")
     )
 
+
+MAX_SPLITS = 500_000
+
+
+def index_in_splits(df: DataFrame, split: Sequence[str], along: str, name: str = "idx") -> DataFrame | None:
+    """0-based dense position of each row, by ``split`` and then as rows lie in a split.
+
+    For rows as a scan gives them: the rows of one split are together in one task, in the order of
+    ``along``. They are counted per split; the counts, one small row a split, are summed up in order
+    and joined back, so no row moves. Gives None where the rows do not lie like that, or where there
+    are more than ``MAX_SPLITS`` splits, whose counts would be too many to broadcast.
+    """
+    numbered = df.withColumn("_id", F.monotonically_increasing_id())
+    counted = numbered.groupBy(*split).agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.min("_id").alias("_first"),
+        F.max("_id").alias("_last"),
+        F.min_by(along, "_id").alias("_low"),
+        F.max_by(along, "_id").alias("_high"),
+        F.min(along).alias("_least"),
+        F.max(along).alias("_most"),
+    )
+    counted = materialize(counted, "split-counts")
+    astray = counted.filter("_last - _first + 1 <> _n or _low <> _least or _high <> _most")
+    if not astray.isEmpty() or counted.limit(MAX_SPLITS + 1).count() > MAX_SPLITS:
+        return None
+    # One row per split.
+    earlier = Window.orderBy(*split).rowsBetween(Window.unboundedPreceding, -1)
+    starts = counted.select(
+        *[F.col(c).alias(f"_split_{c}") for c in split],
+        (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift"),
+    )
+    same = F.lit(True)
+    for c in split:
+        same = same & F.col(c).eqNullSafe(F.col(f"_split_{c}"))
+    # Of limited length.
+    return numbered.join(F.broadcast(starts), same).withColumn(name, F.col("_id") + F.col("_shift")).select(*df.columns, name)
+
+
+def order_key_at(df: DataFrame, order: Sequence[str], position: int) -> DataFrame:
+    """The ``order`` columns of the row at a 0-based position, as one row; none if there is no such row.
+
+    Only the order columns are sorted, by ranges, and numbered by counts of the ranges.
+    """
+    return with_index(df.select(*order), order, "_at").filter(F.col("_at") == position).select(*order)

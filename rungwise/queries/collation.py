@@ -256,3 +256,10 @@ def item_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "doc_id", "lang")
     done = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"))
     return collate.item_cap(collate.skip_processed(docs, done), 100, ["doc_id"]).select("doc_id", "lang")
+
+
+@query("SELECT event_id, user_id, value FROM events ORDER BY value, event_id LIMIT (SELECT count(*) // 3 FROM events)")
+def item_cap_large(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FLT-6, LIM-1: a third of all events, by value; no task takes them all."""
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "value")
+    return collate.item_cap(events, events.count() // 3, ["value", "event_id"], few=0)

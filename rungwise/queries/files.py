@@ -221,3 +221,29 @@ def read_split_document(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.try_variant_get("v", "$.n[1]", "bigint").alias("part"),
         jsonl.field("note").alias("note"),
     )
+
+
+def _event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of several files, an event each, in the order of the events, with blank lines between."""
+    events = table(spark, sf_dir, "events").repartitionByRange(5, "event_id").sortWithinPartitions("event_id")
+    line = F.concat(F.when(F.col("event_id") % 3 == 0, F.lit(" \n")).otherwise(F.lit("")), text('{"id":', F.col("event_id"), "}"))
+    return jsonl.read_jsonl(spark, _written(spark, events.select(line.alias("value")), "event-lines"))
+
+
+@query("SELECT event_id AS id, event_id AS idx FROM events WHERE event_id >= 500")
+def resume_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-4, SRT-2: lines of several files from the 500th on, numbered by the counts of their splits."""
+    rest = jsonl.skip_lines(_event_lines(spark, sf_dir), 500)
+    return rest.select(jsonl.field("id", "bigint").alias("id"), "idx")
+
+
+@query(
+    """
+WITH n AS (SELECT event_id AS id, row_number() OVER (ORDER BY event_id) - 1 AS idx, count(*) OVER () AS n FROM events)
+SELECT id, idx, CAST(floor(idx / ceil(n / 7.0)) AS BIGINT) + 1 AS shard FROM n
+"""
+)
+def shard_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK-2, SRT-2: lines of several files in seven even runs."""
+    sharded = jsonl.with_shards(_event_lines(spark, sf_dir), 7, jsonl.LINE_ORDER)
+    return sharded.select(jsonl.field("id", "bigint").alias("id"), "idx", "shard")

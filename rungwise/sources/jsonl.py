@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rungwise.functions.text import strip
-from rungwise.operators.ordering import first_per_key, with_index
+from rungwise.operators.ordering import first_per_key, index_in_splits, with_index
 from rungwise.session import materialize
 from rungwise.sources.documents import document_elements, of_files
 
@@ -193,8 +193,13 @@ def skip_lines(lines: DataFrame, k: int) -> DataFrame:
 
 
 def index_lines(lines: DataFrame) -> DataFrame:
-    """``lines`` with their dense position ``idx`` in input order."""
-    return with_index(lines, LINE_ORDER)
+    """``lines`` with their dense position ``idx`` in input order.
+
+    Rows straight from files stay where they are: only the counts of the splits are summed up. Others are
+    sorted by ranges.
+    """
+    placed = index_in_splits(lines, ("src", "file", "block"), "at")
+    return with_index(lines, LINE_ORDER) if placed is None else placed
 
 
 def shard_of(idx: Column, total: Column, shards: int) -> Column:
@@ -204,7 +209,7 @@ def shard_of(idx: Column, total: Column, shards: int) -> Column:
 
 def with_shards(df: DataFrame, shards: int, order: Sequence[str]) -> DataFrame:
     """``df`` with ``idx`` and the ``shard`` each row belongs to (SNK-2)."""
-    indexed = with_index(df, order)
+    indexed = index_lines(df) if tuple(order) == LINE_ORDER else with_index(df, order)
     total = indexed.agg(F.count(F.lit(1)).alias("_total"))
     # One row.
     return indexed.join(F.broadcast(total)).withColumn(

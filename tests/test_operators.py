@@ -13,6 +13,7 @@ from rungwise.functions import prover as PF
 from rungwise.functions.relations import clauses_of
 from rungwise.operators import closure, collate, critics, pairs, requests, rewards, rounds
 from rungwise.operators.ordering import heavy_keys, rank_in_key, with_index
+from rungwise.sources.jsonl import index_lines, read_lines
 
 SOURCE = Path(__file__).resolve().parent.parent / "rungwise"
 
@@ -377,3 +378,37 @@ def test_used_premises_of_one_generation_make_bounded_tiles(spark):
     sizes = {(r.id, r.n) for r in _used_tiles(used).selectExpr("id", "size(used) n").collect()}
     assert {n for i, n in sizes if i == 1} <= set(range(1, 3 * USED_STEPS + 1))
     assert {n for i, n in sizes if i == 2} == {BANK_TILE}
+
+
+def test_large_cap_moves_no_row_into_one_task(spark):
+    rows = [(None if i % 7 == 0 else float(i % 5), i) for i in range(300)]
+    df = spark.createDataFrame(rows, "x double, y long").repartition(5)
+    want = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0.0, r[1]))
+    for k in (0, 43, 150, 300, 301):
+        got = collate.item_cap(df, k, ["x", "y"], few=0)
+        assert sorted(map(tuple, got.collect()), key=repr) == sorted(want[:k], key=repr)
+    plan = collate.item_cap(df, 150, ["x", "y"], few=0)._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan and "TakeOrdered" not in plan
+
+
+def test_index_in_splits_counts_and_moves_nothing(spark, tmp_path):
+    for k in range(6):
+        (tmp_path / f"f{k}.txt").write_text("\n".join(f"{k}-{i}" if i % 4 else "" for i in range(50 * k)) + "\n")
+    names = {"spark.sql.files.maxPartitionBytes": "300", "spark.sql.files.openCostInBytes": "8"}
+    before = {name: spark.conf.get(name) for name in names}
+    for name, setting in names.items():
+        spark.conf.set(name, setting)
+    try:
+        lines = read_lines(spark, str(tmp_path))
+        assert lines.select("file", "block").distinct().count() > 8
+        indexed = index_lines(lines)
+        plan = indexed._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning" not in plan and "rangepartitioning" not in plan
+        want = [f"{k}-{i}" for k in range(6) for i in range(50 * k) if i % 4]
+        assert [r.value for r in indexed.orderBy("idx").collect()] == want
+        assert [r.idx for r in indexed.orderBy("idx").collect()] == list(range(len(want)))
+        shuffled = index_lines(lines.repartition(3))
+        assert [r.value for r in shuffled.orderBy("idx").collect()] == want
+    finally:
+        for name, setting in before.items():
+            spark.conf.set(name, setting)
