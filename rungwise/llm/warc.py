@@ -99,25 +99,24 @@ def format_record(values: dict[str, str | None], payload: bytes) -> bytes:
 
 
 class _Members:
-    """The records of a compressed file, one after another."""
+    """The records of a compressed file, one after another.
+
+    A member that states its own length holds one record, and is passed over by a seek. Others are
+    inflated through to their ends, since they may hold any number of records; what is passed over is
+    dropped as it comes.
+    """
 
     def __init__(self, file) -> None:
         self.file = file
-        self.at = 0
+        self.packer = None
+        self.data = bytearray()
 
-    def next(self) -> bool:
-        """Opens the next member. The one before is passed over, inflated only if it has no length."""
-        if self.at:
-            if not self.length:
-                while not self.packer.eof and self._more():
-                    pass
-                self.length = self.read_bytes - len(self.packer.unused_data)
-            self.file.seek(self.at - 1 + self.length)
-        start = self.file.tell()
+    def _open(self) -> bool:
+        self.start = self.file.tell()
         head = self.file.read(12)
-        if len(head) < 12:
+        if len(head) < 12 or head[:2] != b"\x1f\x8b":
             return False
-        self.at, self.length = start + 1, 0
+        self.length, self.begun = 0, False
         if head[3] & 4:
             extra = self.file.read(struct.unpack("<H", head[10:12])[0])
             while len(extra) >= 4:
@@ -125,39 +124,63 @@ class _Members:
                 if extra[:2] == b"sl" and size == 8:
                     self.length = struct.unpack("<I", extra[4:8])[0]
                 extra = extra[4 + size :]
-        self.file.seek(start)
-        self.packer, self.read_bytes, self.data = zlib.decompressobj(31), 0, b""
+        self.file.seek(self.start)
+        self.packer = zlib.decompressobj(31)
         return True
 
+    def _close(self) -> None:
+        self.file.seek(self.start + self.length if self.length else self.file.tell() - len(self.packer.unused_data))
+        self.packer = None
+        self.data.clear()
+
     def _more(self) -> bool:
-        chunk = self.file.read(1 << 14)
-        self.read_bytes += len(chunk)
+        chunk = b"" if self.packer.eof else self.file.read(1 << 16)
         self.data += self.packer.decompress(chunk)
         return bool(chunk)
 
+    def next(self) -> bool:
+        """Whether another record begins, in this member or a later one."""
+        while self.packer is not None or self._open():
+            if not (self.length and self.begun):
+                while True:
+                    del self.data[: len(self.data) - len(self.data.lstrip(b"\r\n"))]
+                    if self.data:
+                        self.begun = True
+                        return True
+                    if not self._more():
+                        break
+                if not self.packer.eof:
+                    return False
+            self._close()
+        return False
+
     def until(self, mark: bytes) -> bytes:
         """What stands before ``mark``, which is passed."""
-        while mark not in self.data and not self.packer.eof and self._more():
-            pass
-        found, _, self.data = self.data.partition(mark)
+        seen = 0
+        while (at := self.data.find(mark, max(0, seen - len(mark)))) < 0:
+            seen = len(self.data)
+            if not self._more():
+                at = seen
+                break
+        found = bytes(self.data[:at])
+        del self.data[: at + len(mark)]
         return found
 
     def take(self, size: int) -> bytes:
         """The next ``size`` bytes."""
-        parts = [self.data]
-        have = len(self.data)
-        while have < size and not self.packer.eof:
-            self.data = b""
-            if not self._more():
-                break
-            parts.append(self.data)
-            have += len(self.data)
-        whole = b"".join(parts)
-        self.data = whole[size:]
-        return whole[:size]
+        while len(self.data) < size and self._more():
+            pass
+        found = bytes(self.data[:size])
+        del self.data[:size]
+        return found
 
     def skip(self, size: int) -> None:
-        """The rest of a member needs no reading."""
+        """Passes over ``size`` bytes. The rest of a member of known length needs no reading."""
+        while size and not self.length:
+            size -= (passed := min(size, len(self.data)))
+            del self.data[:passed]
+            if size and not self._more():
+                break
 
 
 class _Plain:

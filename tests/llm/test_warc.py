@@ -5,6 +5,8 @@ import gzip
 import hashlib
 import io
 import random
+import time
+import tracemalloc
 
 from pyspark.sql import functions as F
 
@@ -65,7 +67,9 @@ def test_foreign_archives():
     blocks = [b"a" * 5, b"", b"\r\n\r\nWARC/1.0\r\n\r\n", bytes(range(256)) * 300]
     plain = b"".join(b"WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <%d>\r\nContent-Length: %d\r\n\r\n" % (i, len(b)) + b + b"\r\n\r\n" for i, b in enumerate(blocks))
     parts = [b"WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <%d>\r\nContent-Length: %d\r\n\r\n" % (i, len(b)) + b + b"\r\n\r\n" for i, b in enumerate(blocks)]
-    for data in (plain, b"".join(map(gzip.compress, parts))):
+    packed = gzip.compress
+    in_one = [packed(plain), packed(parts[0] + parts[1]) + packed(parts[2] + parts[3]), packed(parts[0]) + packed(parts[1] + parts[2] + b"\r\n") + packed(parts[3])]
+    for data in (plain, b"".join(map(packed, parts)), *in_one):
         got = list(read_records(io.BytesIO(data), lambda r: True, True))
         assert [r[-1] for r in got] == blocks and [r[0] for r in got] == ["<0>", "<1>", "<2>", "<3>"]
         assert [r[0] for r in read_records(io.BytesIO(data), lambda r: r["record_id"] == "<2>", False)] == ["<2>"]
@@ -74,3 +78,18 @@ def test_foreign_archives():
 def test_header_lines_stay_lines():
     record = format_record({"record_type": "response", "target_uri": "a\r\nWARC-Type: revisit"}, b"x")
     assert next(read_records(io.BytesIO(record), lambda r: True, True))[1] == "response"
+
+
+def test_unwanted_members_are_passed_over_in_flat_memory():
+    head = b"WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <%d>\r\nContent-Length: %d\r\n\r\n"
+    body = random.Random(1).randbytes(1 << 20) * 64
+    record = lambda i, b: head % (i, len(b)) + b + b"\r\n\r\n"
+    data = gzip.compress(record(1, body), 1) + gzip.compress(record(2, body[:9]) + record(3, b"x"))
+    file = io.BytesIO(data)
+    tracemalloc.start()
+    start = time.process_time()
+    got = [(r[0], r[-1]) for r in read_records(file, lambda r: r["record_id"] != "<1>", True)]
+    spent, most = time.process_time() - start, tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == [("<2>", body[:9]), ("<3>", b"x")]
+    assert spent < 4 and most < 8 << 20
