@@ -47,7 +47,6 @@ def negate(literal: Column) -> Column:
     )
 
 
-_NOT_BITS = 14
 _LITERAL = r"!?\w+"
 _PART = rf"(?:Implies|Or|Equivalent)\({_LITERAL},{_LITERAL}\)|{_LITERAL}"
 
@@ -55,15 +54,20 @@ _PART = rf"(?:Implies|Or|Equivalent)\({_LITERAL},{_LITERAL}\)|{_LITERAL}"
 def compact(expression: Column) -> Column:
     """Expression without blanks, ``Not`` written as a ``!`` before its atom.
 
-    Even runs of ``Not`` vanish by halves, the longest first, so any run below 2 ** _NOT_BITS comes
-    down to one or none.
+    Pairs of ``Not`` vanish from the inside, one pair of each run a pass, in as many passes as the
+    longest run has pairs.
     """
+
+    def without_pairs(e: Column) -> Column:
+        longest = F.array_max(F.transform(F.regexp_extract_all(e, F.lit(r"(?:Not\()+"), F.lit(0)), F.length))
+        return F.aggregate(
+            F.sequence(F.lit(1), F.floor(longest / 8).cast("int")),
+            e,
+            lambda held, _: F.regexp_replace(held, rf"Not\(Not\(({_LITERAL})\)\)", "$1"),
+        )
+
     out = F.regexp_replace(expression, WS + "+", "")
-    even = out
-    for bit in range(_NOT_BITS - 1, 0, -1):
-        run = 1 << bit
-        even = F.regexp_replace(even, rf"(?:Not\(){{{run}}}(!?\w+)\){{{run}}}", "$1")
-    out = F.when(F.contains(out, F.lit("Not(Not(")), even).otherwise(out)
+    out = let(out, lambda e: F.when(F.contains(e, F.lit("Not(Not(")), without_pairs(e)).otherwise(e))
     out = F.regexp_replace(out, r"Not\(!(\w+)\)", "$1")
     return F.regexp_replace(out, r"Not\((\w+)\)", "!$1")
 

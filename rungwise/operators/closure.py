@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rungwise.functions.relations import clauses_of, negate, relation_sections
 from rungwise.functions.text import let
+from rungwise.operators.ordering import tag_heavy
 from rungwise.session import materialize
 
 
@@ -153,15 +154,43 @@ def _derive(relations: Column) -> Column:
     return F.when(readable, let(literals, close))
 
 
-def derived_implications(clauses: DataFrame) -> DataFrame:
+#: Closing a row takes the cube of its literals.
+ROW_CLAUSES = 32
+
+
+def derived_implications(clauses: DataFrame, row_clauses: int = ROW_CLAUSES) -> DataFrame:
     """All literal pairs ``x -> y`` a document entails and no single relation of it states.
 
-    ``clauses(doc_id, a, b, single)``. Each round joins the pairs that the round before found with
-    all known ones, on either side, so chains double and the rounds grow with the logarithm of the
-    longest. Rows are keyed by (document, literal) throughout; each round is stored, and the loop
-    ends when one finds nothing.
+    ``clauses(doc_id, a, b, single)``. Documents of at most ``row_clauses`` clauses are gathered into
+    a row each and closed there; the others go through rounds of joins.
+    """
+    tagged = materialize(tag_heavy(clauses.select("doc_id", "a", "b", "single"), ["doc_id"], row_clauses), "clauses")
+    # Which relation a clause comes from matters only if it is the whole of it.
+    clause = F.struct("a", "b")
+    gathered = (
+        tagged.filter("not _heavy")
+        .groupBy("doc_id")
+        .agg(
+            F.collect_list(F.when(F.col("single"), clause)).alias("single"),
+            F.collect_list(F.when(~F.col("single"), clause)).alias("others"),
+            F.bool_and(F.col("a").isNotNull()).alias("readable"),
+        )
+        .filter("readable")
+    )
+    # Twice, so that one clause that is not the whole of its relation does not look like one.
+    relations = F.concat(F.transform("single", lambda c: F.array(c)), F.array(F.concat("others", "others")))
+    light = gathered.select("doc_id", F.explode(_derive(relations)).alias("_p")).select("doc_id", "_p.x", "_p.y")
+    heavy = tagged.filter("_heavy").drop("_heavy")
+    return light if heavy.isEmpty() else light.unionByName(_derived_by_rounds(heavy))
+
+
+def _derived_by_rounds(stored: DataFrame) -> DataFrame:
+    """``derived_implications`` by joins alone.
+
+    Each round joins the pairs that the round before found with all known ones, on either side, so
+    chains double and the rounds grow with the logarithm of the longest. Rows are keyed by (document,
+    literal) throughout; each round is stored, and the loop ends when one finds nothing.
     """
-    stored = materialize(clauses, "clauses")
     supported = stored.join(unsupported_documents(stored), "doc_id", "left_anti")
     edges = materialize(
         supported.select("doc_id", negate(F.col("a")).alias("x"), F.col("b").alias("y"))

@@ -285,3 +285,9 @@ def derived_implications(spark: SparkSession, sf_dir: str) -> DataFrame:
 def derived_from_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ITR-2 on a clause table, where a document may be too large for one row."""
     return closure.derived_implications(closure.stated_clauses(_relation_texts(spark, sf_dir)))
+
+
+@query(_DERIVED_SQL)
+def derived_from_clauses_heavy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ITR-2 on a clause table, documents of more than nine clauses by rounds of joins."""
+    return closure.derived_implications(closure.stated_clauses(_relation_texts(spark, sf_dir)), row_clauses=9)

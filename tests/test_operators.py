@@ -267,6 +267,7 @@ def test_derived_implications(spark):
     assert {tuple(r) for r in closure.derived_in_record(frame).collect()} == want
     clauses = closure.stated_clauses(frame)
     assert {tuple(r) for r in closure.derived_implications(clauses).collect()} == want
+    assert {tuple(r) for r in closure.derived_implications(clauses, row_clauses=4).collect()} == want
     assert [r.doc_id for r in closure.unsupported_documents(clauses).collect()] == [999]
 
 
@@ -367,6 +368,8 @@ def test_long_runs_of_not(spark):
     frame = spark.createDataFrame(list(enumerate(cases)), "i int, e string")
     got = [r.c for r in frame.select("i", clauses_of(F.col("e")).alias("c")).orderBy("i").collect()]
     negative, positive = [("A", "B")], [("!A", "B")]
+    long = spark.createDataFrame([(f"Or({'Not(' * 16_385}A{')' * 16_385}, Not(Not(B)))",)], "e string")
+    assert [tuple(c) for c in long.select(clauses_of(F.col("e")).alias("c")).first().c] == [("!A", "B")]
     assert [[tuple(c) for c in row] for row in got] == [negative, positive, negative, positive, negative, positive]
 
 
