@@ -17,7 +17,6 @@ BatchFunction = Callable[[pd.DataFrame], pd.DataFrame]
 SeriesFunction = Callable[[pd.Series], pd.Series]
 
 COMPLETION = "completion string"
-GIVE_UP_AFTER = 1000
 CRITIQUE = (
     "semantic_ok boolean, syntactic_ok boolean, error_code string, solving_time double, "
     "proof_tactics array<string>, code string, logical_information string"
@@ -33,14 +32,15 @@ def apply_hook(
     load: Callable[[], BatchFunction],
     schema: str,
     partitions: int | None = None,
-    give_up_after: int = GIVE_UP_AFTER,
+    give_up_after: int | None = None,
 ) -> DataFrame:
     """Add the columns of ``schema`` and ``error`` to ``df`` (UDF-1, UDF-2).
 
     ``load`` runs once per task and returns the batch function, so a model is loaded per task and
     not per batch. A failing batch is halved until its bad rows stand alone, so only they carry an error.
-    ``partitions`` spreads the rows evenly before the hook. A task that sees ``give_up_after`` rows
-    fail and none succeed fails itself: then the model is down, not the rows bad.
+    ``partitions`` spreads the rows evenly before the hook. With ``give_up_after``, a task that sees so
+    many rows fail and none succeed fails itself: then the model is down, not the rows bad. Whether it
+    does depends on how rows fall into tasks, so it is off unless asked for.
     """
     added = _fields(schema)
     names = [f.name for f in added]
@@ -66,7 +66,7 @@ def apply_hook(
                     yield from in_parts(batch.iloc[middle:])
                     return
                 bad += 1
-                if not good and bad >= give_up_after:
+                if give_up_after and not good and bad >= give_up_after:
                     raise RuntimeError(f"the hook failed for all of {bad} rows") from failure
                 yield batch.assign(**{n: None for n in names}, error=f"{type(failure).__name__}: {failure}")
             else:

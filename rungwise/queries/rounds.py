@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rungwise.bridges import table, text
-from rungwise.hooks import apply_hook
+from rungwise.hooks import CRITIQUE, apply_hook, certainty, critique, embed, logprobs, tag, token_count
 from rungwise.operators.rounds import Refined, refine_rounds, refine_soft_rounds
 from rungwise.queries.registry import query
+from rungwise.results import with_results
 from rungwise.session import checkpoint_root
 from rungwise.streaming.collate import stream_collate as collate_stream
 from rungwise.streaming.incremental import append_new
@@ -165,3 +166,86 @@ def stream_every_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = _event_stream(spark, sf_dir).select(F.when(F.col("event_id") % 7 > 0, F.col("user_id")).alias("id"), "event_id")
     append_new(stream, done, f"{run}/out", f"{run}/checkpoint", one_per_id=False).awaitTermination()
     return spark.read.schema("id bigint, event_id bigint").json(f"{run}/out")
+
+
+def _load_critic():
+    """A prover that finds steps of even users valid, is short of words for one event type, and fails for one user."""
+
+    def judge(batch):
+        if (batch["user_id"] == 7).any():
+            raise ValueError("no proof")
+        even, error = batch["user_id"] % 2 == 0, batch["event_type"] == "error"
+        return pd.DataFrame(
+            {"semantic_ok": even & ~error, "syntactic_ok": ~error, "error_code": batch["event_type"].where(error, ""), "solving_time": batch["user_id"] / 4}
+        ).assign(proof_tactics=[[t] for t in batch["event_type"]], code="theory", logical_information=None)
+
+    return judge
+
+
+_TWO_RUNS_SQL = """
+WITH r AS (SELECT user_id, event_type, bool_or(event_id % 2 = 0) AS early FROM events GROUP BY ALL),
+e AS (SELECT event_id, e.user_id, e.event_type, CASE WHEN early THEN 'first' ELSE 'second' END AS run FROM events e JOIN r USING (user_id, event_type))
+"""
+
+
+def _in_two_runs(spark: SparkSession, sf_dir: str, hook, schema: str, inputs: list[str], settings: str) -> DataFrame:
+    """Results for the even events, and then for all, of which the second run only makes what is missing."""
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type").withColumn("words", text(F.col("event_type"), " ", F.col("user_id")))
+    store = f"{checkpoint_root(spark)}/rungwise/store-{uuid.uuid4().hex}"
+    with_results(events.filter("event_id % 2 = 0"), hook, schema, inputs, store, settings, "first")
+    return with_results(events, hook, schema, inputs, store, settings, "second")
+
+
+@query(
+    _TWO_RUNS_SQL
+    + """
+SELECT event_id, CASE WHEN user_id <> 7 THEN user_id % 2 = 0 AND event_type <> 'error' END AS semantic_ok,
+  CASE WHEN user_id <> 7 THEN event_type <> 'error' END AS syntactic_ok, CASE WHEN user_id <> 7 THEN event_type END AS tactic,
+  CASE WHEN user_id <> 7 THEN user_id / 4.0 END AS solving_time,
+  CASE WHEN user_id = 7 THEN 'second' ELSE run END AS run, CASE WHEN user_id = 7 THEN 'ValueError: no proof' END AS error
+FROM e
+"""
+)
+def critique_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """UDF-2, SNK-4: verdicts kept over two runs; inputs that failed are tried again."""
+    judged = _in_two_runs(spark, sf_dir, lambda rows: critique(rows, _load_critic), CRITIQUE, ["user_id", "event_type"], "critic-1")
+    return judged.select("event_id", "semantic_ok", "syntactic_ok", F.get("proof_tactics", F.lit(0)).alias("tactic"), "solving_time", "run", "error")
+
+
+@query(
+    _TWO_RUNS_SQL
+    + """
+SELECT event_id, (3 / sqrt(9 + n * n))::FLOAT AS x, (n / sqrt(9 + n * n))::FLOAT AS y, run
+FROM (SELECT *, length(event_type || ' ' || user_id) AS n FROM e)
+"""
+)
+def embed_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """UDF-3: unit vectors of texts kept over two runs."""
+
+    def load():
+        return lambda texts: texts.map(lambda t: [3 / (9 + len(t) ** 2) ** 0.5, len(t) / (9 + len(t) ** 2) ** 0.5])
+
+    vectors = lambda rows: rows.withColumn("embedding", embed(load)(F.col("words")))
+    made = _in_two_runs(spark, sf_dir, vectors, "embedding array<float>", ["words"], "embedder-1")
+    return made.select("event_id", F.get("embedding", F.lit(0)).alias("x"), F.get("embedding", F.lit(1)).alias("y"), "run")
+
+
+@query(
+    _TWO_RUNS_SQL
+    + """
+SELECT event_id, (length(event_type) * -0.5 - 0.25)::DOUBLE AS logprob, (user_id % 6 + 1)::DOUBLE AS certainty, event_type AS noun, 2 AS tokens, run FROM e
+"""
+)
+def scores_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """UDF-4: log-probabilities, certainty, tags and token counts of texts kept over two runs."""
+    first = lambda s: s.str.split(" ").str[0]
+    hooks = {
+        "logprobs": logprobs(lambda: lambda s: first(s).map(lambda w: [-0.5] * len(w) + [-0.25])),
+        "certainty": certainty(lambda: lambda s: s.str.split(" ").str[1].astype(int) % 6 + 1.0),
+        "concepts": tag(lambda: lambda s: first(s).map(lambda w: [w])),
+        "tokens": token_count(lambda: lambda s: s.str.count(" ") + 1),
+    }
+    score = lambda rows: rows.withColumns({name: hook(F.col("words")) for name, hook in hooks.items()})
+    made = _in_two_runs(spark, sf_dir, score, "logprobs array<double>, certainty double, concepts array<string>, tokens int", ["words"], "scorer-1")
+    total = F.aggregate("logprobs", F.lit(0.0), lambda a, b: a + b)
+    return made.select("event_id", total.alias("logprob"), "certainty", F.get("concepts", F.lit(0)).alias("noun"), "tokens", "run")

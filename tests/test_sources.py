@@ -14,6 +14,7 @@ from rungwise.plans.refinement import refine_records
 from rungwise.plans.rollout import parsed_rollouts, questions, remote_replies, sampling_requests
 from rungwise.operators.counters import counted
 from rungwise.operators.requests import request_lines
+from rungwise.results import with_results
 from rungwise.sources import jsonl
 from rungwise.sources.records import reasoning_records
 from rungwise.streaming.collate import stream_collate
@@ -368,3 +369,35 @@ def test_only_files_that_can_close_are_gathered(spark, tmp_path):
     # A line that reads as a value by its own place was not gathered.
     places = {n: sorted(r.at for r in jsonl.read_json_or_jsonl(spark, str(tmp_path / f"{n}.json")).collect()) for n in texts}
     assert places == {"broken_first": [1, 2], "broken_ends": [1], "array_by_line": [1, 2], "document": [0, 1], "pretty": [0]}
+
+
+def test_results_are_made_once_for_each_input(spark, tmp_path):
+    calls = spark.sparkContext.accumulator(0)
+
+    def load():
+        def shout(batch):
+            calls.add(len(batch))
+            if (batch["x"] == "bad").any():
+                raise ValueError("bad")
+            return pd.DataFrame({"y": batch["x"].map(lambda x: "none" if x is None else x + "!")})
+
+        return shout
+
+    store = str(tmp_path / "store")
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(["a", "a", "b", None, None, ""])], "i int, x string")
+    run = lambda df, settings="m": with_results(df, lambda d: hooks.apply_hook(d, load, "y string"), "y string", ["x"], store, settings)
+    want = [("a", "a!"), ("a", "a!"), ("b", "b!"), (None, "none"), (None, "none"), ("", "!")]
+    assert [(r.x, r.y) for r in run(rows).orderBy("i").collect()] == want
+    assert calls.value == 4
+    assert [(r.x, r.y) for r in run(rows).orderBy("i").collect()] == want
+    assert calls.value == 4
+    more = rows.union(spark.createDataFrame([(9, "bad"), (10, "c")], "i int, x string"))
+    got = {r.x: (r.y, r.error) for r in run(more).collect()}
+    assert got["bad"] == (None, "ValueError: bad") and got["c"] == ("c!", None) and got["a"] == ("a!", None)
+    made = calls.value
+    good, bad = hooks.split_errors(run(more), keep=("i",))
+    assert good.count() == 7 and [r.i for r in bad.collect()] == [9]
+    # Only the input that failed was tried again, once for both outputs.
+    assert calls.value == made + 1
+    run(rows, "other model")
+    assert calls.value == made + 5
