@@ -161,8 +161,8 @@ def _moved(stored: DataFrame, centroids: np.ndarray, dims: int, kind: str) -> np
     """Centroids at the floor of their vectors' means; a centroid without vectors stays."""
     sums = [F.sum(F.get("v", F.lit(i)).cast(kind)).alias(f"s{i}") for i in range(dims)]
     moved = centroids.copy()
-    # One row per centroid.
-    for row in stored.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), *sums).collect():
+    # At most one row per centroid.
+    for row in stored.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), *sums).take(len(centroids)):
         moved[row["cluster"]] = [int(row[f"s{i}"]) // row["n"] for i in range(dims)]
     return moved
 
@@ -185,8 +185,7 @@ def cluster_vectors(
     spark = vectors.sparkSession
     stored = materialize(whole_vectors(vectors, id_col, vector_col, scale, dims), "centroids-vectors")
     named = F.sha2(F.concat(F.lit(seed), F.coalesce(F.col("vec_id").cast("string"), F.lit(""))), 256)
-    # At most k rows.
-    first = stored.select(named.alias("h"), "v").orderBy("h", "v").limit(k).collect()
+    first = stored.select(named.alias("h"), "v").orderBy("h", "v").take(k)
     history = [np.array([r["v"] for r in first], np.int64).reshape(len(first), dims)]
     kind = _sum_type(stored)
     for at in range(rounds + 1 if first else 0):
@@ -199,10 +198,10 @@ def cluster_vectors(
     digests = spark.createDataFrame(final, "cluster int, centroid_sha256 string")
     whole = lambda c: F.least(c, F.lit(_MOST).cast("decimal(38,0)")).cast("bigint")
     inertia = stored.groupBy("cluster").agg(F.sum(F.col("near").cast("decimal(19,0)")).cast("decimal(38,0)").alias("s"))
-    # One row per centroid, as are the digests.
+    # One row per centroid, as are the digests; one row in all.
     inertia = materialize(inertia, "centroids-inertia")
     total = inertia.agg(F.sum("s").alias("t"))
-    by_cluster = inertia.join(F.broadcast(digests), "cluster").crossJoin(F.broadcast(total))
+    by_cluster = inertia.join(F.broadcast(digests), "cluster").join(F.broadcast(total))
     return stored.join(F.broadcast(by_cluster), "cluster").select(
         "vec_id",
         "cluster",
