@@ -52,31 +52,16 @@ _PART = rf"(?:Implies|Or|Equivalent)\({_LITERAL},{_LITERAL}\)|{_LITERAL}"
 
 
 def compact(expression: Column) -> Column:
-    """Expression without blanks, ``Not`` written as a ``!`` before its atom.
-
-    Pairs of ``Not`` vanish from the inside, one pair of each run a pass, in as many passes as the
-    longest run has pairs.
-    """
-
-    def without_pairs(e: Column) -> Column:
-        longest = F.array_max(F.transform(F.regexp_extract_all(e, F.lit(r"(?:Not\()+"), F.lit(0)), F.length))
-        return F.aggregate(
-            F.sequence(F.lit(1), F.floor(longest / 8).cast("int")),
-            e,
-            lambda held, _: F.regexp_replace(held, rf"Not\(Not\(({_LITERAL})\)\)", "$1"),
-        )
-
-    out = F.regexp_replace(expression, WS + "+", "")
-    out = let(out, lambda e: F.when(F.contains(e, F.lit("Not(Not(")), without_pairs(e)).otherwise(e))
-    out = F.regexp_replace(out, r"Not\(!(\w+)\)", "$1")
-    return F.regexp_replace(out, r"Not\((\w+)\)", "!$1")
+    """Expression without blanks, ``Not`` of an atom written as a ``!`` before it."""
+    return F.regexp_replace(F.regexp_replace(expression, WS + "+", ""), r"Not\((\w+)\)", "!$1")
 
 
 def clauses_of(expression: Column) -> Column:
     """Clauses of at most two literals that an expression stands for; null if it has others.
 
-    Accepted are a literal, ``Implies``, ``Or`` and ``Equivalent`` of two literals, and ``And`` of
-    those. A single literal ``x`` is the clause (x or x).
+    A literal, ``Implies``, ``Or`` and ``Equivalent`` of two literals, and ``And`` of those are read by
+    their form; everything else goes through ``normal_form``. A single literal ``x`` is the clause
+    (x or x).
     """
 
     def clause(a: Column, b: Column) -> Column:
@@ -108,7 +93,199 @@ def clauses_of(expression: Column) -> Column:
         parts = F.regexp_extract_all(inner, F.lit(_PART), F.lit(0))
         whole = F.array_join(parts, ",") == inner
         return F.when(
-            whole & (e.startswith("And(") | (F.size(parts) == 1)), F.flatten(F.transform(parts, one))
-        )
+            whole & (F.size(parts) > 0) & (e.startswith("And(") | (F.size(parts) == 1)), F.flatten(F.transform(parts, one))
+        ).otherwise(let(normal_form(e), as_pairs))
 
     return let(compact(expression), parts_of)
+
+
+def as_pairs(clauses: Column) -> Column:
+    """Clauses of a normal form as literal pairs; null if one has no literal or more than two."""
+    fits = F.forall(clauses, lambda c: F.size(c).between(1, 2))
+    return F.when(fits, F.transform(clauses, lambda c: F.struct(c[0].alias("a"), F.element_at(c, -1).alias("b"))))
+
+
+OPERATORS = ("Not", "And", "Or", "Implies", "Equivalent")
+
+_CNF = "array<array<string>>"
+# A call being read: its operator (``Same`` for an even run of ``Not``), the parentheses it has open,
+# its arguments so far, and of these the clauses of "all hold", "one holds", "all fail", "one fails".
+# Those not wanted are null.
+_CALL = f"struct<op:string,open:int,n:int,all:{_CNF},one:{_CNF},none:{_CNF},gap:{_CNF}>"
+_READER = f"struct<calls:array<{_CALL}>,operand:boolean,ok:boolean>"
+_VALUE = f"struct<pos:{_CNF},neg:{_CNF}>"
+
+
+def normal_form(expression: Column) -> Column:
+    """Clauses (arrays of literals ``A`` or ``!A``) of an expression nested in any way; null if it is none.
+
+    One pass over the tokens with a stack of open calls. A call knows on opening whether its truth, its
+    falsehood or both are asked for, so only clauses that are needed are multiplied out. A run of
+    ``Not`` is one call. Clauses come out sorted, free of tautologies, reduced by ``minimal``; a
+    tautology has none, a contradiction may have the empty clause. Multiplying out can take
+    exponentially many clauses for ``Or`` of ``And`` and nested ``Equivalent``. Empty calls, trailing
+    commas, unknown operators and infix forms are not read.
+    """
+    yes = F.array().cast(_CNF)
+    no = F.array(F.array().cast("array<string>"))
+
+    def call(op: Column, opened: Column, pos: Column, neg: Column) -> Column:
+        flips, same = op == "Not", op == "Equivalent"
+        conj, disj = op.isin("And", "Not", "Same"), op.isin("Or", "Implies")
+        want = F.struct(
+            F.when(flips, neg).otherwise(pos).alias("pos"), F.when(flips, pos).otherwise(neg).alias("neg")
+        )
+        return let(
+            want,
+            lambda w: F.struct(
+                op.alias("op"),
+                opened.alias("open"),
+                F.lit(0).alias("n"),
+                F.when((conj | same) & w["pos"], yes).alias("all"),
+                F.when((disj & w["pos"]) | (same & w["neg"]), no).alias("one"),
+                F.when((disj & w["neg"]) | (same & w["pos"]), yes).alias("none"),
+                F.when((conj | same) & w["neg"], no).alias("gap"),
+            ).cast(_CALL),
+        )
+
+    def swapped(top: Column) -> Column:
+        """Whether the next argument is the premise of an implication."""
+        return (top["op"] == "Implies") & (top["n"] == 0)
+
+    def opening(top: Column, token: Column) -> Column:
+        pos = top["all"].isNotNull() | top["one"].isNotNull()
+        neg = top["none"].isNotNull() | top["gap"].isNotNull()
+        name = F.substring_index(token, "(", 1)
+        opened = F.when(name == "Not", F.floor(F.length(token) / 4)).otherwise(1).cast("int")
+        op = F.when((name == "Not") & (opened % 2 == 0), "Same").otherwise(name)
+        flip = swapped(top)
+        return call(op, opened, F.when(flip, neg).otherwise(pos), F.when(flip, pos).otherwise(neg))
+
+    def taken(top: Column, value: Column) -> Column:
+        """The call with one more argument."""
+        flip = swapped(top)
+        given = F.struct(
+            F.when(flip, value["neg"]).otherwise(value["pos"]).alias("pos"),
+            F.when(flip, value["pos"]).otherwise(value["neg"]).alias("neg"),
+        )
+        return let(
+            given,
+            lambda v: F.struct(
+                top["op"].alias("op"),
+                top["open"].alias("open"),
+                (top["n"] + 1).alias("n"),
+                F.concat(top["all"], v["pos"]).alias("all"),
+                _times(top["one"], v["pos"]).alias("one"),
+                F.concat(top["none"], v["neg"]).alias("none"),
+                _times(top["gap"], v["neg"]).alias("gap"),
+            ).cast(_CALL),
+        )
+
+    def value_of(top: Column) -> Column:
+        """Truth and falsehood of a call whose parentheses are closed."""
+        flips, same, conj = top["op"] == "Not", top["op"] == "Equivalent", top["op"].isin("And", "Not", "Same")
+        pos = F.when(same, _times(top["all"], top["none"])).when(conj, top["all"]).otherwise(top["one"])
+        neg = F.when(same, F.concat(top["one"], top["gap"])).when(conj, top["gap"]).otherwise(top["none"])
+        return F.struct(
+            F.when(flips, neg).otherwise(pos).alias("pos"), F.when(flips, pos).otherwise(neg).alias("neg")
+        ).cast(_VALUE)
+
+    def state(calls: Column, operand: bool, ok: Column) -> Column:
+        return F.struct(calls.alias("calls"), F.lit(operand).alias("operand"), ok.alias("ok")).cast(_READER)
+
+    def rest(calls: Column) -> Column:
+        return F.slice(calls, F.lit(1), F.size(calls) - 1)
+
+    def put(calls: Column, value: Column) -> Column:
+        return F.concat(rest(calls), F.array(taken(F.element_at(calls, -1), value)))
+
+    def step(held: Column, token: Column) -> Column:
+        calls, operand, ok = held["calls"], held["operand"], held["ok"]
+        broken = state(calls, True, F.lit(False))
+
+        def on_top(top: Column) -> Column:
+            atom = F.struct(F.array(F.array(token)).alias("pos"), F.array(F.array(negate(token))).alias("neg"))
+            inside = F.size(calls) > 1
+            single = top["op"].isin("Not", "Same")
+            full = (
+                F.when(top["op"] == "Implies", top["n"] == 2)
+                .when(single, top["n"] == 1)
+                .otherwise(top["n"] > 0)
+            )
+            known = F.substring_index(token, "(", 1).isin(*OPERATORS)
+            one_less = F.concat(rest(calls), F.array(top.withField("open", top["open"] - 1).cast(_CALL)))
+            return (
+                F.when(token.endswith("("), F.when(operand & known, state(F.concat(calls, F.array(opening(top, token))), True, ok)).otherwise(broken))
+                .when(token == ",", F.when(~operand & inside & ~single, state(calls, True, ok)).otherwise(broken))
+                .when(
+                    token == ")",
+                    F.when(operand | ~inside | ~full, broken)
+                    .when(top["open"] > 1, state(one_less, False, ok))
+                    .otherwise(state(put(rest(calls), value_of(top)), False, ok)),
+                )
+                .when(token.rlike(r"^!?\w+$") & operand & ~token.isin(*OPERATORS), state(put(calls, atom), False, ok))
+                .otherwise(broken)
+            )
+
+        return F.when(~ok, held).otherwise(let(F.element_at(calls, -1), on_top))
+
+    def result(held: Column) -> Column:
+        whole = held["ok"] & ~held["operand"] & (F.size(held["calls"]) == 1) & (held["calls"][0]["n"] == 1)
+        return F.when(whole, minimal(held["calls"][0]["all"]))
+
+    squeezed = F.regexp_replace(expression, WS + "+", "")
+    tokens = F.regexp_extract_all(squeezed, F.lit(r"(?:Not\()+|\w+\(|!?\w+|."), F.lit(0))
+    root = call(F.lit("And"), F.lit(1), F.lit(True), F.lit(False))
+    return F.aggregate(tokens, state(F.array(root), True, F.lit(True)), step, result)
+
+
+def _times(some: Column, others: Column) -> Column:
+    """Clauses of "one of both": every clause of one joined with every clause of the other."""
+
+    def join(c: Column, d: Column) -> Column:
+        return F.array_sort(F.array_union(c, d))
+
+    def build(p: Column, q: Column) -> Column:
+        product = F.flatten(F.transform(p, lambda c: F.transform(q, lambda d: join(c, d))))
+        return F.array_distinct(F.filter(product, lambda c: ~F.exists(c, lambda x: F.array_contains(c, negate(x)))))
+
+    return F.when(some.isNotNull() & others.isNotNull(), let(others, lambda q: build(some, q)))
+
+
+def minimal(clauses: Column) -> Column:
+    """Equivalent clauses without tautologies, without clauses that hold another, and without literals
+    that one resolution takes away."""
+
+    def shorter(cs: Column) -> Column:
+        # One literal of a clause a round: two at once may need each other.
+        def cut(c: Column) -> Column:
+            spare = F.filter(
+                c,
+                lambda x: F.exists(
+                    cs,
+                    lambda d: F.array_contains(d, negate(x))
+                    & (F.size(F.array_except(F.array_except(d, F.array(negate(x))), F.array_except(c, F.array(x)))) == 0),
+                ),
+            )
+            return let(spare, lambda s: F.when(F.size(s) > 0, F.array_except(c, F.slice(s, 1, 1))).otherwise(c))
+
+        return F.array_distinct(F.transform(cs, cut))
+
+    def reduce(cs: Column) -> Column:
+        rounds = F.sequence(F.lit(1), F.size(F.flatten(cs)))
+        short = F.aggregate(
+            rounds,
+            F.struct(cs.alias("now"), F.lit(True).alias("moved")),
+            lambda held, _: F.when(
+                held["moved"],
+                let(shorter(held["now"]), lambda s: F.struct(s.alias("now"), (s != held["now"]).alias("moved"))),
+            ).otherwise(held),
+            lambda held: held["now"],
+        )
+        return let(
+            short,
+            lambda ss: F.filter(ss, lambda c: ~F.exists(ss, lambda d: (d != c) & (F.size(F.array_except(d, c)) == 0))),
+        )
+
+    clean = F.array_distinct(F.filter(clauses, lambda c: ~F.exists(c, lambda x: F.array_contains(c, negate(x)))))
+    return let(clean, lambda cs: F.when(F.size(cs) > 1, reduce(cs)).otherwise(cs))

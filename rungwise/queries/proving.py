@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rungwise.bridges import table, text
 from rungwise.functions import prover as P
 from rungwise.functions.relations import relation_sections
-from rungwise.operators import closure, prover
+from rungwise.operators import closure, horn, prover
 from rungwise.queries.registry import query
 
 _MESSAGE_SQL = """CASE event_type WHEN 'error' THEN 'Inner syntax error in ' || event_id WHEN 'view' THEN 'No proof found' || event_id
@@ -209,6 +211,11 @@ def _relation_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(kind == "RO", text("Implies(Not(", x, "),Not(", y, "))"))
         .otherwise(text("Equivalent(", x, ", ", y, ")"))
     )
+    return _listed(spark, sf_dir, relation)
+
+
+def _listed(spark: SparkSession, sf_dir: str, relation: Column) -> DataFrame:
+    """Lists of six propositions and of the relations that the lines of an order stand for."""
     declared = "\n".join(f"P{i}: fact {i} (from sentence {i})" for i in range(6))
     return (
         table(spark, sf_dir, "lineitem")
@@ -291,3 +298,70 @@ def derived_from_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def derived_from_clauses_heavy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ITR-2 on a clause table, documents of more than nine clauses by rounds of joins."""
     return closure.derived_implications(closure.stated_clauses(_relation_texts(spark, sf_dir)), row_clauses=9)
+
+
+# Nested relations over the atoms x, y, z of a line, and when they hold.
+_NESTED = (
+    ("Implies(And(x, y), z)", "NOT (x AND y) OR z"),
+    ("Implies(x, And(y, Not(z)))", "NOT x OR (y AND NOT z)"),
+    ("Not(And(x, Or(y, Not(Not(z)))))", "NOT (x AND (y OR z))"),
+    ("Equivalent(And(x, y), z)", "(x AND y) = z"),
+    ("Or(Not(And(x, y)), And(z, x))", "NOT (x AND y) OR (z AND x)"),
+    ("Not(Implies(Or(x, Not(x)), Not(y)))", "y"),
+)
+_Z = "((l_orderkey + l_linenumber) % 6)"
+_NESTED_KIND = "(l_partkey // 6 % 6)"
+
+
+def _nested_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists of relations with several premises, one list per order."""
+    atoms = {
+        "x": text("P", F.col("l_suppkey") % 6),
+        "y": text("P", F.col("l_partkey") % 6),
+        "z": text("P", (F.col("l_orderkey") + F.col("l_linenumber")) % 6),
+    }
+    kind = F.floor(F.col("l_partkey") / 6) % 6
+    relation = F.lit(None).cast("string")
+    for i, (form, _) in enumerate(_NESTED):
+        parts = [atoms.get(part, F.lit(part)) for part in re.split(r"\b([xyz])\b", form)]
+        relation = F.when(kind == i, text(*parts)).otherwise(relation)
+    return _listed(spark, sf_dir, relation)
+
+
+_HOLDS_SQL = " ".join(f"WHEN {i} THEN {rule}" for i, (_, rule) in enumerate(_NESTED))
+_HORN_SQL = f"""
+WITH l AS (
+  SELECT l_orderkey AS doc_id, {_NESTED_KIND} AS k, {_X} AS px, {_Y} AS py, {_Z} AS pz FROM lineitem
+), model AS (SELECT range AS m, range | (xor(range, 63) << 6) AS lits FROM range(64)),
+bits AS (
+  SELECT f.*, m, (m >> px) & 1 = 1 AS x, (m >> py) & 1 = 1 AS y, (m >> pz) & 1 = 1 AS z FROM (SELECT DISTINCT k, px, py, pz FROM l) f, model
+), truth AS (SELECT k, px, py, pz, m, CASE k {_HOLDS_SQL} END AS v FROM bits),
+meaning AS (SELECT k, px, py, pz, string_agg(CASE WHEN v THEN '1' ELSE '0' END, '' ORDER BY m) AS worlds FROM truth GROUP BY ALL),
+world AS (
+  SELECT doc_id, m FROM (SELECT DISTINCT * FROM l) l JOIN truth USING (k, px, py, pz) GROUP BY doc_id, m HAVING bool_and(v)
+), atom AS (SELECT DISTINCT doc_id, unnest(CASE k WHEN 5 THEN [px, py] ELSE [px, py, pz] END) AS p FROM l),
+lit AS (SELECT doc_id, unnest([p, p + 6]) AS c FROM atom),
+sure AS (
+  SELECT lit.doc_id, c, bit_and(lits) AS held FROM lit JOIN world USING (doc_id) JOIN model USING (m) WHERE (lits >> c) & 1 = 1 GROUP BY ALL
+), follows AS (
+  SELECT a.doc_id, a.c AS x, b.c AS y FROM lit a JOIN lit b ON a.doc_id = b.doc_id AND a.c <> b.c
+  LEFT JOIN sure s ON s.doc_id = a.doc_id AND s.c = a.c WHERE s.held IS NULL OR (s.held >> b.c) & 1 = 1
+), implied AS (
+  SELECT a.c AS x, b.c AS y, string_agg(CASE WHEN (lits >> a.c) & 1 = 0 OR (lits >> b.c) & 1 = 1 THEN '1' ELSE '0' END, '' ORDER BY m) AS worlds
+  FROM (SELECT range AS c FROM range(12)) a, (SELECT range AS c FROM range(12)) b, model WHERE a.c <> b.c GROUP BY ALL
+), stated AS (SELECT DISTINCT doc_id, i.x, i.y FROM l JOIN meaning USING (k, px, py, pz) JOIN implied i USING (worlds))
+SELECT f.doc_id, CASE WHEN f.x > 5 THEN '!' ELSE '' END || 'P' || (f.x % 6) AS x, CASE WHEN f.y > 5 THEN '!' ELSE '' END || 'P' || (f.y % 6) AS y
+FROM follows f ANTI JOIN stated s ON f.doc_id = s.doc_id AND f.x = s.x AND f.y = s.y
+"""
+
+
+@query(_HORN_SQL)
+def derived_horn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ITR-2, GEN-6 on relations with several premises, by forward chaining; the SQL tries every truth value."""
+    return horn.derived_horn(horn.document_relations(_nested_texts(spark, sf_dir)))
+
+
+@query(_HORN_SQL)
+def derived_horn_heavy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ITR-2 on relations with several premises, documents of more than five atoms by rounds of joins."""
+    return horn.derived_horn(horn.document_relations(_nested_texts(spark, sf_dir)), row_atoms=5)
