@@ -52,8 +52,9 @@ _PART = rf"(?:Implies|Or|Equivalent)\({_LITERAL},{_LITERAL}\)|{_LITERAL}"
 
 
 def compact(expression: Column) -> Column:
-    """Expression without blanks, ``Not`` of an atom written as a ``!`` before it."""
-    return F.regexp_replace(F.regexp_replace(expression, WS + "+", ""), r"Not\((\w+)\)", "!$1")
+    """Expression without blanks, ``Not`` of a literal written out where it is innermost."""
+    out = F.regexp_replace(F.regexp_replace(expression, WS + "+", ""), r"Not\((\w+)\)", "!$1")
+    return F.regexp_replace(out, r"Not\(!(\w+)\)", "$1")
 
 
 def clauses_of(expression: Column) -> Column:
@@ -94,19 +95,43 @@ def clauses_of(expression: Column) -> Column:
         whole = F.array_join(parts, ",") == inner
         return F.when(
             whole & (F.size(parts) > 0) & (e.startswith("And(") | (F.size(parts) == 1)), F.flatten(F.transform(parts, one))
-        ).otherwise(let(normal_form(e), as_pairs))
+        ).otherwise(as_pairs(normal_form(e), atoms_of(e)))
 
     return let(compact(expression), parts_of)
 
 
-def as_pairs(clauses: Column) -> Column:
-    """Clauses of a normal form as literal pairs; null if one has no literal or more than two."""
-    fits = F.forall(clauses, lambda c: F.size(c).between(1, 2))
-    return F.when(fits, F.transform(clauses, lambda c: F.struct(c[0].alias("a"), F.element_at(c, -1).alias("b"))))
+def as_pairs(clauses: Column, atoms: Column) -> Column:
+    """Clauses of a normal form as literal pairs; null if one has no literal or more than two.
+
+    Atoms that vanish in the normal form stay as (x or not x), in this order.
+    """
+
+    def pair(a: Column, b: Column) -> Column:
+        return F.struct(a.alias("a"), b.alias("b"))
+
+    def build(cs: Column) -> Column:
+        left = F.array_except(atoms, F.transform(F.flatten(cs), lambda x: F.regexp_replace(x, "^!", "")))
+        pairs = F.transform(cs, lambda c: pair(c[0], F.element_at(c, -1)))
+        fits = F.forall(cs, lambda c: F.size(c).between(1, 2))
+        return F.when(fits, F.concat(pairs, F.transform(left, lambda x: pair(x, negate(x)))))
+
+    return let(clauses, build)
+
+
+def is_one_clause(clauses: Column) -> Column:
+    """Whether a relation's clauses are one, besides those that only keep an atom."""
+    return F.size(F.filter(clauses, lambda c: c["b"] != F.concat(F.lit("!"), c["a"]))) == 1
 
 
 OPERATORS = ("Not", "And", "Or", "Implies", "Equivalent")
 
+
+def atoms_of(expression: Column) -> Column:
+    """Names of the propositions in an expression, each once."""
+    words = F.regexp_extract_all(expression, F.lit(r"\w+"), F.lit(0))
+    return F.array_distinct(F.filter(words, lambda w: ~w.isin(*OPERATORS)))
+
+
 _CNF = "array<array<string>>"
 # A call being read: its operator (``Same`` for an even run of ``Not``), the parentheses it has open,
 # its arguments so far, and of these the clauses of "all hold", "one holds", "all fail", "one fails".

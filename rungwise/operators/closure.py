@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rungwise.functions.relations import clauses_of, negate, relation_sections
+from rungwise.functions.relations import atoms_of, clauses_of, is_one_clause, negate, relation_sections
 from rungwise.functions.text import let
 from rungwise.operators.ordering import tag_heavy
 from rungwise.session import materialize
@@ -24,18 +24,13 @@ def stated_clauses(docs: DataFrame, doc: str = "doc_id", text: str = "text") ->
         F.posexplode("_s.relations").alias("rel_pos", "expression"),
     ).withColumn("_clauses", clauses_of(F.col("expression")))
     return (
-        relations.filter(F.size(F.array_except(_atoms_of(F.col("expression")), F.col("_keys"))) == 0)
-        .withColumn("single", F.size("_clauses") == 1)
+        relations.filter(F.size(F.array_except(atoms_of(F.col("expression")), F.col("_keys"))) == 0)
+        .withColumn("single", is_one_clause(F.col("_clauses")))
         .select("doc_id", "rel_pos", "expression", "single", F.explode_outer("_clauses").alias("_c"))
         .select("doc_id", "rel_pos", "expression", "_c.a", "_c.b", "single")
     )
 
 
-def _atoms_of(expression: Column) -> Column:
-    words = F.regexp_extract_all(expression, F.lit(r"\w+"), F.lit(0))
-    return F.filter(words, lambda w: ~w.isin("Not", "And", "Or", "Implies", "Equivalent"))
-
-
 def unsupported_documents(clauses: DataFrame) -> DataFrame:
     """Documents with a relation beyond two literals; nothing is derived for them."""
     return clauses.filter(F.col("a").isNull()).select("doc_id").distinct()
@@ -60,7 +55,7 @@ def derived_in_record(docs: DataFrame, doc: str = "doc_id", text: str = "text")
             F.transform(s["propositions"], lambda p: p["key"]),
             lambda declared: let(
                 F.transform(
-                    F.filter(s["relations"], lambda e: F.size(F.array_except(_atoms_of(e), declared)) == 0),
+                    F.filter(s["relations"], lambda e: F.size(F.array_except(atoms_of(e), declared)) == 0),
                     lambda e: clauses_of(e),
                 ),
                 _derive,
@@ -140,7 +135,7 @@ def _derive(relations: Column) -> Column:
                 ),
             )
 
-        single = F.flatten(F.filter(relations, lambda c: F.size(c) == 1))
+        single = F.flatten(F.filter(relations, is_one_clause))
         stated = F.transform(arrows(single), lambda e: e["x"] * n + e["y"])
         reach = F.aggregate(numbers, let(arrows(clauses), graph), through)
         known = F.array_append(stated, F.lit(None).cast("int"))

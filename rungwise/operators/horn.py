@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rungwise.functions.relations import CLAUSE_TYPE, OPERATORS, as_pairs, normal_form, relation_sections
+from rungwise.functions.relations import CLAUSE_TYPE, as_pairs, atoms_of, is_one_clause, normal_form, relation_sections
 from rungwise.functions.text import let
 from rungwise.operators.closure import derived_implications
 from rungwise.session import materialize
@@ -35,11 +35,7 @@ def document_relations(docs: DataFrame, doc: str = "doc_id", text: str = "text")
         declared = F.transform(sections["propositions"], lambda p: p["key"])
 
         def one(expression: Column) -> Column:
-            words = F.regexp_extract_all(expression, F.lit(r"\w+"), F.lit(0))
-            return F.struct(
-                expression.alias("expression"),
-                F.array_distinct(F.filter(words, lambda w: ~w.isin(*OPERATORS))).alias("atoms"),
-            )
+            return F.struct(expression.alias("expression"), atoms_of(expression).alias("atoms"))
 
         kept = F.filter(F.transform(sections["relations"], one), lambda r: F.size(F.array_except(r["atoms"], declared)) == 0)
         return F.transform(kept, lambda r: r.withField("clauses", normal_form(r["expression"])))
@@ -311,15 +307,15 @@ def derived_from_relations(relations: DataFrame) -> DataFrame:
     """``doc_id, x, y`` for every document that is Horn or has at most two literals in each clause.
 
     Horn documents are chained; of the others, those of two literals go through the closure of their
-    implications, where atoms that vanish in the normal form are not reported on. The rest give none.
+    implications. The rest give none.
     """
     stored = materialize(relations, "relations")
     others = stored.filter(~is_horn(F.col("relations"))).select("doc_id", F.explode("relations").alias("_r"))
     clauses = (
-        others.withColumn("_pairs", as_pairs(F.col("_r.clauses")))
+        others.withColumn("_pairs", as_pairs(F.col("_r.clauses"), F.col("_r.atoms")))
         # A relation that is no pair of literals is one row of nulls, which closes its document off.
         .withColumn("_unread", F.array(F.lit(None).cast(CLAUSE_TYPE)))
-        .withColumn("single", F.size("_pairs") == 1)
+        .withColumn("single", is_one_clause(F.col("_pairs")))
         .select("doc_id", F.explode(F.coalesce("_pairs", "_unread")).alias("_c"), "single")
         .select("doc_id", "_c.a", "_c.b", "single")
     )

@@ -134,10 +134,11 @@ def test_documents_beyond_horn(spark):
         (4, ["Or(A, B)", "Implies(A, C)", "Not(Not(Implies(B, C)))"]),
         (5, []),
         (6, ["A", "Not(A)", "B"]),
+        (7, ["Or(A, B)", "Or(C, Not(Not(Not(C))))", "And(D, Or(D, Not(Not(E))))"]),
     ]
     relations = horn.document_relations(documents(spark, lists))
-    assert sorted(r.doc_id for r in horn.beyond_horn(relations).collect()) == [2, 3, 4]
-    want = {(d, x, y) for d in (1, 4, 6) for x, y in by_truth_table([e for e in dict(lists)[d] if "Unknown" not in e])}
+    assert sorted(r.doc_id for r in horn.beyond_horn(relations).collect()) == [2, 3, 4, 7]
+    want = {(d, x, y) for d in (1, 4, 6, 7) for x, y in by_truth_table([e for e in dict(lists)[d] if "Unknown" not in e])}
     assert {tuple(r) for r in horn.derived_from_relations(relations).collect()} == want
     nothing = documents(spark, lists).withColumn("text", F.lit(None).cast("string"))
     assert horn.derived_horn(horn.document_relations(nothing)).count() == 0
