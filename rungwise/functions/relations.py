@@ -61,8 +61,8 @@ def clauses_of(expression: Column) -> Column:
     """Clauses of at most two literals that an expression stands for; null if it has others.
 
     A literal, ``Implies``, ``Or`` and ``Equivalent`` of two literals, and ``And`` of those are read by
-    their form; everything else goes through ``normal_form``. A single literal ``x`` is the clause
-    (x or x).
+    their form; calls within calls go through ``normal_form``. A single literal ``x`` is the clause
+    (x or x). One call of three literals counts as beyond two even if some of them are the same.
     """
 
     def clause(a: Column, b: Column) -> Column:
@@ -95,7 +95,7 @@ def clauses_of(expression: Column) -> Column:
         whole = F.array_join(parts, ",") == inner
         return F.when(
             whole & (F.size(parts) > 0) & (e.startswith("And(") | (F.size(parts) == 1)), F.flatten(F.transform(parts, one))
-        ).otherwise(as_pairs(normal_form(e), atoms_of(e)))
+        ).when(e.rlike(r"\(.*\("), as_pairs(normal_form(e), atoms_of(e)))
 
     return let(compact(expression), parts_of)
 

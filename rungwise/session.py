@@ -20,6 +20,8 @@ def build_session(app_name: str = "rungwise", master: str | None = None, **conf:
         "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64KB",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # Noting the Python line of each column takes most of the time of building long expressions.
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
     }
     settings.update(conf)
     builder = SparkSession.builder.appName(app_name)
