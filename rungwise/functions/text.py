@@ -77,76 +77,65 @@ def _leaf_to_string(v: Column) -> Column:
     return F.when(kind == "BOOLEAN", F.initcap(text)).otherwise(text)
 
 
-_TOKEN = r'"(?:[^"\\]++|\\.)*+"|[\[\]{},:]|[^\[\]{},:"\s]+'
+_STRING = r'"(?:[^"\\]++|\\.)*+"'
+_OPENING = "^(STRING|ARRAY|OBJECT)"
 
 
-def _flat_members(v: Column) -> Column:
-    """Members of a list and of all lists in it, however deep; objects stay whole.
+def _depth(v: Column) -> Column:
+    """How deep lists and objects nest in a variant; brackets inside of strings do not count."""
+    bare = F.regexp_replace(F.to_json(v), _STRING, "")
+    none = F.struct(F.lit(0).alias("open"), F.lit(0).alias("most"))
 
-    The tokens of the JSON text are folded once: outside of objects, brackets and commas only
-    separate members, and what lies between the braces of an object is kept together.
+    def take(state: Column, mark: Column) -> Column:
+        open_ = state["open"] + F.when(mark.isin("[", "{"), 1).otherwise(-1)
+        return F.struct(open_.alias("open"), F.greatest(state["most"], open_).alias("most"))
+
+    return F.aggregate(F.regexp_extract_all(bare, F.lit(r"[\[\]{}]"), F.lit(0)), none, take, lambda state: state["most"])
+
+
+def _leaves(v: Column, opens: Callable[[Column], Column], unnest: Callable[[Column], Column]) -> Column:
+    """Members of ``v``, opened level by level, until none is left that opens.
+
+    There is a round for each level and not for each bracket, so many members cost in proportion.
     """
-    tokens = F.regexp_extract_all(F.to_json(v), F.lit(_TOKEN), F.lit(0))
-    none = F.struct(F.lit(0).alias("open"), F.lit("").alias("held"), F.array().cast("array<string>").alias("out"))
+    return F.aggregate(
+        F.sequence(F.lit(0), _depth(v)),
+        F.array(v),
+        lambda level, _: F.when(F.exists(level, opens), F.flatten(F.transform(level, unnest))).otherwise(level),
+    )
 
-    def take(state: Column, token: Column) -> Column:
-        open_ = state["open"] + F.when(token == "{", 1).when(token == "}", -1).otherwise(0)
-        held = F.concat(state["held"], token)
-        return (
-            F.when(open_ > 0, F.struct(open_.alias("open"), held.alias("held"), state["out"].alias("out")))
-            .when(token.isin("[", "]", ","), state)
-            .otherwise(F.struct(open_.alias("open"), F.lit("").alias("held"), F.array_append(state["out"], held).alias("out")))
-        )
 
-    return F.transform(F.aggregate(tokens, none, take, lambda state: state["out"]), F.try_parse_json)
+def _is_list(v: Column) -> Column:
+    return _variant_kind(v).startswith("ARRAY")
 
 
 def _members(v: Column) -> Column:
-    """Members of a list; if one of them is a list, the members of all lists in it."""
-    plain = F.try_variant_get(v, "$", "array<variant>")
-    nested = F.exists(plain, lambda m: _variant_kind(m).startswith("ARRAY"))
-    return F.when(nested, _flat_members(v)).otherwise(plain)
+    return F.try_variant_get(v, "$", "array<variant>")
 
 
 def _unnest(v: Column) -> Column:
-    return F.when(_variant_kind(v).startswith("ARRAY"), _members(v)).otherwise(F.array(v))
+    return F.when(_is_list(v), _members(v)).otherwise(F.array(v))
+
+
+def _opens(v: Column) -> Column:
+    return _variant_kind(v).rlike("^(ARRAY|OBJECT|VOID)")
 
 
 def _unnest_open(v: Column) -> Column:
-    kind = _variant_kind(v)
     inner = F.lit(None).cast("variant")
     for key in ("value", "content", "text"):
         child = F.try_variant_get(v, f"$.{key}", "variant")
-        child_kind = _variant_kind(child)
-        usable = (
-            (child_kind == "STRING") | child_kind.startswith("ARRAY") | child_kind.startswith("OBJECT")
-        )
-        inner = F.when(usable, child).otherwise(inner)
-    return (
-        F.when(kind.startswith("ARRAY"), _members(v))
-        .when(kind == "VOID", F.array().cast("array<variant>"))
-        .when(kind.startswith("OBJECT") & inner.isNotNull(), F.array(inner))
-        .otherwise(F.array(v))
-    )
-
-
-def _leaves_open(v: Column) -> Column:
-    """Members of all lists and objects, until none is left that opens.
-
-    No value nests deeper than its JSON text has opening brackets; rounds after the last level
-    change nothing.
-    """
-    rounds = F.sequence(F.lit(0), F.size(F.regexp_extract_all(F.to_json(v), F.lit(r"[\[{]"), F.lit(0))))
+        inner = F.when(_variant_kind(child).rlike(_OPENING), child).otherwise(inner)
 
-    def opens(m: Column) -> Column:
-        kind = _variant_kind(m)
-        return kind.startswith("ARRAY") | kind.startswith("OBJECT") | (kind == "VOID")
+    def opened(kind: Column) -> Column:
+        return (
+            F.when(kind.startswith("ARRAY"), _members(v))
+            .when(kind == "VOID", F.array().cast("array<variant>"))
+            .when(kind.startswith("OBJECT"), F.array(F.coalesce(inner, v)))
+            .otherwise(F.array(v))
+        )
 
-    return F.aggregate(
-        rounds,
-        F.array(v),
-        lambda level, _: F.when(F.exists(level, opens), F.flatten(F.transform(level, _unnest_open))).otherwise(level),
-    )
+    return let(_variant_kind(v), opened)
 
 
 def to_text(v: Column) -> Column:
@@ -154,7 +143,7 @@ def to_text(v: Column) -> Column:
 
     Null gives the empty text.
     """
-    words = F.transform(_unnest(v), _leaf_to_string)
+    words = F.transform(_leaves(v, _is_list, _unnest), _leaf_to_string)
     return F.coalesce(tidy(F.array_join(words, " ")), F.lit(""))
 
 
@@ -163,7 +152,7 @@ def to_text_open(v: Column) -> Column:
 
     Objects and lists are opened in any depth.
     """
-    words = F.transform(_leaves_open(v), _leaf_to_string)
+    words = F.transform(_leaves(v, _opens, _unnest_open), _leaf_to_string)
     return F.coalesce(tidy_keep_lines(F.array_join(words, " ")), F.lit(""))
 
 

@@ -1,6 +1,8 @@
 """Text functions against Python's own rules and hand-written cases."""
 
+import json
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -163,3 +165,14 @@ def test_objects_and_lists_take_turns_in_any_depth(spark):
     wide = "[" + ",".join(['{"text":"a"}'] * 2000) + "]"
     got = column(spark, [chat, deep, wide, "null", "[]", None], T.to_text_open(F.try_parse_json("c")))
     assert got == [("x",), ('y {"other":1}',), (" ".join(["a"] * 2000),), ("",), ("",), ("",)]
+
+
+def test_many_members_and_brackets_in_strings(spark):
+    strict = [[f"w{i} [x", [f'y"]{i}']] if i % 3 else f"z{i}" for i in range(30_000)]
+    lenient = [{"text": {"value": [f"w{i}", f"]y{i}", None]}} if i % 3 else {"other": [i]} for i in range(30_000)]
+    df = spark.createDataFrame([(json.dumps(strict), json.dumps(lenient))], "a string, b string")
+    started = time.monotonic()
+    (row,) = df.select(T.to_text(F.parse_json("a")).alias("a"), T.to_text_open(F.parse_json("b")).alias("b")).collect()
+    assert time.monotonic() - started < 20  # a cost that grows with the square takes minutes
+    assert row.a == " ".join(f'w{i} [x y"]{i}' if i % 3 else f"z{i}" for i in range(30_000))
+    assert row.b == " ".join(f"w{i} ]y{i}" if i % 3 else f'{{"other":[{i}]}}' for i in range(30_000))
