@@ -14,8 +14,10 @@ from rungwise.operators.rounds import Refined, refine_rounds, refine_soft_rounds
 from rungwise.queries.registry import query
 from rungwise.results import with_results
 from rungwise.session import checkpoint_root
+from rungwise.sources.jsonl import read_outcome, write_outcomes
+from rungwise.streaming.collate import collate_left_over
 from rungwise.streaming.collate import stream_collate as collate_stream
-from rungwise.streaming.incremental import append_new
+from rungwise.streaming.incremental import append_new, append_once, read_once
 
 # A step holds from round k = user_id % 7 on; errors cannot be read in round 0; a signup's critic
 # breaks in round 2. f: round of the end; e: first round that was read.
@@ -117,20 +119,34 @@ def hook_with_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_hook(events, _load_stub, "completion string").select("event_id", "completion", "error")
 
 
+@query(
+    """
+SELECT event_id, 'good' AS outcome, user_id, '<answer>' || event_type || '</answer>' AS completion, NULL AS error FROM events WHERE user_id <> 7
+UNION ALL SELECT event_id, 'error', NULL, NULL, 'ValueError: no reply' FROM events WHERE user_id = 7
+"""
+)
+def outcome_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK-1, SNK-4: records and error records of a hook, written in one pass and read back."""
+    path = f"{checkpoint_root(spark)}/rungwise/outcomes-{uuid.uuid4().hex}"
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
+    write_outcomes(apply_hook(events, _load_stub, "completion string"), path, ["event_id"])
+    good = read_outcome(spark, path, "good", "event_id bigint, user_id bigint, completion string, error string")
+    bad = read_outcome(spark, path, "error", "event_id bigint, user_id bigint, completion string, error string")
+    return good.withColumn("outcome", F.lit("good")).unionByName(bad.withColumn("outcome", F.lit("error")))
+
+
 def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = table(spark, sf_dir, "events").schema
     return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
 
 
-@query("SELECT CAST(user_id AS VARCHAR) AS id, count(*) // 5 AS n_records, 5 AS n_replies FROM events GROUP BY user_id HAVING count(*) >= 5")
-def stream_collate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STR-1: full records of five per user from a file stream."""
-    run = f"{checkpoint_root(spark)}/rungwise/collate-{uuid.uuid4().hex}"
+def _collated(spark: SparkSession, sf_dir: str, run: str, salts: int = 1) -> DataFrame:
+    """Full records of the events of each user, from a stream that has ended."""
     replies = _event_stream(spark, sf_dir).select(
         F.col("user_id").alias("id"), text("E", F.col("event_id")).alias("text"), F.col("event_type").alias("answer")
     )
     (
-        collate_stream(replies)
+        collate_stream(replies, salts=salts)
         .writeStream.format("parquet")
         .option("path", f"{run}/out")
         .option("checkpointLocation", f"{run}/checkpoint")
@@ -139,12 +155,46 @@ def stream_collate(spark: SparkSession, sf_dir: str) -> DataFrame:
         .start()
         .awaitTermination()
     )
-    records = spark.read.parquet(f"{run}/out")
+    return spark.read.schema("id string, generation array<string>, extracted_answer array<string>").parquet(f"{run}/out")
+
+
+@query("SELECT CAST(user_id AS VARCHAR) AS id, count(*) // 5 AS n_records, 5 AS n_replies FROM events GROUP BY user_id HAVING count(*) >= 5")
+def stream_collate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STR-1: full records of five per user from a file stream."""
+    records = _collated(spark, sf_dir, f"{checkpoint_root(spark)}/rungwise/collate-{uuid.uuid4().hex}")
     return records.groupBy("id").agg(
         F.count(F.lit(1)).alias("n_records"), F.max(F.size("generation")).alias("n_replies")
     )
 
 
+@query(
+    """
+SELECT CAST(user_id AS VARCHAR) AS id, CAST(ceil(count(*) / 5) AS BIGINT) AS n_records,
+  CASE WHEN count(*) % 5 = 0 THEN 5 ELSE count(*) % 5 END AS least_replies, count(*) AS n_replies,
+  CAST(sum(event_id) AS BIGINT) AS sum_events, min(event_id) AS first_event, max(event_id) AS last_event, count(DISTINCT event_type) AS n_answers
+FROM events GROUP BY user_id
+"""
+)
+def stream_with_left_over(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STR-1: the streamed records of each user and what its state still held hold every reply once."""
+    run = f"{checkpoint_root(spark)}/rungwise/collate-{uuid.uuid4().hex}"
+    records = _collated(spark, sf_dir, run).unionByName(collate_left_over(spark, f"{run}/checkpoint"))
+    sized = records.select("id", F.size("generation").alias("_n"), F.arrays_zip("generation", "extracted_answer").alias("_r"))
+    # The first reply of a record stands for the record.
+    replies = sized.select("id", "_n", F.posexplode("_r").alias("_at", "_p")).withColumn(
+        "event", F.substring("_p.generation", 2, 20).cast("bigint")
+    )
+    return replies.groupBy("id").agg(
+        F.count(F.when(F.col("_at") == 0, 1)).alias("n_records"),
+        F.min("_n").cast("bigint").alias("least_replies"),
+        F.count(F.lit(1)).alias("n_replies"),
+        F.sum("event").alias("sum_events"),
+        F.min("event").alias("first_event"),
+        F.max("event").alias("last_event"),
+        F.count_distinct("_p.extracted_answer").alias("n_answers"),
+    )
+
+
 @query("SELECT DISTINCT user_id AS id FROM events WHERE user_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)")
 def stream_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STR-2: users that are not finished yet, each written once."""
@@ -168,6 +218,21 @@ def stream_every_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema("id bigint, event_id bigint").json(f"{run}/out")
 
 
+@query(
+    "SELECT DISTINCT CASE WHEN event_id % 7 > 0 THEN user_id END AS id FROM events "
+    "WHERE event_id % 7 = 0 OR user_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)"
+)
+def stream_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STR-2: each user that is not finished is written in one of several batches, without state."""
+    run = f"{checkpoint_root(spark)}/rungwise/once-{uuid.uuid4().hex}"
+    done = table(spark, sf_dir, "labels").filter("quality = 1").select(F.col("doc_id").alias("id"))
+    id_ = F.when(F.col("event_id") % 7 > 0, F.col("user_id")).alias("id")
+    table(spark, sf_dir, "events").select(id_).repartition(8).write.parquet(f"{run}/in")
+    stream = spark.readStream.schema("id bigint").option("maxFilesPerTrigger", 2).parquet(f"{run}/in")
+    append_once(stream, done, f"{run}/out", f"{run}/checkpoint").awaitTermination()
+    return read_once(spark, f"{run}/out", "id bigint")
+
+
 def _load_critic():
     """A prover that finds steps of even users valid, is short of words for one event type, and fails for one user."""
 

@@ -233,6 +233,32 @@ def write_jsonl(df: DataFrame, path: str) -> None:
     df.write.option("ignoreNullFields", "false").json(path)
 
 
+def write_outcomes(df: DataFrame, path: str, keep: Sequence[str] = ("id",)) -> None:
+    """Rows of a hook as lines below ``path``: whole records in ``outcome=good``, the others in ``outcome=error``.
+
+    One pass writes both, so the hook runs once (SNK-1, SNK-4). A good record has no ``error`` field, an
+    error record has ``keep`` and ``error``; nulls are written. Either folder is absent if it has no row.
+    """
+    plain = [c for c in df.columns if c != "error"]
+
+    def line(names: Sequence[str]) -> Column:
+        return F.to_json(F.struct(*names), {"ignoreNullFields": "false"})
+
+    good = F.col("error").isNull()
+    df.select(
+        F.when(good, "good").otherwise("error").alias("outcome"),
+        F.when(good, line(plain)).otherwise(line([*keep, "error"])).alias("value"),
+    ).write.partitionBy("outcome").text(path)
+
+
+def read_outcome(spark: SparkSession, path: str, outcome: str, schema: str) -> DataFrame:
+    """Records of one outcome (``good`` or ``error``) of ``write_outcomes``; none if its folder is absent."""
+    folder = f"{path}/outcome={outcome}"
+    if not path_exists(spark, folder):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).json(folder)
+
+
 def merged_records(lines: DataFrame) -> DataFrame:
     """Good records of shard files: parsed, and no error record (SNK-3)."""
     return good_records(lines).filter(~is_error_record())

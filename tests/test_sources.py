@@ -17,8 +17,9 @@ from rungwise.operators.requests import request_lines
 from rungwise.results import with_results
 from rungwise.sources import jsonl
 from rungwise.sources.records import reasoning_records
-from rungwise.streaming.collate import stream_collate
-from rungwise.streaming.incremental import append_new
+from rungwise.streaming import incremental
+from rungwise.streaming.collate import collate_left_over, left_over, stream_collate
+from rungwise.streaming.incremental import append_new, append_once, read_once
 
 
 def write(path, *lines):
@@ -307,6 +308,108 @@ def test_streams(spark, tmp_path):
     assert sorted(r.id for r in spark.read.json(str(tmp_path / "new")).collect()) == ["u0", "u2"]
 
 
+def test_outcomes_run_the_hook_once(spark, tmp_path):
+    calls = spark.sparkContext.accumulator(0)
+
+    def load():
+        def answer(batch):
+            if (batch["id"] == "b").any() and len(batch) > 1:
+                raise ValueError("halve")
+            if (batch["id"] == "b").any():
+                raise ValueError('no "reply"')
+            calls.add(len(batch))
+            return pd.DataFrame({"completion": batch["id"].map(lambda i: f"{i} \u00e9\n")})
+
+        return answer
+
+    schema = "id string, note string"
+    rows = spark.createDataFrame([("a", None), ("b", "x"), ("c", "y"), (None, "z")], schema)
+    path = str(tmp_path / "out")
+    jsonl.write_outcomes(hooks.complete(rows, load), path, ["id"])
+    good = jsonl.read_outcome(spark, path, "good", f"{schema}, completion string, error string").collect()
+    bad = jsonl.read_outcome(spark, path, "error", f"{schema}, error string").collect()
+    assert calls.value == 3
+    assert sorted(map(str, (r.id for r in good))) == ["None", "a", "c"] and all(r.error is None for r in good)
+    assert [r.completion for r in good if r.id == "a"] == ["a \u00e9\n"]
+    assert [tuple(r) for r in bad] == [("b", None, 'ValueError: no "reply"')]
+    jsonl.write_outcomes(hooks.complete(rows.filter("id = 'a'"), load), str(tmp_path / "good"))
+    assert jsonl.read_outcome(spark, str(tmp_path / "good"), "error", "id string, error string").count() == 0
+
+
+@pytest.mark.parametrize("salts", [1, 3])
+def test_stream_and_its_leftovers_equal_the_batch_form(spark, tmp_path, salts):
+    rows = [(f"u{i % 4}" if i % 9 else None, f't"{i}' if i % 5 else None, f"[a{i}" if i % 7 else None) for i in range(60)]
+    schema = "id string, text string, answer string"
+    for part in range(3):
+        spark.createDataFrame(rows[part::3], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    (
+        stream_collate(stream, salts=salts)
+        .writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c"))
+        .trigger(availableNow=True).start().awaitTermination(120)
+    )
+    full = spark.read.parquet(str(tmp_path / "out")).collect()
+    rest = collate_left_over(spark, str(tmp_path / "c")).collect()
+    batch = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], f"at int, {schema}")
+    twin = collate_chunks(batch, ["at"], F.lit(0)).collect()
+
+    def sizes(records):
+        return sorted((str(r.id), len(r.generation)) for r in records)
+
+    def replies(records):
+        return sorted(str((r.id, *pair)) for r in records for pair in zip(r.generation, r.extracted_answer))
+
+    assert sizes(full + rest) == sizes(twin)
+    assert replies(full + rest) == replies(twin) == sorted(str(r) for r in rows)
+    assert all(len(r.generation) == 5 for r in full)
+    held = left_over(spark, str(tmp_path / "c")).groupBy("id").count().collect()
+    assert all(r["count"] <= salts * 4 for r in held)
+
+
+def test_ids_are_written_once_without_state(spark, tmp_path, monkeypatch):
+    schema = "id string, n int"
+    for part in range(10):
+        rows = [(f"u{i % 17}" if i % 11 else None, 100 * part + i) for i in range(part, part + 20)] * 2
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    done = spark.createDataFrame([("u1",)], "id string")
+    out, checkpoint = str(tmp_path / "it's out"), str(tmp_path / "c")
+    write, seen = incremental.write_once, []
+
+    def lost_after_write(rows, batch, path, buckets):
+        write(rows, batch, path, buckets)
+        seen.append(batch)
+        if seen == [0, 1]:
+            raise RuntimeError("lost")
+
+    monkeypatch.setattr(incremental, "write_once", lost_after_write)
+    with pytest.raises(Exception, match="lost"):
+        append_once(stream, done, out, checkpoint, 4).awaitTermination(120)
+    # The session that starts again knows nothing of the table.
+    for table in spark.catalog.listTables():
+        if table.name.startswith("once_"):
+            spark.sql(f"DROP TABLE {table.name}")
+    append_once(stream, done, out, checkpoint, 4).awaitTermination(240)
+    assert seen == [0, 1, *range(1, 10)]
+    ids = [r.id for r in read_once(spark, out, schema).collect()]
+    assert sorted(map(str, ids)) == sorted(["None", *(f"u{i}" for i in range(17) if i != 1)])
+    assert not (tmp_path / "c" / "state").exists()
+
+
+def test_finished_ids_are_not_shuffled(spark, tmp_path):
+    rows = spark.createDataFrame([(f"u{i}",) for i in range(100)], "id string")
+    incremental.write_once(rows.limit(60), 0, str(tmp_path / "out"), 4)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        output = spark.table(incremental._output_table(spark, rows.schema, str(tmp_path / "out"), 4))
+        new = incremental.new_rows(rows, 1, output, 4)
+        plan = new._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1 and "SelectedBucketsCount: 4 out of 4" in plan
+        assert new.count() == 40 and incremental.new_rows(rows, 0, output, 4).count() == 100
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_layout_does_not_depend_on_size(spark, tmp_path):
     texts = {
         "array.json": json.dumps([{"id": str(i), "n": i} for i in range(50)], indent=2),
