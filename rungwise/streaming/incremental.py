@@ -61,12 +61,13 @@ def _output_table(spark: SparkSession, schema: T.StructType, path: str, buckets:
 def new_rows(rows: DataFrame, batch: int, output: DataFrame, buckets: int) -> DataFrame:
     """One row of each id that no batch before ``batch`` holds, with its ``_key``; null counts as an id.
 
-    Only ``rows`` are shuffled. They meet the finished ids of their bucket where those lie.
+    Only ``rows`` are shuffled, the rows of an id that comes often after they became one in their task.
+    They meet the finished ids of their bucket where those lie.
     """
     key = F.coalesce(F.concat(F.lit("="), F.col("id").cast("string")), F.lit(""))
     earlier = output.filter(F.col("_batch") < batch).select("_key")
-    keyed = rows.withColumn("_key", key).repartition(buckets, "_key")
-    return keyed.dropDuplicates(["_key"]).join(earlier, "_key", "left_anti").select(*rows.columns, "_key")
+    first = rows.withColumn("_key", key).dropDuplicates(["_key"]).repartition(buckets, "_key")
+    return first.join(earlier, "_key", "left_anti").select(*rows.columns, "_key")
 
 
 def write_once(rows: DataFrame, batch: int, path: str, buckets: int = BUCKETS) -> None:

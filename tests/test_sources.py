@@ -404,7 +404,9 @@ def test_finished_ids_are_not_shuffled(spark, tmp_path):
         output = spark.table(incremental._output_table(spark, rows.schema, str(tmp_path / "out"), 4))
         new = incremental.new_rows(rows, 1, output, 4)
         plan = new._jdf.queryExecution().executedPlan().toString()
-        assert plan.count("Exchange") == 1 and "SelectedBucketsCount: 4 out of 4" in plan
+        left, right = plan.split("\n   +- ", 1)
+        assert "SortMergeJoin" in left and "Exchange" in left and "Aggregate" in left[left.index("Exchange") :]
+        assert "Exchange" not in right and "SelectedBucketsCount: 4 out of 4" in right
         assert new.count() == 40 and incremental.new_rows(rows, 0, output, 4).count() == 100
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
