@@ -169,15 +169,18 @@ def cited_axioms(texts: Column) -> Column:
 
 
 def cited_axiom_text(code: Column, names: Column) -> Column:
-    """Theory lines of the cited explanations, in the order the theory states them (PRV-4)."""
+    """Theory lines of the cited explanations, in the order the theory states them (PRV-4).
+
+    A line belongs to the whole names in it: that of ``explanation_10`` is none of ``explanation_1``.
+    """
 
     def find(lines: Column) -> Column:
         found = F.transform(
             names,
             lambda name, i: let(
                 F.filter(
-                    F.transform(lines, lambda s, at: F.struct(at.alias("at"), s.alias("s"))),
-                    lambda p: F.contains(p["s"], name),
+                    lines,
+                    lambda p: F.array_contains(p["names"], name),
                 ),
                 lambda hits: F.when(
                     F.size(hits) > 0,
@@ -192,7 +195,11 @@ def cited_axiom_text(code: Column, names: Column) -> Column:
         kept = F.array_sort(F.filter(found, lambda p: p.isNotNull()))
         return F.array_join(F.transform(kept, lambda p: p["s"]), "\n\n")
 
-    return let(F.split(code, "\n"), find)
+    def named(s: Column, at: Column) -> Column:
+        names_in = F.regexp_extract_all(s, F.lit(EXPLANATION_NAME), F.lit(0))
+        return F.struct(at.alias("at"), s.alias("s"), names_in.alias("names"))
+
+    return let(F.transform(F.split(code, "\n"), named), find)
 
 
 def unused_axioms(code: Column) -> Column:

@@ -34,16 +34,15 @@ def refine_records(
     # The steps of one record, which arrived in one row.
     per_record = refined.steps.groupBy("id").agg(
         F.max("error").alias("_error"),
-        F.collect_list(
-            F.struct("gen_pos", "step_pos", "assumption", "logic_validity", "syntactic_validity")
+        F.array_sort(
+            F.collect_list(F.struct("gen_pos", "step_pos", "assumption", "logic_validity", "syntactic_validity"))
         ).alias("_refined"),
     )
     joined = records.join(per_record, "id", "left")
 
-    def step(s, g, i):
-        mine = F.filter("_refined", lambda r: (r["gen_pos"] == g) & (r["step_pos"] == i))
+    def step(s, at):
         return let(
-            F.get(mine, F.lit(0)),
+            F.get("_refined", at),
             lambda r: F.struct(
                 s["n"].alias("n"),
                 s["premises"].alias("premises"),
@@ -54,10 +53,16 @@ def refine_records(
             ),
         )
 
+    def steps_before(i):
+        """Each step was refined, so a step lies in ``_refined`` behind those of the generations before it."""
+        size = lambda g: F.coalesce(F.greatest(F.size(g["steps"]), F.lit(0)), F.lit(0))
+        return F.aggregate(F.slice("generations", 1, i), F.lit(0), lambda n, g: n + size(g))
+
     updated = F.transform(
         "generations",
         lambda g, i: F.struct(
-            g["final_tag"].alias("final_tag"), F.transform(g["steps"], lambda s, j: step(s, i, j)).alias("steps")
+            g["final_tag"].alias("final_tag"),
+            let(steps_before(i), lambda n: F.transform(g["steps"], lambda s, j: step(s, n + j))).alias("steps"),
         ),
     )
     stale = [c for c in ("reward_score", "per_step_validity") if c in records.columns]

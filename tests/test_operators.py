@@ -324,6 +324,10 @@ def test_prover_text(spark):
     assert (row.t, row.b, row.n) == ("by (metis explanation_10 explanation_2)", "by simp", None)
     assert row.c == ["explanation_2", "explanation_10"] and row.u == ["explanation_3", "explanation_10"]
     assert row.x == "explanation_10: ten\n\nexplanation_3: three"
+    # A name is no part of a longer one.
+    more = F.lit("explanation_10: ten\nexplanation_1: one\nexplanation_12: twelve")
+    names = F.array(F.lit("explanation_1"), F.lit("explanation_10"))
+    assert spark.range(1).select(PF.cited_axiom_text(more, names)).first()[0] == "explanation_10: ten\n\nexplanation_1: one"
     body = '{"errors":[{"message":"Inner syntax error","pos":{"line":2}}],"nodes":[{"messages":[{"kind":"writeln","message":"No proof found"}]}]}'
     quiet = '{"nodes":[]}'
     v = [PF.verdict(F.lit(f), PF.parse_body(F.lit(b))).alias(f"v{i}") for i, (f, b) in enumerate([(True, body), (False, body), (True, quiet)])]
