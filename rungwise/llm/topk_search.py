@@ -88,61 +88,65 @@ def search_block(
     places = np.empty(block.shape, np.int64)
     np.put_along_axis(places, order, np.arange(n)[:, None], axis=0)
     lists = np.take_along_axis(block, order, axis=0).astype(kind)
+    # A query's positive components read lists from the top, the negative ones from the bottom.
+    signed = np.hstack([np.maximum(queries, 0), np.minimum(queries, 0)]).astype(kind)
+    first = _best_first(queries, lists)
+    parts = [np.hstack([part, part]) for part in (first, ~first)]
     block = block.astype(kind)
-    up, down = np.maximum(queries, 0).astype(kind).T, np.minimum(queries, 0).astype(kind).T
     floor = NONE if kind is object else -np.inf
     known = np.full(len(query_ids), floor, kind)
     if found is not None:
         known[found != NONE] = found[found != NONE].astype(kind)
-    away = ids[:, None] == query_ids[None, :]
-    others = n - away.sum(axis=0)
+    hidden = query_ids[:, None] == ids[None, :]
+    others = n - hidden.sum(axis=1)
 
-    def views(read: int) -> tuple[np.ndarray, ...]:
-        """What is known of the block after ``read`` entries: from the top as least and most, from the bottom likewise."""
+    def views(read: int) -> tuple[np.ndarray, np.ndarray]:
+        """Values that bound the scores from below and from above after ``read`` entries of each list."""
         top, bottom = places >= n - read, places < read
-        return (
-            np.where(top, block, lists[0]),
-            np.where(top, block, lists[n - read] if read else lists[-1]),
-            np.where(bottom, block, lists[-1]),
-            np.where(bottom, block, lists[read - 1] if read else lists[0]),
+        below = np.hstack([np.where(top, block, lists[0]), np.where(bottom, block, lists[-1])])
+        above = np.hstack(
+            [np.where(top, block, lists[n - read] if read else lists[-1]), np.where(bottom, block, lists[read - 1] if read else lists[0])]
         )
+        return below.T, above.T
 
     now, at = views(0), 0
     # Nothing is read yet, so all candidates have the same bounds.
-    lower = np.repeat(now[0][:1] @ up + now[2][:1] @ down, n, axis=0)
-    upper = np.repeat(now[1][:1] @ up + now[3][:1] @ down, n, axis=0)
-    first = _best_first(queries, lists).T
+    lower, upper = (np.repeat(signed @ bound[:, :1], n, axis=1) for bound in now)
     reads = np.zeros(len(query_ids), np.int64)
     waiting = np.arange(len(query_ids))
     out_q, out_c, out_s = [], [], []
     for level in levels:
         read = min(n, max(1, int(np.ceil(n * level))))
-        if read == at and level < 1:
+        if read == at and read < n:
             continue
         then = views(read)
-        change = [b - a for a, b in zip(now, then)]
-        for part in (first, ~first):
-            chosen = part[:, waiting]
-            rise, fall = up[:, waiting] * chosen, down[:, waiting] * chosen
-            lower += change[0] @ rise + change[2] @ fall
-            upper += change[1] @ rise + change[3] @ fall
-            reads[waiting] += (read - at) * chosen.sum(axis=0)
-            whole = read == n and part is not first
-            hidden = away[:, waiting]
-            kth = _kth(np.where(hidden, floor, lower), k)
-            able = (upper >= np.maximum(kth, known[waiting])) & ~hidden
-            done = (able.sum(axis=0) <= FEW * k) | whole | (others[waiting] <= k)
-            for column in np.flatnonzero(done & able.any(axis=0)):
-                q = waiting[column]
-                rows = np.flatnonzero(able[:, column])
-                scores = lower[rows, column] if whole else block[rows] @ queries[q].astype(kind)
+        below, above = (b - a for a, b in zip(now, then))
+        for last, part in enumerate(parts):
+            weights = signed[waiting] * part[waiting]
+            lower += weights @ below
+            upper += weights @ above
+            reads[waiting] += (read - at) * (part[waiting].sum(axis=1) // 2)
+            whole = read == n and last
+            bar = known[waiting]
+            # Where k scores are known, the lower bounds of a part read hardly ever raise the bar.
+            new = np.flatnonzero(bar == floor)
+            if len(new):
+                bar[new] = _kth(np.where(hidden[new], floor, lower[new]), k)
+            able = (upper >= bar[:, None]) & ~hidden
+            n_able = able.sum(axis=1)
+            done = (n_able <= FEW * k) | bool(whole) | (others <= k)
+            for row in np.flatnonzero(done & (n_able > 0)):
+                q = waiting[row]
+                rows = np.flatnonzero(able[row])
+                scores = lower[row, rows] if whole else block[rows] @ queries[q].astype(kind)
                 scores = np.asarray([int(s) for s in scores], np.int64)
                 best = np.lexsort((rows, -scores))[:k]
                 out_q.append(np.full(len(best), q))
                 out_c.append(rows[best])
                 out_s.append(scores[best])
             if done.any():
-                lower, upper, waiting = lower[:, ~done], upper[:, ~done], waiting[~done]
+                stay = np.flatnonzero(~done)
+                lower, upper, waiting, hidden, others = lower[stay], upper[stay], waiting[stay], hidden[stay], others[stay]
             if not len(waiting):
                 break
         if not len(waiting):
@@ -153,11 +157,11 @@ def search_block(
 
 
 def _kth(scores: np.ndarray, k: int) -> np.ndarray:
-    """The ``k``-th largest of each column, or the least if there are fewer."""
-    at = min(k, len(scores)) - 1
+    """The ``k``-th largest of each row, or the least if there are fewer."""
+    at = scores.shape[1] - min(k, scores.shape[1])
     if scores.dtype == object:
-        return np.sort(scores, axis=0)[::-1][at]
-    return -np.partition(-scores, at, axis=0)[at]
+        return np.sort(scores, axis=1)[:, at]
+    return np.partition(scores, at, axis=1)[:, at]
 
 
 def search_group(
