@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _CHECKPOINT_KEY = "spark.checkpoint.dir"
+_stored: ContextVar[list[str] | None] = ContextVar("rungwise_stored", default=None)
 
 
 def build_session(app_name: str = "rungwise", master: str | None = None, **conf: str) -> SparkSession:
@@ -52,9 +56,31 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` under the checkpoint folder and read it back.
 
     Cuts the lineage, survives lost executors, and gives the next plan real table sizes and
-    column pruning. The folder is shared and durable; its owner decides how long tables stay.
+    column pruning. The folder is shared and durable; its owner decides how long tables stay, by
+    ``releasing`` or otherwise.
     """
     spark = df.sparkSession
     path = f"{checkpoint_root(spark)}/rungwise/{label}-{uuid.uuid4().hex}"
+    held = _stored.get()
+    if held is not None:
+        held.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def releasing(spark: SparkSession) -> Iterator[None]:
+    """Removes the tables that ``materialize`` stores within, once their results are written.
+
+    Tables that a result still reads must not go before it is written, so write it inside. Each block
+    removes its own tables only, also after an error; other threads are not affected.
+    """
+    token = _stored.set([])
+    try:
+        yield
+    finally:
+        paths = _stored.get()
+        _stored.reset(token)
+        for path in paths:
+            jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+            jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)

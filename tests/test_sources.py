@@ -15,6 +15,7 @@ from rungwise.plans.rollout import parsed_rollouts, questions, remote_replies, s
 from rungwise.operators.counters import counted
 from rungwise.operators.requests import request_lines
 from rungwise.results import with_results
+from rungwise.session import materialize, releasing
 from rungwise.sources import jsonl
 from rungwise.sources.records import reasoning_records
 from rungwise.streaming import incremental
@@ -336,6 +337,23 @@ def test_outcomes_run_the_hook_once(spark, tmp_path):
     assert jsonl.read_outcome(spark, str(tmp_path / "good"), "error", "id string, error string").count() == 0
 
 
+def test_stored_tables_go_when_their_results_are_written(spark, tmp_path):
+    rows = spark.range(5)
+    outside = materialize(rows, "kept")
+    with releasing(spark):
+        inner = materialize(rows, "released")
+        with releasing(spark):
+            nested = materialize(rows, "released")
+            nested_files = nested.inputFiles()
+        inner.write.parquet(str(tmp_path / "out"))
+        files = inner.inputFiles()
+    with pytest.raises(RuntimeError, match="broken"), releasing(spark):
+        lost = materialize(rows, "released").inputFiles()
+        raise RuntimeError("broken")
+    assert not any(jsonl.path_exists(spark, f) for f in [*files, *nested_files, *lost])
+    assert materialize(outside, "kept").count() == spark.read.parquet(str(tmp_path / "out")).count() == 5
+
+
 @pytest.mark.parametrize("salts", [1, 3])
 def test_stream_and_its_leftovers_equal_the_batch_form(spark, tmp_path, salts):
     rows = [(f"u{i % 4}" if i % 9 else None, f't"{i}' if i % 5 else None, f"[a{i}" if i % 7 else None) for i in range(60)]
