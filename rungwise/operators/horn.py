@@ -8,39 +8,63 @@ concludes or a contradiction, so no search over truth values is needed.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
-from rungwise.functions.relations import CLAUSE_TYPE, as_pairs, atoms_of, is_one_clause, normal_form, relation_sections
+from rungwise.functions.entail import Remembered, atoms_in, clauses_in, coded_lists, horn_pairs, paired
+from rungwise.functions.relations import CLAUSE_TYPE, as_pairs, is_one_clause, relation_sections
 from rungwise.functions.text import let
 from rungwise.operators.closure import derived_implications
 from rungwise.session import materialize
 
-#: Atoms of a document closed in its row: their sets are bits of one long, beside that of falsehood.
+#: A document with more atoms or clauses is dealt over several tasks.
 ROW_ATOMS = 62
-#: Chaining in a row takes the square of its atoms times the square of its clauses.
 ROW_CLAUSES = 64
+#: What one task assumes at once for a document: so many atoms and pairs of atoms, with at least one atom.
+STARTS = 1 << 16
 
-_FALSE = 1 << 62
+RELATIONS_TYPE = "array<struct<expression:string,atoms:array<string>,clauses:array<array<string>>>>"
 
 
 def document_relations(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, relations``: each relation as ``expression``, its ``atoms``, its ``clauses`` in normal form.
 
     Relations naming an undeclared proposition are left out; one that cannot be read has null clauses.
-    A null text has null relations.
+    A null text has null relations. A task reads an expression that comes again only once.
     """
-
-    def read(sections: Column) -> Column:
-        declared = F.transform(sections["propositions"], lambda p: p["key"])
-
-        def one(expression: Column) -> Column:
-            return F.struct(expression.alias("expression"), atoms_of(expression).alias("atoms"))
-
-        kept = F.filter(F.transform(sections["relations"], one), lambda r: F.size(F.array_except(r["atoms"], declared)) == 0)
-        return F.transform(kept, lambda r: r.withField("clauses", normal_form(r["expression"])))
-
-    return docs.select(F.col(doc).alias("doc_id"), let(relation_sections(F.col(text)), read).alias("relations"))
+    listed = docs.select(F.col(doc).alias("doc_id"), relation_sections(F.col(text)).alias("_s")).select(
+        "doc_id", F.transform("_s.propositions", lambda p: p["key"]).alias("declared"), F.col("_s.relations").alias("relations")
+    )
+    doc_type = listed.schema["doc_id"].dataType.simpleString()
+    element = DataType.fromDDL(RELATIONS_TYPE).elementType
+
+    def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        form = to_arrow_type(element)
+        one = Remembered(lambda e: {"expression": e, "atoms": atoms_in(e), "clauses": clauses_in(e)})
+        for batch in batches:
+            declared, names = coded_lists(batch["declared"])
+            rows, expressions = coded_lists(batch["relations"])
+            found = [one[e] for e in expressions]
+            forms = pa.array(found, form)
+            known: dict[tuple, set[str]] = {}
+            kept, ends = [], [0]
+            for keys, row in zip(map(tuple, declared), rows):
+                if keys not in known:
+                    known[keys] = {names[k] for k in keys}
+                kept += [i for i in row if known[keys].issuperset(found[i]["atoms"])]
+                ends.append(len(kept))
+            offsets = pa.array(ends, pa.int32(), mask=np.append(batch["relations"].is_null().to_numpy(zero_copy_only=False), False))
+            lists = pa.ListArray.from_arrays(offsets, forms.take(pa.array(kept, pa.int64())))
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], lists], names=["doc_id", "relations"])
+
+    return listed.mapInArrow(read, f"doc_id {doc_type}, relations {RELATIONS_TYPE}")
 
 
 def _positive(clause: Column) -> Column:
@@ -60,247 +84,128 @@ def beyond_horn(relations: DataFrame) -> DataFrame:
     return relations.filter(~is_horn(F.col("relations"))).select("doc_id")
 
 
-def _stated(relations: Column) -> Column:
-    """Clauses that are the whole of a relation."""
-    return F.transform(F.filter(relations, lambda r: F.size(r["clauses"]) == 1), lambda r: r["clauses"][0])
-
-
 def derived_horn(
     relations: DataFrame, row_atoms: int = ROW_ATOMS, row_clauses: int = ROW_CLAUSES
 ) -> DataFrame:
     """``doc_id, x, y``: literal pairs ``x -> y``, x not y, that a document entails and no relation states.
 
     ``relations(doc_id, relations)`` as ``document_relations`` gives them, one row a document. Literals are
-    those of all atoms that its relations name. Small documents are closed in their row, the others by
-    rounds of joins; both give the same rows. Documents without relations, and those of ``beyond_horn``,
-    give none. A contradictory document entails every pair. "States" means that the relation is one
-    clause once it is reduced by ``minimal``.
+    those of all atoms that its relations name. A document of more than ``row_atoms`` atoms or
+    ``row_clauses`` clauses is copied to several rows, each for a share of its atoms and dealt on their own;
+    both ways give the same rows. Documents without relations, and those of ``beyond_horn``, give none. A
+    contradictory document entails every pair. "States" means that the relation is one clause once it is
+    reduced by ``minimal``.
     """
     if not 0 < row_atoms <= ROW_ATOMS:
         raise ValueError(f"row_atoms must be 1 to {ROW_ATOMS}")
-    atoms = F.array_sort(F.array_distinct(F.flatten(F.transform("relations", lambda r: r["atoms"]))))
-    clauses = F.array_distinct(F.flatten(F.transform("relations", lambda r: r["clauses"])))
-    read = materialize(
-        relations.filter(is_horn(F.col("relations"))).select(
-            "doc_id", atoms.alias("atoms"), clauses.alias("clauses"), _stated(F.col("relations")).alias("stated")
-        ),
-        "horn",
-    )
-    small = (F.size("atoms") <= row_atoms) & (F.size("clauses") <= row_clauses)
-    pairs = F.explode(_in_row(F.col("atoms"), F.col("clauses"), F.col("stated")))
-    light = read.filter(small).select("doc_id", pairs.alias("_p")).select("doc_id", "_p.x", "_p.y")
+    read = materialize(_numbered(relations), "horn")
+    n = F.size("atoms")
+    share = F.greatest(F.lit(1), F.least(F.lit(row_atoms), F.floor(F.lit(STARTS) / n)))
+    small = (n <= row_atoms) & (F.col("n_clauses") <= row_clauses)
+    light = read.filter(small).withColumns({"first": F.lit(0), "last": n})
     heavy = read.filter(~small)
-    return light if heavy.isEmpty() else light.unionByName(_by_rounds(heavy))
-
-
-def _bit(i: Column) -> Column:
-    return F.call_function("shiftleft", F.lit(1).cast("bigint"), i.cast("int"))
-
-
-def _has(bits: Column, i: Column) -> Column:
-    return bits.bitwiseAND(_bit(i)) != 0
-
+    pairs = _pairs(light)
+    if heavy.isEmpty():
+        return pairs
+    dealt = heavy.withColumn("share", share.cast("int")).withColumn("first", F.explode(F.sequence(F.lit(0), n - 1, F.col("share"))))
+    dealt = dealt.withColumn("last", F.least(n, F.col("first") + F.col("share"))).repartition("doc_id", "first")
+    return pairs.unionByName(_pairs(dealt))
 
-def _in_row(atoms: Column, clauses: Column, stated: Column) -> Column:
-    """Derived pairs of one document, its sets of atoms as bits."""
-    false = F.lit(_FALSE).cast("bigint")
 
-    def place(x: Column) -> Column:
-        return _bit(F.array_position(atoms, F.regexp_replace(x, "^!", "")) - 1)
+def _numbered(relations: DataFrame) -> DataFrame:
+    """Horn documents with their ``atoms``, ``clauses`` as literal numbers, each ended by -1, and pairs ``stated``.
 
-    def rule(c: Column) -> Column:
-        body = F.aggregate(
-            F.filter(c, lambda x: x.startswith("!")), F.lit(0).cast("bigint"), lambda bits, x: bits.bitwiseOR(place(x))
-        )
-        head = F.get(_positive(c), F.lit(0))
-        return F.struct(body.alias("body"), F.coalesce(place(head), false).alias("head"))
-
-    def chain(rules: Column, start: Column) -> Column:
-        """Everything that follows: passes over the rules until one adds nothing."""
-
-        def once(bits: Column) -> Column:
-            return F.aggregate(
-                rules,
-                bits,
-                lambda held, r: F.when(held.bitwiseAND(r["body"]) == r["body"], held.bitwiseOR(r["head"])).otherwise(held),
-            )
-
-        first = F.struct(start.alias("bits"), F.lit(True).alias("moved"))
-        return F.aggregate(
-            rules,
-            first,
-            lambda held, _: F.when(
-                held["moved"],
-                let(once(held["bits"]), lambda b: F.struct(b.alias("bits"), (b != held["bits"]).alias("moved"))),
-            ).otherwise(held),
-            lambda held: held["bits"],
-        )
-
-    def conclude(rules: Column) -> Column:
-        numbers = F.sequence(F.lit(0), F.size(atoms) - 1)
-        excludes = F.exists(rules, lambda r: r["head"] == false)
-
-        def from_one(ones: Column, base: Column) -> Column:
-            def never(i: Column) -> Column:
-                return F.get(ones, i).bitwiseAND(false) != 0
-
-            def both_fail(i: Column, j: Column) -> Column:
-                """Whether atoms i and j exclude each other."""
-                both = F.get(ones, i).bitwiseOR(F.get(ones, j))
-                return never(i) | never(j) | (excludes & (chain(rules, both).bitwiseAND(false) != 0))
-
-            def leads(i: Column, j: Column) -> Column:
-                return never(i) | _has(F.get(ones, i), j)
-
-            void = base.bitwiseAND(false) != 0
-
-            def literal(i: Column, negated: bool) -> Column:
-                return F.concat(F.lit("!"), F.get(atoms, i)) if negated else F.get(atoms, i)
-
-            def pairs_of(i: Column, j: Column) -> Column:
-                """The four pairs from a literal of atom i to one of atom j, null where one does not follow."""
-                follows = {
-                    (False, False): (i != j) & (void | leads(i, j)),
-                    (False, True): void | both_fail(i, j),
-                    (True, False): void | _has(base, i) | _has(base, j),
-                    (True, True): (i != j) & (void | leads(j, i)),
-                }
-                cases = []
-                for (a, b), holds in follows.items():
-                    x, y, not_x = literal(i, a), literal(j, b), literal(i, not a)
-                    clause = F.array_sort(F.array_distinct(F.array(not_x, y)))
-                    cases.append(F.when(holds & ~F.array_contains(stated, clause), F.struct(x.alias("x"), y.alias("y"))))
-                return F.array(*cases)
-
-            grid = F.flatten(F.transform(numbers, lambda i: F.flatten(F.transform(numbers, lambda j: pairs_of(i, j)))))
-            return F.filter(grid, lambda p: p.isNotNull())
-
-        return let(
-            chain(rules, F.lit(0).cast("bigint")),
-            lambda base: let(
-                F.transform(numbers, lambda i: chain(rules, base.bitwiseOR(_bit(i)))), lambda ones: from_one(ones, base)
-            ),
-        )
-
-    return F.when(F.size(atoms) > 0, let(F.transform(clauses, rule), conclude))
-
-
-def _by_rounds(read: DataFrame) -> DataFrame:
-    """``derived_horn`` by joins, for documents with many atoms or clauses.
-
-    A start is what a chaining assumes: nothing (both atoms null), one atom, or two. Falsehood is the
-    atom ``!``. Two atoms are tried only in documents that have clauses without a conclusion, from what
-    each of them led to alone.
+    Atom i is the literal 2i, its negation 2i + 1.
     """
-    rules = read.select("doc_id", F.posexplode("clauses").alias("rule", "_c")).select(
-        "doc_id",
-        "rule",
-        F.transform(F.filter("_c", lambda x: x.startswith("!")), lambda x: F.regexp_replace(x, "^!", "")).alias("body"),
-        F.coalesce(F.get(_positive(F.col("_c")), F.lit(0)), F.lit("!")).alias("head"),
-    )
-    rules = materialize(rules, "horn-rules")
-    atoms = read.select("doc_id", F.explode("atoms").alias("atom"))
-    nothing = F.lit(None).cast("string")
-    no_premise = rules.filter(F.size("body") == 0).select("doc_id", F.col("head").alias("atom"))
-
-    start = ["doc_id", "p", "q"]
-    first = (
-        atoms.select("doc_id", F.col("atom").alias("p"), nothing.alias("q"), "atom")
-        .unionByName(no_premise.select("doc_id", nothing.alias("p"), nothing.alias("q"), "atom"))
-        .unionByName(
-            atoms.join(no_premise.withColumnRenamed("atom", "fact"), "doc_id").select(
-                "doc_id", F.col("atom").alias("p"), nothing.alias("q"), F.col("fact").alias("atom")
+    doc_type = relations.schema["doc_id"].dataType.simpleString()
+    parts = relations.select("doc_id", F.col("relations.atoms").alias("atoms"), F.col("relations.clauses").alias("clauses"))
+    horn = parts.filter("size(atoms) > 0 and not exists(clauses, c -> c is null)")
+
+    def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            relations_of = _rows(batch["clauses"])
+            atoms_of = _rows(batch["atoms"])
+            atoms, names = coded_lists(pc.list_flatten(batch["atoms"]))
+            clauses_of = _rows(pc.list_flatten(batch["clauses"]))
+            clauses, literals = coded_lists(pc.list_flatten(pc.list_flatten(batch["clauses"])))
+            place = {name: i for i, name in enumerate(names)}
+            for x in literals:
+                place.setdefault(x.removeprefix("!"), len(place))
+            signed = [(place[x.removeprefix("!")], x.startswith("!")) for x in literals]
+            names = list(place)
+            kept, found_atoms, found_clauses, found_stated, counts = [], [], [], [], []
+            for row, (own, said) in enumerate(zip(atoms_of, relations_of)):
+                local: dict[int, int] = {}
+                for r in own:
+                    for a in atoms[r]:
+                        local.setdefault(a, len(local))
+                rules, stated = {}, []
+                for r in said:
+                    its = [
+                        tuple(2 * local.setdefault(a, len(local)) + minus for a, minus in map(signed.__getitem__, clauses[c]))
+                        for c in clauses_of[r]
+                    ]
+                    rules.update(dict.fromkeys(its))
+                    if len(its) == 1 and 1 <= len(its[0]) <= 2:
+                        stated += (min(its[0]), max(its[0]))
+                if not local or any(sum(not x & 1 for x in c) > 1 for c in rules):
+                    continue
+                kept.append(row)
+                found_atoms.append([names[a] for a in local])
+                found_clauses.append([x for c in rules for x in (*c, -1)])
+                found_stated.append(stated)
+                counts.append(len(rules))
+            numbers = pa.list_(pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch["doc_id"].take(pa.array(kept, pa.int64())), pa.array(found_atoms, pa.list_(pa.string())),
+                    pa.array(found_clauses, numbers), pa.array(found_stated, numbers), pa.array(counts, pa.int32()),
+                ],
+                names=["doc_id", "atoms", "clauses", "stated", "n_clauses"],
             )
-        )
-    )
-    alone = _chained(first, rules)
-
-    fails = alone.filter("atom = '!'").select("doc_id", "p")
-    void = fails.filter("p is null").select("doc_id").distinct()
-    never = materialize(fails.filter("p is not null"), "horn-never")
-    excluding = rules.filter("head = '!'").select("doc_id").distinct()
-    open_atoms = atoms.join(excluding, "doc_id", "left_semi").join(
-        never.withColumnRenamed("p", "atom"), ["doc_id", "atom"], "left_anti"
-    )
-    two = open_atoms.withColumnRenamed("atom", "p").join(open_atoms.withColumnRenamed("atom", "q"), "doc_id").filter("p < q")
-    each = alone.filter("p is not null").select("doc_id", F.col("p").alias("one"), "atom")
-    joint = (
-        two.withColumn("one", F.explode(F.array("p", "q"))).join(each, ["doc_id", "one"]).select(*start, "atom").distinct()
-    )
-    clash = _chained(joint, rules).filter("atom = '!'").select("doc_id", "p", "q")
-
-    def minus(c: str) -> Column:
-        return F.concat(F.lit("!"), F.col(c))
-
-    def pair(frame: DataFrame, x: Column, y: Column) -> DataFrame:
-        return frame.select("doc_id", x.alias("x"), y.alias("y"))
-
-    leads = alone.filter("p is not null and atom <> '!'")
-    facts = alone.filter("p is null and atom <> '!'").select("doc_id", "atom")
-    literals = atoms.select("doc_id", F.explode(F.array("atom", F.concat(F.lit("!"), "atom"))).alias("lit"))
-    # What is false implies all, and what is true follows from all.
-    from_never = never.join(literals, "doc_id")
-    with_fact = facts.join(literals, "doc_id")
-    anything = literals.join(void, "doc_id", "left_semi")
-    follows = [
-        pair(leads, F.col("p"), F.col("atom")),
-        pair(leads, minus("atom"), minus("p")),
-        pair(clash, F.col("p"), minus("q")),
-        pair(clash, F.col("q"), minus("p")),
-        pair(from_never, F.col("p"), F.col("lit")),
-        pair(from_never, F.col("lit"), minus("p")),
-        pair(with_fact, minus("atom"), F.col("lit")),
-        pair(with_fact, F.col("lit"), F.col("atom")),
-        pair(anything.join(literals.withColumnRenamed("lit", "other"), "doc_id"), F.col("lit"), F.col("other")),
-    ]
-    entailed = follows[0]
-    for more in follows[1:]:
-        entailed = entailed.unionByName(more)
-
-    def negated(x: Column) -> Column:
-        return F.when(x.startswith("!"), F.regexp_replace(x, "^!", "")).otherwise(F.concat(F.lit("!"), x))
-
-    clause = F.array_sort(F.array_distinct(F.array(negated(F.col("x")), F.col("y"))))
-    stated = read.select("doc_id", F.explode("stated").alias("_clause")).distinct()
-    return (
-        entailed.filter("x <> y")
-        .distinct()
-        .withColumn("_clause", clause)
-        .join(stated, ["doc_id", "_clause"], "left_anti")
-        .select("doc_id", "x", "y")
-    )
-
 
-def _chained(first: DataFrame, rules: DataFrame) -> DataFrame:
-    """All ``(doc_id, p, q, atom)`` that follow from those given, by rounds over what is new.
-
-    A new atom meets the rules that ask for it. Each rule of a start has a count of premises met; a
-    grouped sum brings it up to date, and a rule whose premises are all met gives its conclusion. Starts
-    that reached falsehood are done.
-    """
-    key = ["doc_id", "_p", "_q"]
-    # Nulls do not meet in a join, so a missing atom is an empty string meanwhile.
-    named = first.select(
-        "doc_id", F.coalesce("p", F.lit("")).alias("_p"), F.coalesce("q", F.lit("")).alias("_q"), "atom"
-    )
-    asked = rules.select("doc_id", "rule", F.explode("body").alias("atom"))
-    goals = rules.filter(F.size("body") > 0).select("doc_id", "rule", F.size("body").alias("needed"), "head")
-    found = materialize(named.distinct(), "horn-facts")
-    known, met = found, None
-    while not found.isEmpty():
-        touched = found.join(asked, ["doc_id", "atom"]).groupBy(*key, "rule").agg(F.count("*").alias("n"))
-        touched = touched.withColumn("new", F.lit(True))
-        if met is not None:
-            touched = touched.unionByName(met.withColumn("new", F.lit(False)))
-            touched = touched.groupBy(*key, "rule").agg(F.sum("n").alias("n"), F.bool_or("new").alias("new"))
-        counted = materialize(touched.join(goals, ["doc_id", "rule"]), "horn-counts")
-        fired = counted.filter("new and n = needed").select(*key, F.col("head").alias("atom")).distinct()
-        found = materialize(fired.join(known, [*key, "atom"], "left_anti"), "horn-facts")
-        known = known.unionByName(found)
-        met = counted.filter("n < needed").select(*key, "rule", "n")
-        done = found.filter("atom = '!'").select(*key)
-        found = found.join(done, key, "left_anti")
-    return known.select("doc_id", F.nullif("_p", F.lit("")).alias("p"), F.nullif("_q", F.lit("")).alias("q"), "atom")
+    return horn.mapInArrow(read, f"doc_id {doc_type}, atoms array<string>, clauses array<int>, stated array<int>, n_clauses int")
+
+
+def _rows(lists: pa.Array) -> list[range]:
+    """Where the members of each row lie among those of all rows."""
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)).tolist()
+    return [range(a, b) for a, b in zip([0, *ends], ends)]
+
+
+def _pairs(documents: DataFrame) -> DataFrame:
+    """``doc_id, x, y`` of documents as ``_numbered`` gives them, for their atoms from ``first`` to before ``last``."""
+    doc_type = documents.schema["doc_id"].dataType.simpleString()
+
+    def close(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            atoms, names = coded_lists(batch["atoms"])
+            literals = [sign + name for name in names for sign in ("", "!")]
+            shares = zip(batch["first"].to_pylist(), batch["last"].to_pylist())
+            at, xs, ys = [], [], []
+            for row, (own, flat, said, share) in enumerate(
+                zip(atoms, batch["clauses"].to_numpy(zero_copy_only=False), batch["stated"].to_numpy(zero_copy_only=False), shares)
+            ):
+                clauses, clause = [], []
+                for x in flat.tolist():
+                    if x < 0:
+                        clauses.append(clause)
+                        clause = []
+                    else:
+                        clause.append(x)
+                said = said.tolist()
+                for x, y in horn_pairs(len(own), clauses, set(zip(said[::2], said[1::2])), range(*share)):
+                    at.append(row)
+                    xs.append(2 * own[x >> 1] + (x & 1))
+                    ys.append(2 * own[y >> 1] + (y & 1))
+                # One large document can have millions of pairs.
+                if len(at) >= 1 << 20:
+                    yield paired(batch["doc_id"], at, xs, ys, literals)
+                    at, xs, ys = [], [], []
+            yield paired(batch["doc_id"], at, xs, ys, literals)
+
+    columns = ["doc_id", "atoms", "clauses", "stated", "first", "last"]
+    return documents.select(*columns).mapInArrow(close, f"doc_id {doc_type}, x string, y string")
 
 
 def derived_from_relations(relations: DataFrame) -> DataFrame:

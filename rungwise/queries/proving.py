@@ -363,5 +363,5 @@ def derived_horn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_HORN_SQL)
 def derived_horn_heavy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ITR-2 on relations with several premises, documents of more than five atoms by rounds of joins."""
+    """ITR-2 on relations with several premises, documents of more than five atoms in shares of five."""
     return horn.derived_horn(horn.document_relations(_nested_texts(spark, sf_dir)), row_atoms=5)

@@ -6,8 +6,11 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from rungwise.functions.relations import clauses_of, minimal, normal_form
+from rungwise import session
+from rungwise.functions import entail
+from rungwise.functions.relations import atoms_of, clauses_of, is_one_clause, minimal, normal_form
 from rungwise.operators import horn
+from rungwise.session import releasing
 
 RULES = {
     "Not": lambda a: not a,
@@ -154,3 +157,34 @@ def test_long_chain_with_two_premises(spark):
     got = {(r.x, r.y) for r in horn.derived_horn(horn.document_relations(frame), row_atoms=4).collect()}
     # Only the first rule starts from one premise; every other needs the two atoms before it.
     assert got == {("p0", f"p{j}") for j in range(2, n)} | {(f"!p{j}", "!p0") for j in range(2, n)}
+
+
+def test_task_helpers_read_as_the_column_functions(spark):
+    rng = random.Random(5)
+    odd = ["", "And()", "And(A,)", "And(A", "A)", "(A)", "Not(A, B)", "Implies(A)", "Foo(A)", "A & B", "And", "!Not", "Or(A, A, A)", "Equivalent(A, A)"]
+    cases = odd + [nested(rng, rng.randint(0, 4), "ABCD") for _ in range(250)]
+    frame = spark.createDataFrame([(c,) for c in cases], "e string").repartition(4)
+    columns = [normal_form(F.col("e")).alias("c"), clauses_of(F.col("e")).alias("two"), atoms_of(F.col("e")).alias("atoms")]
+    for r in frame.select("e", *columns, is_one_clause(F.col("two")).alias("one")).collect():
+        clauses, two = entail.clauses_in(r.e), entail.pairs_in(r.e)
+        assert (clauses and [list(c) for c in clauses]) == (r.c if clauses is None or r.c else ()), r.e
+        assert two == (r.two and tuple((p.a, p.b) for p in r.two)) or (two, r.two) == ((), []), r.e
+        assert entail.atoms_in(r.e) == r.atoms
+        assert two is None or entail.one_clause(two) == r.one
+
+
+@pytest.mark.parametrize("row_atoms", [62, 4])
+def test_long_chain_stores_one_table(spark, row_atoms):
+    n = 40
+    text = "Logical Propositions:\n" + "\n".join(f"p{i}: x" for i in range(n)) + "\nLogical Relations:\n"
+    text += "\n".join(f"Implies(p{i}, p{i + 1})" for i in reversed(range(n - 1))) + f"\nNot(And(p{n - 1}, p0))"
+    frame = spark.createDataFrame([(1, text)], "doc_id int, text string")
+    with releasing(spark):
+        got = [(r.x, r.y) for r in horn.derived_horn(horn.document_relations(frame), row_atoms=row_atoms).collect()]
+        assert len(session._stored.get()) == 1
+    assert len(got) == len(set(got))
+    # p0 leads to the last atom, which excludes it: p0 is false, the others form the chain.
+    chain = {(f"p{i}", f"p{j}") for i in range(1, n) for j in range(i + 2, n)}
+    literals_ = [s + f"p{i}" for i in range(n) for s in ("", "!")]
+    want = chain | {(f"!{b}", f"!{a}") for a, b in chain} | {("p0", y) for y in literals_} | {(x, "!p0") for x in literals_}
+    assert set(got) == want - {("p0", "p0"), ("!p0", "!p0"), ("p0", "p1"), ("!p1", "!p0"), ("p0", f"!p{n - 1}"), (f"p{n - 1}", "!p0")}
