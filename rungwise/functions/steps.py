@@ -153,39 +153,59 @@ def duplicate_numbers(numbers: Column) -> Column:
     )
 
 
+def _audit(text: Column, blocks: Column) -> Column:
+    """What the step numbers of the blocks tell, as a struct."""
+    return let(
+        F.transform(blocks, lambda b: b["n"]),
+        lambda ns: F.struct(
+            answer_tag(text).alias("final_tag"),
+            order_ok(ns).alias("step_order_ok"),
+            ns.alias("step_numbers"),
+            missing_numbers(ns).alias("missing_steps"),
+            missing_ranges(ns).alias("missing_ranges"),
+            duplicate_numbers(ns).alias("duplicate_steps"),
+        ),
+    )
+
+
+def audit_generation(text: Column, final_after_last_step: bool = False) -> Column:
+    """``parse_generation`` without the steps themselves, whose sections need not be read then (GEN-3)."""
+    return let(step_blocks(text, final_after_last_step), lambda blocks: _audit(text, blocks))
+
+
+def _steps(blocks: Column) -> Column:
+    placed = F.transform(
+        blocks,
+        lambda b, i: F.struct(b["n"].alias("n"), i.alias("at"), b["block"].alias("block")),
+    )
+    return F.transform(
+        F.array_sort(placed),
+        lambda b: let(
+            sections(b["block"]),
+            lambda s: F.struct(
+                b["n"].alias("n"),
+                s["premises"].alias("premises"),
+                s["assumptions"].alias("assumptions"),
+                s["conclusion"].alias("conclusion"),
+            ),
+        ),
+    )
+
+
+def unfiltered(items: Column) -> Column:
+    """An array to explode that was worked out on the way.
+
+    Spark drops rows without members ahead of an explode. Of a plain column it does so below the step that
+    works the array out, and so works it out once more for that filter.
+    """
+    return F.transform(items, lambda x: x)
+
+
 def parse_generation(text: Column, final_after_last_step: bool = False) -> Column:
     """Structured form of one reasoning text (GEN-4)."""
 
     def build(blocks: Column) -> Column:
-        numbers = F.transform(blocks, lambda b: b["n"])
-        placed = F.transform(
-            blocks,
-            lambda b, i: F.struct(b["n"].alias("n"), i.alias("at"), b["block"].alias("block")),
-        )
-        steps = F.transform(
-            F.array_sort(placed),
-            lambda b: let(
-                sections(b["block"]),
-                lambda s: F.struct(
-                    b["n"].alias("n"),
-                    s["premises"].alias("premises"),
-                    s["assumptions"].alias("assumptions"),
-                    s["conclusion"].alias("conclusion"),
-                ),
-            ),
-        )
-        return let(
-            numbers,
-            lambda ns: F.struct(
-                answer_tag(text).alias("final_tag"),
-                order_ok(ns).alias("step_order_ok"),
-                ns.alias("step_numbers"),
-                missing_numbers(ns).alias("missing_steps"),
-                missing_ranges(ns).alias("missing_ranges"),
-                duplicate_numbers(ns).alias("duplicate_steps"),
-                steps.alias("steps"),
-            ),
-        )
+        return let(_audit(text, blocks), lambda audit: audit.withField("steps", _steps(blocks)))
 
     return let(step_blocks(text, final_after_last_step), build)
 

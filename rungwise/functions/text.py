@@ -20,6 +20,7 @@ WS = r"[\t-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\
 
 # Patterns of the exchange format.
 SPACE_BEFORE_PUNCTUATION = WS + r"+([.,!?;:])"
+ANY_OTHER_BREAK = r"[\r\x0b\x0c\x1c\x1d\x1e\x85\x{2028}\x{2029}]"
 OTHER_BREAK = r"\r\n?|[\x0b\x0c\x1c\x1d\x1e\x85\x{2028}\x{2029}]"
 ATOM_BREAK = rf"(?dm)(?<=[.!?]){WS}+|[\n\r]+|^{WS}*[-•]{WS}*"
 ATOM_EDGE = " -•\t"
@@ -180,7 +181,9 @@ def lines_of(c: Column) -> Column:
 
 def clean_bullets(block: Column) -> Column:
     """Non-blank lines, stripped, less one leading bullet (TXT-5)."""
-    lines = F.filter(F.transform(lines_of(block), strip), lambda s: s != "")
+    # Blank lines go, so the two signs of one break need not be told from two breaks; a set is quicker to look for.
+    pieces = F.split(F.regexp_replace(block, ANY_OTHER_BREAK, "\n"), "\n")
+    lines = F.filter(F.transform(pieces, strip), lambda s: s != "")
     return F.transform(lines, drop_bullet)
 
 

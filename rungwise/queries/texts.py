@@ -9,7 +9,7 @@ from rungwise.bridges import order_texts, table, text
 from rungwise.functions import text as T
 from rungwise.functions.prompts import collapse_messages, fill, split_roles, unfilled
 from rungwise.functions.steps import format_generation as print_generation
-from rungwise.functions.steps import parse_generation
+from rungwise.functions.steps import audit_generation, parse_generation, unfiltered
 from rungwise.queries.registry import query
 
 _BLANKS = "' ' || chr(9) || chr(10) || chr(13)"
@@ -27,7 +27,7 @@ FROM lineitem
 def parse_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """GEN-1, GEN-2, GEN-4, SRT-1, EXP-2: step texts back to their lines."""
     parsed = order_texts(spark, sf_dir).select("id", parse_generation(F.col("text")).alias("g"))
-    return parsed.select("id", F.posexplode("g.steps").alias("step_pos", "s")).select(
+    return parsed.select("id", F.posexplode(unfiltered(F.col("g.steps"))).alias("step_pos", "s")).select(
         "id",
         "step_pos",
         "s.n",
@@ -51,7 +51,7 @@ FROM g
 )
 def audit_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """GEN-3, TXT-8a: order, gaps and repeats of step numbers."""
-    parsed = order_texts(spark, sf_dir).select("id", parse_generation(F.col("text")).alias("g"))
+    parsed = order_texts(spark, sf_dir).select("id", audit_generation(F.col("text")).alias("g"))
     return parsed.select(
         "id",
         "g.final_tag",

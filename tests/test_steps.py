@@ -5,7 +5,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from rungwise.functions.steps import format_generation, parse_generation
+from rungwise.functions.steps import audit_generation, format_generation, parse_generation, unfiltered
 
 HEAD = re.compile(r"(?:^|\n)Step\s+(\d+)\s*:?\s*\n", re.I)
 FINAL = re.compile(r"(?:^|\n)Final\s*:?", re.I)
@@ -95,3 +95,19 @@ def test_numbers_beyond_an_int(spark):
     assert [tuple(r) for r in g.missing_ranges] == [(1, 1), (4, 99999999998)]
     none = spark.range(1).select(parse_generation(F.lit("Step 1:\nx")).alias("g")).first().g
     assert none.missing_ranges == [] and none.missing_steps == []
+
+
+def test_exploded_steps_are_worked_out_once(spark):
+    texts = spark.range(20).select("id", F.concat(F.lit("Step 1:\nPremises:\n- a"), F.col("id").cast("string"), F.lit("\nConclusion:\nc\n")).alias("text"))
+    parsed = texts.select("id", parse_generation(F.col("text")).alias("g"))
+    steps = parsed.select("id", F.explode(unfiltered(F.col("g.steps"))).alias("s"))
+    assert "Filter (" not in steps._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r.id, r.s.premises) for r in steps.orderBy("id").collect()] == [(i, [f"a{i}"]) for i in range(20)]
+
+
+def test_audit_equals_the_whole_reading(spark):
+    cases = ["Step 2:\na\nStep 1:\nb\nStep 1:\nc\nFinal:\n<answer>x</answer>", "Step 3:\n\nStep 5:\nz", "", None, "no steps", "Step 99999999999999999999:\na"]
+    frame = spark.createDataFrame([(c,) for c in cases], "t string")
+    for r in frame.select(audit_generation(F.col("t")).alias("a"), parse_generation(F.col("t")).alias("g")).collect():
+        whole = r.g and {k: v for k, v in r.g.asDict().items() if k != "steps"}
+        assert (r.a and r.a.asDict()) == whole
