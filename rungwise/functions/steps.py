@@ -239,4 +239,5 @@ def format_generation(steps: Column, final: Column) -> Column:
         ),
     )
     joined = F.coalesce(F.array_join(printed, "\n\n"), F.lit(""))
-    return format_answer(strip(joined), final)
+    # Printed once: the answer looks at the text and then writes it.
+    return let(strip(joined), lambda printed_steps: format_answer(printed_steps, final))

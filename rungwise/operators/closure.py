@@ -2,33 +2,73 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator, Sequence
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rungwise.functions.relations import atoms_of, clauses_of, is_one_clause, negate, relation_sections
-from rungwise.functions.text import let
-from rungwise.operators.ordering import tag_heavy
+from rungwise.functions.entail import Remembered, atoms_in, coded_lists, one_clause, paired, pairs_in, two_literal_pairs
+from rungwise.functions.relations import negate, relation_sections
+from rungwise.operators.ordering import heavy_keys, mark_heavy
 from rungwise.session import materialize
 
 
+class _Read:
+    """What a task needs of one expression: its atoms, its clauses as pairs of literals, whether they are one."""
+
+    def __init__(self, expression: str):
+        self.expression, self.atoms, self.pairs = expression, atoms_in(expression), pairs_in(expression)
+        self.single = None if self.pairs is None else one_clause(self.pairs)
+
+
+def _listed(docs: DataFrame, doc: str, text: str) -> DataFrame:
+    """``doc_id``, the ``declared`` names and the ``relations`` of each text."""
+    return docs.select(F.col(doc).alias("doc_id"), relation_sections(F.col(text)).alias("_s")).select(
+        "doc_id", F.transform("_s.propositions", lambda p: p["key"]).alias("declared"), F.col("_s.relations").alias("relations")
+    )
+
+
+def _relations_of(batch: pa.RecordBatch, read: Remembered) -> Iterator[list[tuple[int, _Read]]]:
+    """Relations of each text by place, those naming an undeclared proposition left out."""
+    declared, names = coded_lists(batch["declared"])
+    rows, expressions = coded_lists(batch["relations"])
+    found = [read[e] for e in expressions]
+    known: dict[tuple, set[str]] = {}
+    for keys, row in zip(map(tuple, declared), rows):
+        if keys not in known:
+            known[keys] = {names[k] for k in keys}
+        yield [(at, found[i]) for at, i in enumerate(row) if known[keys].issuperset(found[i].atoms)]
+
+
 def stated_clauses(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per clause: ``doc_id, rel_pos, expression, a, b, single``.
 
     ``single`` tells whether the relation is this one clause. Relations beyond two literals give
     one row with null literals. Relations naming an undeclared proposition are dropped.
     """
-    sections = docs.select(F.col(doc).alias("doc_id"), relation_sections(F.col(text)).alias("_s"))
-    relations = sections.select(
-        "doc_id",
-        F.transform("_s.propositions", lambda p: p["key"]).alias("_keys"),
-        F.posexplode("_s.relations").alias("rel_pos", "expression"),
-    ).withColumn("_clauses", clauses_of(F.col("expression")))
-    return (
-        relations.filter(F.size(F.array_except(atoms_of(F.col("expression")), F.col("_keys"))) == 0)
-        .withColumn("single", is_one_clause(F.col("_clauses")))
-        .select("doc_id", "rel_pos", "expression", "single", F.explode_outer("_clauses").alias("_c"))
-        .select("doc_id", "rel_pos", "expression", "_c.a", "_c.b", "single")
-    )
+    listed = _listed(docs, doc, text)
+
+    def make(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = Remembered(_Read)
+        for batch in batches:
+            at, rows = [], []
+            for row, relations in enumerate(_relations_of(batch, read)):
+                for place, r in relations:
+                    for a, b in ((None, None),) if r.pairs is None else r.pairs or ((None, None),):
+                        at.append(row)
+                        rows.append((place, r.expression, a, b, r.single))
+            places, expressions, firsts, seconds, single = zip(*rows) if rows else ((), (), (), (), ())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch["doc_id"].take(pa.array(at, pa.int64())), pa.array(places, pa.int32()), pa.array(expressions, pa.string()),
+                    pa.array(firsts, pa.string()), pa.array(seconds, pa.string()), pa.array(single, pa.bool_()),
+                ],
+                names=["doc_id", "rel_pos", "expression", "a", "b", "single"],
+            )
+
+    doc_type = listed.schema["doc_id"].dataType.simpleString()
+    return listed.mapInArrow(make, f"doc_id {doc_type}, rel_pos int, expression string, a string, b string, single boolean")
 
 
 def unsupported_documents(clauses: DataFrame) -> DataFrame:
@@ -43,113 +83,61 @@ def _atom(literal: Column) -> Column:
 def derived_in_record(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, x, y`` for documents that each fit a row, without a shuffle.
 
-    The relations of one text are few, so the closure is a fold over its literals: a literal ``m``
-    joins everything that leads to it with everything it leads to. Literals are numbers there, so
-    their sets are quick.
+    The relations of one text are few, so a task closes each over its literals; expressions that come
+    again are read once a task.
     """
-    # One expression from the text to the pairs: a filter on a value worked out on the way would
-    # be moved below it, and the value worked out once more for the filter.
-    pairs = let(
-        relation_sections(F.col(text)),
-        lambda s: let(
-            F.transform(s["propositions"], lambda p: p["key"]),
-            lambda declared: let(
-                F.transform(
-                    F.filter(s["relations"], lambda e: F.size(F.array_except(atoms_of(e), declared)) == 0),
-                    lambda e: clauses_of(e),
-                ),
-                _derive,
-            ),
-        ),
-    )
-    return docs.select(F.col(doc).alias("doc_id"), F.explode(pairs).alias("_p")).select("doc_id", "_p.x", "_p.y")
-
-
-def _derive(relations: Column) -> Column:
-    """Literal pairs that follow from an array of clause arrays; null if one of them is null."""
-    clauses = F.flatten(relations)
-    atoms = F.array_distinct(F.flatten(F.transform(clauses, lambda c: F.array(_atom(c["a"]), _atom(c["b"])))))
-    # Atom i stands at 2i and its negation at 2i + 1.
-    literals = F.flatten(F.transform(atoms, lambda x: F.array(x, F.concat(F.lit("!"), x))))
-    readable = ~F.exists(relations, lambda c: c.isNull()) & (F.size(clauses) > 0)
-
-    def opposite(i: Column) -> Column:
-        return F.when(i % 2 == 0, i + 1).otherwise(i - 1)
-
-    def close(lits: Column) -> Column:
-        n = F.size(lits)
-        numbers = F.sequence(F.lit(0), n - 1)
-
-        def arrows(some: Column) -> Column:
-            """Both implications of each clause, as literal numbers."""
-
-            def both(c: Column) -> Column:
-                places = F.struct(
-                    (F.array_position(lits, c["a"]).cast("int") - 1).alias("a"),
-                    (F.array_position(lits, c["b"]).cast("int") - 1).alias("b"),
-                )
-                return let(
-                    places,
-                    lambda p: F.array(
-                        F.struct(opposite(p["a"]).alias("x"), p["b"].alias("y")),
-                        F.struct(opposite(p["b"]).alias("x"), p["a"].alias("y")),
-                    ),
-                )
-
-            return F.flatten(F.transform(some, both))
-
-        def graph(edges: Column) -> Column:
-            return F.transform(
-                numbers,
-                lambda i: F.array_distinct(F.transform(F.filter(edges, lambda e: e["x"] == i), lambda e: e["y"])),
-            )
-
-        def through(reach: Column, m: Column) -> Column:
-            return let(
-                F.get(reach, m),
-                lambda onward: F.transform(
-                    reach, lambda ys: F.when(F.array_contains(ys, m), F.array_union(ys, onward)).otherwise(ys)
-                ),
-            )
-
-        def conclude(reach: Column) -> Column:
-            never = F.filter(numbers, lambda i: F.array_contains(F.get(reach, i), opposite(i)))
-            return let(
-                never,
-                lambda no: let(
-                    F.transform(no, opposite),
-                    lambda always: let(
-                        F.size(F.array_intersect(no, always)) > 0,
-                        lambda void: F.flatten(
-                            F.transform(
-                                reach,
-                                lambda ys, x: F.transform(
-                                    F.when(void | F.array_contains(no, x), numbers).otherwise(
-                                        F.array_union(ys, always)
-                                    ),
-                                    lambda y: F.when(y != x, x * n + y),
-                                ),
-                            )
-                        ),
-                    ),
-                ),
-            )
-
-        single = F.flatten(F.filter(relations, is_one_clause))
-        stated = F.transform(arrows(single), lambda e: e["x"] * n + e["y"])
-        reach = F.aggregate(numbers, let(arrows(clauses), graph), through)
-        known = F.array_append(stated, F.lit(None).cast("int"))
-        return F.transform(
-            F.array_except(let(reach, conclude), known),
-            lambda p: F.struct(
-                F.get(lits, F.floor(p / n).cast("int")).alias("x"), F.get(lits, p % n).alias("y")
-            ),
-        )
-
-    return F.when(readable, let(literals, close))
-
-
-#: Closing a row takes the cube of its literals.
+    listed = _listed(docs, doc, text)
+
+    def close(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = Remembered(_Read)
+        for batch in batches:
+            found = _Pairs(batch["doc_id"])
+            for row, relations in enumerate(_relations_of(batch, read)):
+                if all(r.pairs is not None for _, r in relations):
+                    clauses = [(a, b, r.single) for _, r in relations for a, b in r.pairs]
+                    yield from found.add(row, clauses)
+            yield found.batch()
+
+    doc_type = listed.schema["doc_id"].dataType.simpleString()
+    return listed.mapInArrow(close, f"doc_id {doc_type}, x string, y string")
+
+
+class _Pairs:
+    """Pairs found for the documents of a batch."""
+
+    def __init__(self, doc_ids: pa.Array):
+        self.doc_ids, self.codes = doc_ids, {}
+        self.at, self.x, self.y = [], [], []
+
+    def add(self, row: int, clauses: Sequence[tuple[str, str, bool]]) -> Iterator[pa.RecordBatch]:
+        """Pairs that follow from clauses of one document; a batch of them where they are many."""
+        local: dict[str, int] = {}
+
+        def code(literal: str) -> int:
+            minus = literal.startswith("!")
+            return 2 * local.setdefault(literal[1:] if minus else literal, len(local)) + minus
+
+        numbered, stated = [], set()
+        for a, b, single in clauses:
+            pair = (code(a), code(b))
+            numbered.append(pair)
+            if single:
+                stated.add((min(pair), max(pair)))
+        own = [self.codes.setdefault(sign + name, len(self.codes)) for name in local for sign in ("", "!")]
+        for x, y in two_literal_pairs(len(local), numbered, stated):
+            self.at.append(row)
+            self.x.append(own[x])
+            self.y.append(own[y])
+        if len(self.at) >= 1 << 20:
+            yield self.batch()
+
+    def batch(self) -> pa.RecordBatch:
+        made = paired(self.doc_ids, self.at, self.x, self.y, list(self.codes))
+        self.at, self.x, self.y = [], [], []
+        return made
+
+
+#: Closing a document in its row takes the square of its literals, each time a set of them.
 ROW_CLAUSES = 32
 
 
@@ -159,24 +147,33 @@ def derived_implications(clauses: DataFrame, row_clauses: int = ROW_CLAUSES) ->
     ``clauses(doc_id, a, b, single)``. Documents of at most ``row_clauses`` clauses are gathered into
     a row each and closed there; the others go through rounds of joins.
     """
-    tagged = materialize(tag_heavy(clauses.select("doc_id", "a", "b", "single"), ["doc_id"], row_clauses), "clauses")
-    # Which relation a clause comes from matters only if it is the whole of it.
-    clause = F.struct("a", "b")
+    # Stored before the documents are counted, so that the clauses are worked out once.
+    stored = materialize(clauses.select("doc_id", "a", "b", "single"), "clauses")
+    large = materialize(heavy_keys(stored, ["doc_id"], row_clauses), "heavy-docs")
+    tagged = mark_heavy(stored, ["doc_id"], large)
     gathered = (
         tagged.filter("not _heavy")
         .groupBy("doc_id")
-        .agg(
-            F.collect_list(F.when(F.col("single"), clause)).alias("single"),
-            F.collect_list(F.when(~F.col("single"), clause)).alias("others"),
-            F.bool_and(F.col("a").isNotNull()).alias("readable"),
-        )
+        .agg(F.collect_list(F.struct("a", "b", F.coalesce("single", F.lit(False)).alias("single"))).alias("_c"), F.bool_and(F.col("a").isNotNull()).alias("readable"))
         .filter("readable")
+        .select("doc_id", F.col("_c.a").alias("a"), F.col("_c.b").alias("b"), F.col("_c.single").alias("single"))
     )
-    # Twice, so that one clause that is not the whole of its relation does not look like one.
-    relations = F.concat(F.transform("single", lambda c: F.array(c)), F.array(F.concat("others", "others")))
-    light = gathered.select("doc_id", F.explode(_derive(relations)).alias("_p")).select("doc_id", "_p.x", "_p.y")
-    heavy = tagged.filter("_heavy").drop("_heavy")
-    return light if heavy.isEmpty() else light.unionByName(_derived_by_rounds(heavy))
+
+    def close(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            firsts, a_names = coded_lists(batch["a"])
+            seconds, b_names = coded_lists(batch["b"])
+            single, flags = coded_lists(batch["single"])
+            found = _Pairs(batch["doc_id"])
+            for row, (a, b, s) in enumerate(zip(firsts, seconds, single)):
+                yield from found.add(row, [(a_names[i], b_names[j], flags[k]) for i, j, k in zip(a, b, s)])
+            yield found.batch()
+
+    doc_type = gathered.schema["doc_id"].dataType.simpleString()
+    light = gathered.mapInArrow(close, f"doc_id {doc_type}, x string, y string")
+    if large.isEmpty():
+        return light
+    return light.unionByName(_derived_by_rounds(materialize(tagged.filter("_heavy").drop("_heavy"), "heavy-clauses")))
 
 
 def _derived_by_rounds(stored: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from rungwise import session
 from rungwise.functions import entail
 from rungwise.functions.relations import atoms_of, clauses_of, is_one_clause, minimal, normal_form
-from rungwise.operators import horn
+from rungwise.operators import closure, horn
 from rungwise.session import releasing
 
 RULES = {
@@ -188,3 +188,18 @@ def test_long_chain_stores_one_table(spark, row_atoms):
     literals_ = [s + f"p{i}" for i in range(n) for s in ("", "!")]
     want = chain | {(f"!{b}", f"!{a}") for a, b in chain} | {("p0", y) for y in literals_} | {(x, "!p0") for x in literals_}
     assert set(got) == want - {("p0", "p0"), ("!p0", "!p0"), ("p0", "p1"), ("!p1", "!p0"), ("p0", f"!p{n - 1}"), (f"p{n - 1}", "!p0")}
+
+
+def test_clauses_are_worked_out_once(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    def counted(i):
+        calls.add(1)
+        return f"!p{i}"
+
+    clauses = spark.range(20).select(
+        (F.col("id") % 4).alias("doc_id"), F.udf(counted)("id").alias("a"), F.concat(F.lit("p"), (F.col("id") + 4).cast("string")).alias("b"), F.lit(False).alias("single")
+    )
+    got = {tuple(r) for r in closure.derived_implications(clauses).filter("x not like '!%'").collect()}
+    assert got == {(d, f"p{d + 4 * i}", f"p{d + 4 * j}") for d in range(4) for i in range(6) for j in range(i + 1, 6)}
+    assert calls.value == 20
