@@ -99,4 +99,5 @@ def dedup_pairs(df: DataFrame, order: Sequence[str]) -> DataFrame:
             256,
         ),
     )
-    return first_per_key(keyed, ["_key"], order).drop("_key")
+    # Dealt before they are sorted by key: a task of narrow rows can make far more wide pairs than it read.
+    return first_per_key(keyed.repartition("_key"), ["_key"], order).drop("_key")

@@ -419,3 +419,13 @@ def test_index_in_splits_counts_and_moves_nothing(spark, tmp_path):
     finally:
         for name, setting in before.items():
             spark.conf.set(name, setting)
+
+
+def test_pairs_are_dealt_before_they_are_sorted(spark):
+    frame = spark.range(40).select(
+        (F.col("id") % 10).alias("id"), F.concat(F.lit("Q  "), (F.col("id") % 10).cast("string")).alias("question"),
+        F.lit("Good").alias("good_answer"), F.when(F.col("id") < 20, "bad").otherwise(" BAD ").alias("bad_answer"), F.col("id").alias("src"),
+    )
+    kept = pairs.dedup_pairs(frame, ["src"])
+    assert "REPARTITION_BY_COL" in kept._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.id, r.src) for r in kept.collect()) == [(i, i) for i in range(10)]
