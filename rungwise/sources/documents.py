@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -67,12 +68,14 @@ def scan(pieces: list[bytes], inside: bool) -> tuple[np.ndarray, np.ndarray, np.
 
 def _runs(batch: pa.RecordBatch) -> Iterator[tuple[tuple[str, int], int, int]]:
     """(file, block) and the first and last row of each run of rows of one split."""
-    files, blocks = batch.column("file").to_pylist(), batch.column("block").to_pylist()
-    start = 0
-    for i in range(1, len(files) + 1):
-        if i == len(files) or blocks[i] != blocks[start] or files[i] != files[start]:
-            yield (files[start], blocks[start]), start, i
-            start = i
+    n = batch.num_rows
+    if not n:
+        return
+    # Compared as columns: a file is cut into very many pieces, each a row.
+    changes = [pc.not_equal(c.slice(1), c.slice(0, n - 1)) for c in (batch.column("file"), batch.column("block"))]
+    starts = [0, *(np.flatnonzero(pc.or_(*changes).to_numpy(zero_copy_only=False)) + 1).tolist()]
+    for start, end in zip(starts, [*starts[1:], n]):
+        yield (batch.column("file")[start].as_py(), batch.column("block")[start].as_py()), start, end
 
 
 class _Split:

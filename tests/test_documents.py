@@ -3,6 +3,7 @@
 import json
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -101,3 +102,11 @@ def test_files_of_several_forms(spark, tmp_path, small_splits):
     assert [r["a"] for r in got if "a" in r] == list(range(30))
     assert [r["b"] for r in got if "b" in r] == list(range(30))
     assert [r["c"] for r in got if "c" in r] == [list(range(200))]
+
+
+def test_runs_of_rows_of_one_split():
+    rows = [("a", 0), ("a", 0), ("a", 9), ("b", 9), ("b", 9), ("a", 0)]
+    batch = pa.RecordBatch.from_pydict({"file": [f for f, _ in rows], "block": [b for _, b in rows]})
+    assert list(documents._runs(batch)) == [(("a", 0), 0, 2), (("a", 9), 2, 3), (("b", 9), 3, 5), (("a", 0), 5, 6)]
+    assert list(documents._runs(batch.slice(0, 0))) == []
+    assert list(documents._runs(batch.slice(5))) == [(("a", 0), 0, 1)]
