@@ -111,3 +111,11 @@ def test_audit_equals_the_whole_reading(spark):
     for r in frame.select(audit_generation(F.col("t")).alias("a"), parse_generation(F.col("t")).alias("g")).collect():
         whole = r.g and {k: v for k, v in r.g.asDict().items() if k != "steps"}
         assert (r.a and r.a.asDict()) == whole
+
+
+def test_steps_are_printed_once(spark):
+    texts = spark.range(3).select(F.concat(F.lit("Step 1:\nPremises:\n- a"), F.col("id").cast("string"), F.lit("\nConclusion:\nc\n")).alias("text"))
+    parsed = texts.select(parse_generation(F.col("text")).alias("g"))
+    printed = parsed.select(format_generation(F.col("g.steps"), F.col("g.final_tag")).alias("p"))
+    assert printed._jdf.queryExecution().analyzed().toString().count("\nAssumption: ") == 1
+    assert printed.first().p.startswith("Reasoning:\nStep 1:\nPremise: a")
