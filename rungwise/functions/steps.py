@@ -5,19 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from rungwise.functions.text import WS, answer_tag, clean_bullets, let, strip, words_to_text
+from rungwise.functions.text import INK, WHITESPACE, WS, answer_tag, clean_bullets, joined_words, let, strip, tidied
 
 # The headers of the step format. They stand at the start of a text or of a line;
-# texts get a line break in front, which is quicker to look for than either.
-STEP_HEADER = rf"(?iu)\nStep{WS}+(\d+){WS}*:?{WS}*\n"
-FINAL_HEADER = rf"(?iu)\nFinal{WS}*:?"
-SECTION_HEADERS = {
-    "premises": rf"(?iu)\n{WS}*Premises?{WS}*:{WS}*",
-    "assumptions": rf"(?iu)\n{WS}*Assumptions?{WS}*:{WS}*",
-    "conclusion": rf"(?iu)\n{WS}*Conclusion{WS}*:{WS}*",
-}
-
-FROM_FINAL = FINAL_HEADER.replace("(?iu)", "(?ius)") + r".*\z"
+# texts get a line break in front, which is quicker to look for than either. Bodies go on from line to line
+# until a header comes; their loops give nothing back, so long ones do not nest.
+STEP_HEADER = rf"\n(?iu:Step){WS}+(\d+){WS}*:?{WS}*\n"
+STEP_BODY = rf"{STEP_HEADER}([^\n]*+(?:(?!{STEP_HEADER})\n[^\n]*+)*+)"
+FROM_FINAL = r"(?s)\n(?iu:Final).*\z"
+SECTION_WORD = rf"\n{WS}*+(?=([PACpac]))(?iu:Premises?|Assumptions?|Conclusion){WS}*+:"
+SECTION_BODY = rf"{SECTION_WORD}([^\n]*+(?:(?!{SECTION_WORD})\n{WS}*+[^\n]*+)*+)"
 
 STEP_TYPE = "struct<n:bigint,premises:array<string>,assumptions:array<string>,conclusion:string>"
 GENERATION_TYPE = (
@@ -40,78 +37,67 @@ def step_blocks(text: Column, final_after_last_step: bool = False) -> Column:
 
     led = _after_break(text)
 
-    def cut_last(pieces: Column) -> Column:
-        last = F.element_at(pieces, -1)
+    def cut_last(last: Column) -> Column:
         if final_after_last_step:
             return F.regexp_replace(_after_break(last), FROM_FINAL, "")
         room = F.length(last) - F.length(F.regexp_extract(led, FROM_FINAL, 0))
-        return F.when(room > 0, F.substring(last, F.lit(1), room)).otherwise(F.lit(""))
+        return F.substring(last, F.lit(1), F.greatest(room, F.lit(0)))
 
-    def blocks(pieces: Column) -> Column:
+    def blocks(bodies: Column) -> Column:
         numbers = F.regexp_extract_all(led, F.lit(STEP_HEADER), F.lit(1))
         numbered = F.transform(
             numbers,
             lambda n, i: F.struct(
                 n.try_cast("bigint").alias("n"),
-                strip(
-                    F.when(i == F.size(pieces) - 2, cut_last(pieces)).otherwise(F.get(pieces, i + 1))
-                ).alias("block"),
+                F.when(i == F.size(bodies) - 1, cut_last(F.get(bodies, i))).otherwise(F.get(bodies, i)).alias("block"),
             ),
         )
-        return F.filter(numbered, lambda b: b["block"] != "")
+        return F.filter(numbered, lambda b: b["block"].rlike(INK))
 
-    return let(F.split(led, STEP_HEADER), blocks)
+    return let(F.regexp_extract_all(led, F.lit(STEP_BODY), F.lit(2)), blocks)
 
 
-def sections(text: Column) -> Column:
-    """Premises, assumptions and conclusion of one block (GEN-2).
+def sections(blocks: Column) -> Column:
+    """Steps of an array of numbered blocks: premises, assumptions and conclusion of each (GEN-2).
 
-    Each section runs from the end of its first header to the start of the next one.
+    Each section runs from the end of its first header to the first header of another one, if that comes later.
+    A header that comes again starts nothing. The blocks are taken on together from one form to the next, which
+    costs less than forms of one block at a time.
     """
 
-    def place(block: Column, name: str) -> Column:
-        onward = SECTION_HEADERS[name].replace("(?iu)", "(?ius)") + r".*\z"
-        return let(
-            F.regexp_extract(block, onward, 0),
-            lambda rest: F.when(
-                rest != "",
-                let(
-                    F.length(block) - F.length(rest),
-                    lambda start: F.struct(
-                        start.alias("start"),
-                        (start + F.length(F.regexp_extract(rest, SECTION_HEADERS[name], 0))).alias("begin"),
-                    ),
-                ),
-            ),
+    def find(block: Column) -> Column:
+        led = _after_break(block["block"])
+        # The sections by the first letters of their headers, in text order.
+        letters = F.array_join(F.regexp_extract_all(led, F.lit(SECTION_WORD), F.lit(1)), "")
+        return F.struct(
+            block["n"].alias("n"),
+            led.alias("led"),
+            F.translate(letters, "PAC", "pac").alias("order"),
+            F.regexp_extract_all(led, F.lit(SECTION_BODY), F.lit(2)).alias("bodies"),
         )
 
-    def slice_(block: Column, own: Column, other_a: Column, other_b: Column) -> Column:
-        def later(o: Column) -> Column:
-            return F.when(o["start"] > own["start"], o["start"])
+    def place(found: Column) -> Column:
+        firsts = [F.instr(found["order"], kind).alias(kind) for kind in "pac"]
+        return F.struct(*[found[c].alias(c) for c in ("n", "led", "bodies")], *firsts)
 
-        room = F.least(F.length(block), later(other_a), later(other_b)) - own["begin"]
-        return F.when(room > 0, strip(F.substring(block, own["begin"] + 1, room))).otherwise(F.lit(""))
+    def lines(found: Column, own: str, *others: str) -> Column:
+        at, bodies = found[own], found["bodies"]
+        end = F.least(F.size(bodies) + 1, *[F.when(found[o] > at, found[o]) for o in others])
+        again = F.regexp_extract_all(found["led"], F.lit(SECTION_BODY), F.lit(0))
+        body = F.get(bodies, at - 1)
+        whole = F.when(end - at > 1, F.concat(body, F.array_join(F.slice(again, at + 1, end - at - 1), ""))).otherwise(body)
+        return F.when(at > 0, clean_bullets(whole)).otherwise(F.array().cast("array<string>"))
 
-    def build(places: Column) -> Column:
-        block, p, a, c = (places[k] for k in ("block", "p", "a", "c"))
+    def build(found: Column) -> Column:
         return F.struct(
-            clean_bullets(slice_(block, p, a, c)).alias("premises"),
-            clean_bullets(slice_(block, a, p, c)).alias("assumptions"),
-            strip(F.array_join(clean_bullets(slice_(block, c, p, a)), " ")).alias("conclusion"),
+            found["n"].alias("n"),
+            lines(found, "p", "a", "c").alias("premises"),
+            lines(found, "a", "p", "c").alias("assumptions"),
+            # Lines have no white space at their ends, but some may be empty.
+            F.trim(F.array_join(lines(found, "c", "p", "a"), " ")).alias("conclusion"),
         )
 
-    return let(
-        _after_break(text),
-        lambda block: let(
-            F.struct(
-                block.alias("block"),
-                place(block, "premises").alias("p"),
-                place(block, "assumptions").alias("a"),
-                place(block, "conclusion").alias("c"),
-            ),
-            build,
-        ),
-    )
+    return F.transform(F.transform(F.transform(blocks, find), place), build)
 
 
 def order_ok(numbers: Column) -> Column:
@@ -178,18 +164,12 @@ def _steps(blocks: Column) -> Column:
         blocks,
         lambda b, i: F.struct(b["n"].alias("n"), i.alias("at"), b["block"].alias("block")),
     )
-    return F.transform(
-        F.array_sort(placed),
-        lambda b: let(
-            sections(b["block"]),
-            lambda s: F.struct(
-                b["n"].alias("n"),
-                s["premises"].alias("premises"),
-                s["assumptions"].alias("assumptions"),
-                s["conclusion"].alias("conclusion"),
-            ),
-        ),
-    )
+    return sections(F.sort_array(placed))
+
+
+def read_steps(text: Column, final_after_last_step: bool = False) -> Column:
+    """The steps of ``parse_generation`` alone, for whom their numbers do not matter (GEN-4)."""
+    return _steps(step_blocks(text, final_after_last_step))
 
 
 def unfiltered(items: Column) -> Column:
@@ -212,32 +192,31 @@ def parse_generation(text: Column, final_after_last_step: bool = False) -> Colum
 
 def format_step(position: Column, premise: Column, assumption: Column, conclusion: Column) -> Column:
     """One printed step (part of GEN-5)."""
-    return strip(
-        F.concat(
-            F.lit("Step "), position.cast("string"), F.lit(":\nPremise: "), premise,
-            F.lit("\nAssumption: "), assumption, F.lit("\nConclusion: "), conclusion,
-        )
+    return F.concat(
+        F.lit("Step "), position.cast("string"), F.lit(":\nPremise: "), premise, F.lit("\nAssumption: "), assumption,
+        F.lit("\nConclusion:"), F.rtrim(F.concat(F.lit(" "), conclusion), F.lit(WHITESPACE)),
     )
 
 
 def format_answer(steps_text: Column, final: Column) -> Column:
     """Printed steps followed by the final answer line (part of GEN-5)."""
-    head = F.when(steps_text != "", F.concat(F.lit("Reasoning:\n"), steps_text)).otherwise(F.lit(""))
-    tail = F.concat(F.lit("\nFinal answer: ["), strip(F.coalesce(final, F.lit(""))), F.lit("]"))
-    return strip(F.concat(head, tail))
+    head = F.when(steps_text != "", F.concat(F.lit("Reasoning:\n"), steps_text, F.lit("\n"))).otherwise(F.lit(""))
+    return F.concat(head, F.lit("Final answer: ["), strip(F.coalesce(final, F.lit(""))), F.lit("]"))
 
 
 def format_generation(steps: Column, final: Column) -> Column:
     """Printed form of a structured generation, steps numbered afresh from 1 (GEN-5)."""
-    printed = F.transform(
+    joined_parts = F.transform(
         steps,
-        lambda s, i: format_step(
-            i + 1,
-            words_to_text(s["premises"]),
-            words_to_text(s["assumptions"]),
-            words_to_text(F.array(F.coalesce(s["conclusion"], F.lit("")))),
+        lambda s: F.struct(
+            *[joined_words(s[c]).alias(c) for c in ("premises", "assumptions")],
+            F.coalesce(s["conclusion"], F.lit("")).alias("conclusion"),
         ),
     )
+    printed = F.transform(
+        joined_parts,
+        lambda s, i: format_step(i + 1, *[tidied(s[c]) for c in ("premises", "assumptions", "conclusion")]),
+    )
     joined = F.coalesce(F.array_join(printed, "\n\n"), F.lit(""))
-    # Printed once: the answer looks at the text and then writes it.
-    return let(strip(joined), lambda printed_steps: format_answer(printed_steps, final))
+    # Printed once: the answer looks at the text and then writes it. A printed step has no white space at its ends.
+    return let(joined, lambda printed_steps: format_answer(printed_steps, final))

@@ -16,11 +16,17 @@ from pyspark.sql import functions as F
 WHITESPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0" + "".join(
     map(chr, (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
 )
-WS = r"[\t-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+# Java asks a class member by member, so few members come first that decide for ASCII.
+_OTHER_BLANKS = r"\xa0[[\x{1680}-\x{3000}]&&[\x{1680}\x{2000}-\x{200a}\x{202f}\x{205f}\x{3000}]]"
+_OTHER_BREAKS = r"\x1c\x1d\x1e\x85[[\x{2028}-\x{2029}]]"
+_OTHER_SPACES = r"\x1c\x1d\x1e\x1f\x85\xa0[[\x{1680}-\x{3000}]&&[\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]]"
+WS = rf"[\s[{_OTHER_SPACES}]]"
+INK = rf"[!-~[\S&&[^{_OTHER_SPACES}]]]"
+LINE_BLANK = rf"[\t\x1f\x20{_OTHER_BLANKS}]"
+IN_LINE = rf"[ -~[[^\n]&&[^\x0b\x0c\r{_OTHER_BREAKS}]]]"
 
 # Patterns of the exchange format.
 SPACE_BEFORE_PUNCTUATION = WS + r"+([.,!?;:])"
-ANY_OTHER_BREAK = r"[\r\x0b\x0c\x1c\x1d\x1e\x85\x{2028}\x{2029}]"
 OTHER_BREAK = r"\r\n?|[\x0b\x0c\x1c\x1d\x1e\x85\x{2028}\x{2029}]"
 ATOM_BREAK = rf"(?dm)(?<=[.!?]){WS}+|[\n\r]+|^{WS}*[-•]{WS}*"
 ATOM_EDGE = " -•\t"
@@ -29,6 +35,10 @@ ANSWER_TAG_SPACED = rf"(?ius)<{WS}*answer{WS}*>{WS}*(.*?){WS}*<{WS}*/{WS}*answer
 ANSWER_TAG = rf"(?ius)<answer>{WS}*(.*?){WS}*</answer>"
 CUSTOM_ID = r"(?d)^(.+?)__rep(\d+)__"
 
+# A line with something in it, less one leading bullet; text that has blanks to close up or to drop.
+BULLET_LINE = rf"(?={INK})(?:[-•]{LINE_BLANK}*+)?+((?:{IN_LINE}*{INK})?)"
+UNTIDY = rf"[^!-~](?<={WS})(?:[.,!?;:]|{WS}|\z|(?<=\A{WS}))"
+
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once and use it many times inside ``body``."""
@@ -63,9 +73,19 @@ def tidy_keep_lines(c: Column) -> Column:
     return strip(F.regexp_replace(closed, "[ \t]{2,}", " "))
 
 
+def tidied(c: Column) -> Column:
+    """Strict form of a text. One look tells that nothing would change, as of most texts."""
+    return F.when(c.rlike(UNTIDY), tidy(c)).otherwise(c)
+
+
+def joined_words(words: Column) -> Column:
+    """A flat array of strings as one text, not yet in strict form."""
+    return F.array_join(F.coalesce(words, F.array().cast("array<string>")), " ")
+
+
 def words_to_text(words: Column) -> Column:
     """Strict text form of a flat array of strings (TXT-1a)."""
-    return tidy(F.array_join(F.coalesce(words, F.array().cast("array<string>")), " "))
+    return let(joined_words(words), tidied)
 
 
 def _variant_kind(v: Column) -> Column:
@@ -181,16 +201,7 @@ def lines_of(c: Column) -> Column:
 
 def clean_bullets(block: Column) -> Column:
     """Non-blank lines, stripped, less one leading bullet (TXT-5)."""
-    # Blank lines go, so the two signs of one break need not be told from two breaks; a set is quicker to look for.
-    pieces = F.split(F.regexp_replace(block, ANY_OTHER_BREAK, "\n"), "\n")
-    lines = F.filter(F.transform(pieces, strip), lambda s: s != "")
-    return F.transform(lines, drop_bullet)
-
-
-def drop_bullet(s: Column) -> Column:
-    """Text without one leading bullet and the white space after it."""
-    rest = F.ltrim(F.substring(s, F.lit(2), F.length(s)), F.lit(WHITESPACE))
-    return F.when(s.startswith("-") | s.startswith("•"), rest).otherwise(s)
+    return F.regexp_extract_all(block, F.lit(BULLET_LINE), F.lit(1))
 
 
 def hypothesis(conclusion: Column) -> Column:

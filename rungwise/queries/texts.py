@@ -9,7 +9,7 @@ from rungwise.bridges import order_texts, table, text
 from rungwise.functions import text as T
 from rungwise.functions.prompts import collapse_messages, fill, split_roles, unfilled
 from rungwise.functions.steps import format_generation as print_generation
-from rungwise.functions.steps import audit_generation, parse_generation, unfiltered
+from rungwise.functions.steps import audit_generation, parse_generation, read_steps, unfiltered
 from rungwise.queries.registry import query
 
 _BLANKS = "' ' || chr(9) || chr(10) || chr(13)"
@@ -75,8 +75,8 @@ FROM s GROUP BY id
 )
 def format_generation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """GEN-5, TXT-1a: parsed texts printed in the pair format."""
-    parsed = order_texts(spark, sf_dir).select("id", parse_generation(F.col("text")).alias("g"))
-    return parsed.select("id", print_generation(F.col("g.steps"), F.col("g.final_tag")).alias("printed"))
+    body = F.col("text")
+    return order_texts(spark, sf_dir).select("id", print_generation(read_steps(body), T.answer_tag(body)).alias("printed"))
 
 
 _REPLY_SQL = """CASE o_orderpriority

@@ -2,10 +2,15 @@
 
 import random
 import re
+from pathlib import Path
 
+import pytest
 from pyspark.sql import functions as F
 
-from rungwise.functions.steps import audit_generation, format_generation, parse_generation, unfiltered
+from __spark_entry__ import queries
+from rungwise.functions.steps import audit_generation, format_generation, parse_generation, read_steps, unfiltered
+
+SF = Path("/root/testdata/sf0.001")
 
 HEAD = re.compile(r"(?:^|\n)Step\s+(\d+)\s*:?\s*\n", re.I)
 FINAL = re.compile(r"(?:^|\n)Final\s*:?", re.I)
@@ -119,3 +124,27 @@ def test_steps_are_printed_once(spark):
     printed = parsed.select(format_generation(F.col("g.steps"), F.col("g.final_tag")).alias("p"))
     assert printed._jdf.queryExecution().analyzed().toString().count("\nAssumption: ") == 1
     assert printed.first().p.startswith("Reasoning:\nStep 1:\nPremise: a")
+
+
+@pytest.mark.skipif(not SF.exists(), reason="no test data")
+def test_the_printing_query_works_out_no_audit(spark):
+    plan = queries()["format_generation"](spark, str(SF))._jdf.queryExecution().analyzed().toString()
+    assert "missing_ranges" not in plan and "duplicate_steps" not in plan
+
+
+def test_headers_that_come_again_and_steps_alone(spark):
+    block = "Step 2:\nAssumption: a\nPremise: b\nAssumptions: c\nPremises: d\nConclusion: e\nPremise\n: f\n"
+    cases = [block, block + "Step\n3 :\n-\n- x\nConclusion:\n-\n- \u2002y\n-\nFinal z", "", None]
+    frame = spark.createDataFrame([(c,) for c in cases], "t string")
+    rows = frame.select(parse_generation(F.col("t")).alias("g"), read_steps(F.col("t")).alias("s")).collect()
+    assert [tuple(s) for s in rows[0].s] == [(2, ["b", "Assumptions: c", "Premises: d"], ["a"], "e Premise : f")]
+    assert [s.n for s in rows[1].s] == [2, 3] and rows[1].s[1].conclusion == "y"
+    for row, case in zip(rows, cases):
+        assert row.s == (row.g and row.g.steps)
+        assert row.s is None or [tuple(s) for s in row.s] == expected_steps(case)
+
+
+def test_long_steps_do_not_nest(spark):
+    text = "Step 1:\nPremises:\n" + "- p\n" * 50_000 + "Conclusion:\n" + "c\n\n" * 50_000
+    step = spark.createDataFrame([(text,)], "t string").select(read_steps(F.col("t")).alias("s")).first().s[0]
+    assert step.premises == ["p"] * 50_000 and step.conclusion == " ".join(["c"] * 50_000)

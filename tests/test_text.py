@@ -176,3 +176,20 @@ def test_many_members_and_brackets_in_strings(spark):
     assert time.monotonic() - started < 20  # a cost that grows with the square takes minutes
     assert row.a == " ".join(f'w{i} [x y"]{i}' if i % 3 else f"z{i}" for i in range(30_000))
     assert row.b == " ".join(f"w{i} ]y{i}" if i % 3 else f'{{"other":[{i}]}}' for i in range(30_000))
+
+
+def test_classes_of_characters(spark):
+    breaks = "\n\x0b\x0c\r\x1c\x1d\x1e\x85\u2028\u2029"
+    chars = [chr(c) for c in range(1, 0x10000) if not 0xD800 <= c < 0xE000] + ["\U0001f600", "\U0010ffff"]
+    classes = [T.WS, T.INK, T.LINE_BLANK, T.IN_LINE, "(?iu)" + T.WS]
+    got = column(spark, chars, *[F.col("c").rlike(rf"\A(?:{k})\z") for k in classes])
+    for c, row in zip(chars, got):
+        space, line_end = c.isspace(), c in breaks
+        assert tuple(row) == (space, not space, space and not line_end, not line_end, space), repr(c)
+
+
+def test_words_close_up_like_the_plain_form(spark):
+    cases = ["a b", " a", "a ", "a  b", "a .", "a\tb", "a\u00a0", "\u3000a", "a\n!b", "", " ", "a\x85;", "\u00e9 b", "a\u2028\u2029b"]
+    c = F.col("c")
+    for case, row in zip(cases, column(spark, cases, T.words_to_text(F.array(c)), T.tidy(c))):
+        assert row[0] == row[1], repr(case)
